@@ -47,14 +47,19 @@ def unescape(c) -> Column:
     return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), ENTITIES, _c(c))
 
 
-def paragraphs(html) -> Column:
-    """Array of paragraph texts (tags removed, entities decoded), in page order."""
-    pieces = F.split(strip_non_content(html), P.P_OPEN)
+def paragraphs_of_clean(html) -> Column:
+    """Paragraph texts of markup already stripped of comments, scripts and styles."""
+    pieces = F.split(_c(html), P.P_OPEN)
     bodies = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(bodies, lambda b: unescape(F.regexp_replace(F.regexp_extract(b, P.P_BODY, 1),
                                                                    P.TAG, "")))
 
 
+def paragraphs(html) -> Column:
+    """Array of paragraph texts (tags removed, entities decoded), in page order."""
+    return paragraphs_of_clean(strip_non_content(html))
+
+
 def paragraph_text(html) -> Column:
     """All paragraph texts joined by one space; NULL html gives NULL."""
     return F.array_join(paragraphs(html), " ")
@@ -76,5 +81,6 @@ def extraction_method(url, hosts: Sequence[str] = fixed.PARAGRAPH_HOSTS) -> Colu
 def page_text(html, method) -> Column:
     """Paragraph method: every ``<p>`` of the page. Article method: only the paragraphs of
     the main ``<article>`` element (navigation, ads and footers dropped)."""
-    return F.when(_c(method) == "paragraph", paragraph_text(html)) \
-        .otherwise(paragraph_text(article_block(strip_non_content(html))))
+    clean = strip_non_content(html)
+    scope = F.when(_c(method) == "paragraph", clean).otherwise(article_block(clean))
+    return F.array_join(paragraphs_of_clean(scope), " ")

@@ -17,10 +17,10 @@ NON_WORD = r"[^\p{L}\p{N}_]"
 
 URL_RUN = r"http" + NOT_WS + "+"
 COPYRIGHT_YEAR = r"©" + WS + "?" + DIGIT + "+"
-BLANK = r"^" + WS + "*$"
+BLANK = r"^" + WS + r"*\z"
 OUTLET = r"https?://(?:www\.)?([\p{L}\p{N}_-]+)\."
 DIGIT_DATE = r"^" + DIGIT + "{8,}"
-ALL_ASCII_DIGITS = r"^[0-9]+$"
+ALL_ASCII_DIGITS = r"^[0-9]+\z"
 
 # HTML paragraph extraction. No back-references and no look-around, so RE2
 # accepts the same text.
@@ -29,6 +29,6 @@ HTML_SCRIPT = r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>"
 HTML_STYLE = r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>"
 P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
 # A paragraph runs to its own end tag, the end of an enclosing block, or the end.
-P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:div|body|article|main|section)\s*>|$)"
+P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:div|body|article|main|section)\s*>|\z)"
 TAG = r"(?s)<[^>]*>"
-ARTICLE_BLOCK = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|$)"
+ARTICLE_BLOCK = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|\z)"

@@ -16,23 +16,32 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(expr, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` (an expression-level ``let``).
+
+    Steps that read their input several times (a test plus the value) would
+    otherwise copy the whole upstream expression into every reference when
+    Catalyst merges projections or pushes a filter through them, and a chain
+    of such steps grows multiplicatively.
+    """
+    return F.get(F.transform(F.array(_c(expr)), fn), 0)
+
+
 def null_if_mojibake(c, marker: str = fixed.MOJIBAKE_MARKER) -> Column:
     """NULL for texts that contain the mis-decoded umlaut run; NULL stays NULL."""
-    c = _c(c)
-    return F.when(~c.contains(marker), c)
+    return bind(c, lambda x: F.when(~x.contains(marker), x))
 
 
 def german_word_hits(c, words: Sequence[str] = fixed.GERMAN_MARKER_WORDS) -> Column:
     """How many of ``words`` occur as substrings of the lower-cased text."""
-    low = F.lower(_c(c))
-    return reduce(lambda a, b: a + b, [F.instr(low, w).cast("boolean").cast("int") for w in words])
+    return bind(F.lower(_c(c)), lambda low: reduce(
+        lambda a, b: a + b, [F.instr(low, w).cast("boolean").cast("int") for w in words]))
 
 
 def null_unless_german(c, words: Sequence[str] = fixed.GERMAN_MARKER_WORDS,
                        min_hits: int = fixed.GERMAN_MIN_WORDS) -> Column:
     """Keep a text only when at least ``min_hits`` marker words occur in it (substring test)."""
-    c = _c(c)
-    return F.when(german_word_hits(c, words) >= min_hits, c)
+    return bind(c, lambda x: F.when(german_word_hits(x, words) >= min_hits, x))
 
 
 def remove_snippets(c, snippets: Iterable[str] = fixed.NON_ARTICLE_SNIPPETS) -> Column:
@@ -43,9 +52,8 @@ def remove_snippets(c, snippets: Iterable[str] = fixed.NON_ARTICLE_SNIPPETS) ->
 
 def trim_after(c, phrases: Sequence[str] = fixed.TRIM_AFTER_PHRASES) -> Column:
     """Cut the text before the first occurrence of the first listed phrase that occurs."""
-    c = _c(c)
-    cuts = [F.when(F.instr(c, p) > 0, F.substring_index(c, p, 1)) for p in phrases]
-    return F.coalesce(*cuts, c)
+    return bind(c, lambda x: F.coalesce(*[F.when(F.instr(x, p) > 0, F.substring_index(x, p, 1))
+                                          for p in phrases], x))
 
 
 def clean_text(c) -> Column:
@@ -61,8 +69,7 @@ def clean_text(c) -> Column:
 
 
 def null_if_blank(c) -> Column:
-    c = _c(c)
-    return F.when(~c.rlike(P.BLANK), c)
+    return bind(c, lambda x: F.when(~x.rlike(P.BLANK), x))
 
 
 def outlet_from_url(c) -> Column:

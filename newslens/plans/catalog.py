@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslens.plans import dashboard
+from newslens.plans import dashboard, texts
 
-_MODULES = (dashboard,)
+_MODULES = (dashboard, texts)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
