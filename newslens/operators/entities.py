@@ -41,6 +41,21 @@ def entity_mentions(articles: DataFrame, mentions: DataFrame, key: str = "articl
     return j.where(F.col("topic").isNotNull()).groupBy("topic", "entity").agg(F.count("*").alias("n_mentions"))
 
 
+def topic_entity_counts(articles: DataFrame, refs: DataFrame, entity_dim: DataFrame,
+                        key: str = "article_id", ref: str = "item_id") -> DataFrame:
+    """(topic, entity, n_mentions) when mentions point at an item table that names the entity.
+
+    ``refs`` has one row per mention (``key``, ``ref``); ``entity_dim`` maps
+    ``ref`` → ``entity``. Mentions are counted per (topic, item) first — a
+    partial aggregate that shrinks the fact side before the item names are
+    joined — and the counts are then summed per (topic, entity).
+    """
+    per_item = refs.join(articles.select(key, "topic"), key).where(F.col("topic").isNotNull()) \
+        .groupBy("topic", ref).agg(F.count("*").alias("_n"))
+    named = per_item.join(entity_dim, ref)
+    return named.groupBy("topic", "entity").agg(F.sum("_n").alias("n_mentions"))
+
+
 def top_entities(counts: DataFrame, n: int = fixed.TOP_ENTITIES) -> DataFrame:
     """The ``n`` most mentioned entities per topic (ties: entity name).
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslens.plans import dashboard, texts
+from newslens.plans import dashboard, enrichment, texts
 
-_MODULES = (dashboard, texts)
+_MODULES = (dashboard, texts, enrichment)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
