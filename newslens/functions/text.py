@@ -35,7 +35,7 @@ def null_if_mojibake(c, marker: str = fixed.MOJIBAKE_MARKER) -> Column:
 def german_word_hits(c, words: Sequence[str] = fixed.GERMAN_MARKER_WORDS) -> Column:
     """How many of ``words`` occur as substrings of the lower-cased text."""
     return bind(F.lower(_c(c)), lambda low: reduce(
-        lambda a, b: a + b, [F.instr(low, w).cast("boolean").cast("int") for w in words]))
+        lambda a, b: a + b, [low.contains(w).cast("int") for w in words]))
 
 
 def null_unless_german(c, words: Sequence[str] = fixed.GERMAN_MARKER_WORDS,
@@ -46,13 +46,19 @@ def null_unless_german(c, words: Sequence[str] = fixed.GERMAN_MARKER_WORDS,
 
 def remove_snippets(c, snippets: Iterable[str] = fixed.NON_ARTICLE_SNIPPETS) -> Column:
     """Delete every snippet, one after the other, in list order (order matters: earlier
-    short snippets can destroy later long ones)."""
-    return reduce(lambda acc, s: F.replace(acc, F.lit(s), F.lit("")), snippets, _c(c))
+    short snippets can destroy later long ones).
+
+    A fold over the snippet list; each step first tests ``contains`` (a
+    first-byte scan) and only rewrites the text when the snippet occurs.
+    """
+    items = F.array(*[F.lit(s) for s in snippets])
+    return F.aggregate(items, _c(c), lambda acc, s: F.when(acc.contains(s), F.replace(acc, s, F.lit("")))
+                       .otherwise(acc))
 
 
 def trim_after(c, phrases: Sequence[str] = fixed.TRIM_AFTER_PHRASES) -> Column:
     """Cut the text before the first occurrence of the first listed phrase that occurs."""
-    return bind(c, lambda x: F.coalesce(*[F.when(F.instr(x, p) > 0, F.substring_index(x, p, 1))
+    return bind(c, lambda x: F.coalesce(*[F.when(x.contains(p), F.substring_index(x, p, 1))
                                           for p in phrases], x))
 
 
@@ -88,9 +94,8 @@ def tokens(c, min_len: int = fixed.TOKEN_MIN_LEN, max_len: int = fixed.TOKEN_MAX
 
 
 def drop_stopwords(tok, stop: Sequence[str]) -> Column:
-    """Remove stop words, keeping order and repeats."""
-    stop_arr = F.array(*[F.lit(s) for s in stop])
-    return F.filter(_c(tok), lambda w: ~F.array_contains(stop_arr, w))
+    """Remove stop words, keeping order and repeats (``isin`` becomes a hash-set lookup)."""
+    return F.filter(_c(tok), lambda w: ~w.isin(*stop))
 
 
 def join_tokens(tok) -> Column:

@@ -32,6 +32,18 @@ def clean_content(df: DataFrame, col: str = "content",
     return out.withColumn(col, tx.null_if_blank(col))
 
 
+def drop_null_text(df: DataFrame, col: str = "content") -> DataFrame:
+    """Drop rows whose ``col`` is NULL without a Filter on it.
+
+    A filter on the cleaned text would be pushed below the cleaning projection
+    and evaluate the whole chain twice (once in the filter, once in the
+    projection); exploding the one-element array of non-NULL values drops the
+    row in the same pass that computes the text.
+    """
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(F.array_compact(F.array(F.col(col)))).alias(col)).select(*df.columns)
+
+
 def clean_articles(raw: DataFrame, order: Sequence[str] = ("ingest_seq",),
                    allowed: Sequence[str] | None = fixed.ALLOWED_OUTLETS, **text_params) -> DataFrame:
     """Full cleaning of merged headline rows (title, source, url, publishedAt, description, content).
@@ -47,8 +59,8 @@ def clean_articles(raw: DataFrame, order: Sequence[str] = ("ingest_seq",),
         df = keep_first(df, "url", order_cols).drop(*order_cols)
     else:
         df = df.dropDuplicates(["url"])
-    df = clean_content(df, "content", **text_params)
-    df = df.dropna(how="any")
+    df = df.dropna(how="any", subset=[c for c in df.columns if c != "content"])
+    df = drop_null_text(clean_content(df, "content", **text_params), "content")
     df = df.withColumn("source", tx.outlet_from_url("url"))
     if allowed is not None:
         df = df.where(F.col("source").isin(*allowed))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newslens import fixed
 from newslens.functions import text as tx
 from newslens.operators.joins import lookup_join
+from newslens.session import cut_lineage
 
 
 def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
@@ -31,10 +32,15 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
 
 
 def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """Occurrences of every unigram and bigram per class (partial aggregation before the shuffle)."""
-    terms = df.select(F.col(class_col).alias("topic"),
-                      F.explode(tx.unigrams_and_bigrams(tokens_col)).alias("term"))
-    return terms.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    """Occurrences of every unigram and bigram per class (partial aggregation before the shuffle).
+
+    The NULL filters are stated here, once: the consumers join this table with
+    aggregates of itself, and identical subplans let Spark reuse one shuffle
+    instead of tokenising the texts once per branch.
+    """
+    terms = df.where(F.col(class_col).isNotNull()).select(
+        F.col(class_col).alias("topic"), F.explode(tx.unigrams_and_bigrams(tokens_col)).alias("term"))
+    return terms.where(F.col("term").isNotNull()).groupBy("topic", "term").agg(F.count("*").alias("tf"))
 
 
 def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
@@ -46,8 +52,12 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     with words(c) the term occurrences of the class, f(t) the occurrences of t
     over all classes and A the mean of words(c), truncated to an integer.
     Ties are broken by term.
+
+    The term counts feed three consumers (class totals, term totals and the
+    scores), so they are written once to the checkpoint folder instead of
+    tokenising and aggregating the texts per consumer.
     """
-    tc = class_term_counts(df, class_col, tokens_col)
+    tc = cut_lineage(class_term_counts(df, class_col, tokens_col))
     per_class = tc.groupBy("topic").agg(F.sum("tf").alias("class_words"))
     # One row per class: the mean over classes is a window over a tiny table.
     per_class = per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy())))

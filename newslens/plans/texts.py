@@ -10,7 +10,7 @@ from newslens.functions import html as hx
 from newslens.functions import text as tx
 from newslens.functions.scores import spark_stopwords
 from newslens.operators import enrich, topics
-from newslens.operators.cleaning import clean_content
+from newslens.operators.cleaning import clean_content, drop_null_text
 from newslens.plans import sqltext as S
 from newslens.sources.paged import url_batches
 from newslens.sources.tables import table
@@ -29,7 +29,8 @@ def document_tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).withColumnRenamed("text", "content")
-    return clean_content(d, "content").dropna(how="any").select("doc_id", "source", "content")
+    d = d.dropna(how="any", subset=["doc_id", "lang", "source", "n_chars"])
+    return drop_null_text(clean_content(d, "content"), "content").select("doc_id", "source", "content")
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

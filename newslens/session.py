@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Case mapping through the JVM instead of ICU: same results on article
+    # text (full Unicode mappings), about five times faster for lower().
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
