@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from newslens import fixed
 from newslens.functions import dates
 from newslens.functions.scores import round_half_even, sentiment_score, share
+from newslens.session import cut_lineage
 
 
 def _known(*cols: str) -> Column:
@@ -118,8 +119,11 @@ def _dense_grid(counts: DataFrame, group: str, row_key: str, col_key: str, value
     Only keys observed in the group form the grid. The column keys of a group
     are a set of outlet or label values (bounded by that dimension, not by the
     article count), so they are gathered into one array per group and exploded
-    against the group's observed rows.
+    against the group's observed rows. ``counts`` feeds three branches; it is
+    small (one row per cell) and written to the checkpoint folder once, so the
+    article table is scanned once.
     """
+    counts = cut_lineage(counts)
     cols = counts.groupBy(group).agg(F.collect_set(col_key).alias("_keys"))
     rows = counts.select(group, row_key).distinct()
     grid = rows.join(cols, group).select(group, row_key, F.explode("_keys").alias(col_key))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newslens import fixed
 from newslens.functions import patterns as P
 from newslens.operators.joins import lookup_join
+from newslens.session import cut_lineage
 
 
 def capitalised_entities(text_col: str = "content", label: str = "MISC", stop=()) -> Column:
@@ -71,8 +72,10 @@ def related_topics(top: DataFrame) -> DataFrame:
 
     Self equi-join on the entity: each topic brings at most ``n`` entities, so
     the join emits at most n × topics rows per topic — bounded by the topic
-    count, never by articles.
+    count, never by articles. ``top`` is read twice and is written to the
+    checkpoint folder once (it has at most n rows per topic).
     """
+    top = cut_lineage(top.select("topic", "entity"))
     a = top.select(F.col("topic"), "entity")
     b = top.select(F.col("topic").alias("related_topic"), "entity")
     pairs = a.join(b, "entity").where(F.col("topic") != F.col("related_topic"))

@@ -98,6 +98,7 @@ def label_topics(reps: DataFrame, labels: DataFrame, cutoff: float = fixed.TOPIC
     label is the text ``None``. Topics are matched through an equi-join on
     words against the (fixed, small) label table — no topic × label product.
     """
+    reps = cut_lineage(reps.select("topic", "term"))
     words = reps.select("topic", F.explode(F.split("term", " ")).alias("word")).distinct()
     hits = words.join(F.broadcast(labels), "word") \
         .groupBy("topic", "label", "label_words").agg(F.count("*").alias("matched"))
