@@ -41,3 +41,8 @@ def has_digit_date(c) -> Column:
 def month_of(c) -> Column:
     """First day of the ``yyyyMM`` month of the text; an impossible month gives NULL."""
     return F.to_date(F.try_to_timestamp(month_prefix(c), F.lit("yyyyMM")))
+
+
+def month_label(c, fmt: str = "MM/yyyy") -> Column:
+    """Display form of a month (the slider shows ``MM/YYYY``, chart axes ``MMM yyyy``)."""
+    return F.date_format(_c(c), fmt)

@@ -109,8 +109,10 @@ def with_month(df: DataFrame, start=None, end=None) -> DataFrame:
 def month_bounds(df: DataFrame) -> DataFrame:
     """First and last month present (the range the time-series views start from)."""
     m = with_month(df)
-    return m.agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"),
-                 F.count("*").alias("n_articles"))
+    b = m.agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"),
+              F.count("*").alias("n_articles"))
+    return b.withColumn("first_label", dates.month_label("first_month")) \
+        .withColumn("last_label", dates.month_label("last_month"))
 
 
 def _dense_grid(counts: DataFrame, group: str, row_key: str, col_key: str, value: str) -> DataFrame:

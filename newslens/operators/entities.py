@@ -15,9 +15,13 @@ def capitalised_entities(text_col: str = "content", label: str = "MISC", stop=()
     """Default entity extractor: words that start with an upper-case letter, as
     ``array<struct<text, label>>`` in text order (a stand-in for a trained recogniser)."""
     words = F.split(F.col(text_col), P.NON_WORD + "+")
-    stop_arr = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
-    picked = F.filter(words, lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) >= 2)
-                      & ~F.array_contains(stop_arr, F.lower(w)))
+    stop = tuple(stop)
+
+    def keep(w):
+        cond = w.rlike(r"^\p{Lu}") & (F.length(w) >= 2)
+        return cond & ~F.lower(w).isin(*stop) if stop else cond
+
+    picked = F.filter(words, keep)
     return F.transform(picked, lambda w: F.struct(w.alias("text"), F.lit(label).alias("label")))
 
 

@@ -105,7 +105,9 @@ SELECT topic, pol_leaning, datetime, url, article_id, source FROM (
   FROM dash WHERE topic IS NOT NULL AND pol_leaning IS NOT NULL) WHERE rn = 1""",
 
     "month_bounds": f"""{_DASH}
-SELECT min(month) AS first_month, max(month) AS last_month, count(*) AS n_articles FROM monthly""",
+SELECT min(month) AS first_month, max(month) AS last_month, count(*) AS n_articles,
+       strftime(min(month), '%m/%Y') AS first_label, strftime(max(month), '%m/%Y') AS last_label
+FROM monthly""",
 
     "monthly_source_share": f"""{_DASH},
 c AS (SELECT topic, month, source, count(*) AS n FROM monthly

@@ -9,8 +9,9 @@ from newslens import fixed
 from newslens.functions import html as hx
 from newslens.functions import text as tx
 from newslens.functions.scores import spark_stopwords
-from newslens.operators import enrich, topics
+from newslens.operators import enrich, entities as ent, topics
 from newslens.operators.cleaning import clean_content, drop_null_text
+from newslens.functions import patterns as P
 from newslens.plans import sqltext as S
 from newslens.sources.paged import url_batches
 from newslens.sources.tables import table
@@ -57,6 +58,15 @@ def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.label_topics(reps, topics.label_dim(spark))
 
 
+def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top entities per outlet with the default (capitalised-word) extractor on whole texts."""
+    d = documents(spark, sf_dir).select("source", ent.capitalised_entities("text", stop=_STOP).alias("e"))
+    mentions = d.select(F.col("source").alias("topic"), F.explode("e.text").alias("entity"))
+    counts = mentions.where(F.col("topic").isNotNull()).groupBy("topic", "entity") \
+        .agg(F.count("*").alias("n_mentions"))
+    return ent.top_entities(counts).select("topic", "rank", "entity", "n_mentions")
+
+
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return topics.cluster_topics(e, "embedding", k=TEST_CLUSTERS).select("vec_id", "label", "topic_nr")
@@ -88,6 +98,7 @@ SPARK = {
     "topic_info": topic_info,
     "topic_labels": topic_labels,
     "topic_clusters": topic_clusters,
+    "source_entities": source_entities,
     "page_outlets": page_outlets,
     "page_text": page_text,
     "page_url_batches": page_url_batches,
@@ -164,6 +175,15 @@ SELECT t.topic, CASE WHEN top_score >= {fixed.TOPIC_LABEL_CUTOFF} THEN best_labe
        {S.round9('coalesce(top_score, 0.0)')} AS score
 FROM (SELECT DISTINCT topic FROM top) t LEFT JOIN ties USING (topic)""",
 
+    "source_entities": f"""WITH w AS (
+  SELECT source AS topic, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents),
+c AS (SELECT topic, entity, count(*) AS n_mentions FROM w
+      WHERE topic IS NOT NULL AND regexp_matches(entity, '^\p{{Lu}}') AND length(entity) >= 2
+        AND NOT list_contains({S.str_list(_STOP)}, lower(entity))
+      GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n_mentions DESC, entity) AS rank FROM c)
+SELECT topic, CAST(rank AS INTEGER) AS rank, entity, n_mentions FROM r WHERE rank <= {fixed.TOP_ENTITIES}""",
+
     "page_outlets": f"""SELECT page_id, url, {S.outlet('url')} AS outlet, {S.extraction_method('url')} AS method,
        {S.outlet('url')} IN ({', '.join(S.q(o) for o in fixed.ALLOWED_OUTLETS)}) AS allowed
 FROM pages""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from newslens import fixed
@@ -11,16 +12,39 @@ from newslens.functions import dates
 from newslens.sources.tables import table
 
 
+def _is_nested(dt) -> bool:
+    return isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
+
+
 def read_csv_articles(spark: SparkSession, path: str, schema) -> DataFrame:
     """CSV edge reader: declared schema (no inference pass), quoted multi-line fields.
 
-    The text ``None`` that the original writes for missing labels is read as NULL.
+    The text ``None`` that the original writes for missing labels is read as
+    NULL. Nested columns (entities, entity counts, related topics) are stored
+    as JSON text in CSV and parsed back with ``from_json``; text that does not
+    parse gives NULL.
     """
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    text_schema = T.StructType([T.StructField(f.name, T.StringType() if _is_nested(f.dataType) else f.dataType)
+                                for f in schema.fields])
+    df = (spark.read.schema(text_schema).option("header", True).option("multiLine", True)
           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return df.select([F.when(F.col(f.name) != "None", F.col(f.name)).alias(f.name)
-                      if f.dataType.simpleString() == "string" else F.col(f.name)
-                      for f in schema.fields])
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name)
+        if _is_nested(f.dataType):
+            cols.append(F.from_json(c, f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            cols.append(F.when(c != "None", c).alias(f.name))
+        else:
+            cols.append(c)
+    return df.select(cols)
+
+
+def write_csv_articles(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV edge writer: nested columns as JSON text, no index column."""
+    out = df.select([F.to_json(F.col(f.name)).alias(f.name) if _is_nested(f.dataType) else F.col(f.name)
+                     for f in df.schema.fields])
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
