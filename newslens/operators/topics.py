@@ -20,8 +20,10 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
     ``min_size`` members become the outlier topic -1."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import VectorUDT
 
-    vec = df.withColumn("_features", array_to_vector(F.col(vector_col)))
+    is_vector = isinstance(df.schema[vector_col].dataType, VectorUDT)
+    vec = df.withColumn("_features", F.col(vector_col) if is_vector else array_to_vector(F.col(vector_col)))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_cluster").fit(vec)
     pred = model.transform(vec).drop("_features")
@@ -31,6 +33,19 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
                           .cast("int")).drop("_cluster", "_size")
 
 
+def tfidf_vectors(df: DataFrame, tokens_col: str = "tokens", out_col: str = "features",
+                  num_features: int = 1 << 18) -> DataFrame:
+    """Sparse TF-IDF vectors of the token lists (hashing trick, so no vocabulary pass).
+
+    The default document vectors for clustering when no sentence-embedding
+    model is plugged in through ``enrich.score_in_batches``.
+    """
+    from pyspark.ml.feature import IDF, HashingTF
+
+    tf = HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=num_features).transform(df)
+    return IDF(inputCol="_tf", outputCol=out_col).fit(tf).transform(tf).drop("_tf")
+
+
 def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
     """Occurrences of every unigram and bigram per class (partial aggregation before the shuffle).
 
