@@ -17,7 +17,8 @@ from newslens.functions.scores import spark_stopwords
 from newslens.operators import enrich, entities as ent, topics
 from newslens.operators.cleaning import clean_content, drop_null_text
 from newslens.operators.joins import lookup_join
-from newslens.sources.tables import table
+from newslens.session import cut_lineage
+from newslens.sources.tables import spread, table
 
 
 def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "content", k_topics: int = 20,
@@ -37,12 +38,16 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
         a = enrich.apply_scorer(a, scorer, "processed_content_truncated", "sentiment")
     else:
         a = enrich.lexicon_sentiment(a).drop("sentiment_score")
+    # The per-row text work is the expensive part and feeds the IDF fit, the
+    # k-means fit and the final rows; it is written to the checkpoint folder
+    # once instead of being recomputed by each of those jobs.
+    a = cut_lineage(a)
 
     if vectors is not None:
         vec = a.join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
     else:
         vec = topics.tfidf_vectors(a, "tokens", "_vec")
-    clustered = topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size).drop("_vec")
+    clustered = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size).drop("_vec"))
 
     reps = topics.class_tfidf(clustered, "topic_nr")
     labels = topics.label_topics(reps, topics.label_dim(clustered.sparkSession))
@@ -63,7 +68,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
 def document_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered end-to-end run over ``documents``: cleaned texts, then enrichment
     (rows-only check: clustering is iterative)."""
-    d = table(spark, sf_dir, "documents").withColumnRenamed("text", "content") \
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("text", "content") \
         .dropna(how="any", subset=["doc_id", "lang", "source", "n_chars"])
     cleaned = drop_null_text(clean_content(d, "content"), "content")
     e = enrich_articles(cleaned, key="doc_id", k_topics=10)

@@ -14,14 +14,18 @@ from newslens.operators.cleaning import clean_content, drop_null_text
 from newslens.functions import patterns as P
 from newslens.plans import sqltext as S
 from newslens.sources.paged import url_batches
-from newslens.sources.tables import table
+from newslens.sources.tables import spread, table
 
 # Number of clusters for the registered clustering query (the embeddings carry 10 labels).
 TEST_CLUSTERS = 10
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def document_tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,7 @@ def page_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("method", hx.extraction_method("url"))
+    p = pages(spark, sf_dir).withColumn("method", hx.extraction_method("url"))
     return p.select("page_id", "url", "method", hx.page_text("html", "method").alias("content"))
 
 
@@ -178,7 +182,7 @@ FROM (SELECT DISTINCT topic FROM top) t LEFT JOIN ties USING (topic)""",
     "source_entities": f"""WITH w AS (
   SELECT source AS topic, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents),
 c AS (SELECT topic, entity, count(*) AS n_mentions FROM w
-      WHERE topic IS NOT NULL AND regexp_matches(entity, '^\p{{Lu}}') AND length(entity) >= 2
+      WHERE topic IS NOT NULL AND regexp_matches(entity, '^\\p{{Lu}}') AND length(entity) >= 2
         AND NOT list_contains({S.str_list(_STOP)}, lower(entity))
       GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n_mentions DESC, entity) AS rank FROM c)

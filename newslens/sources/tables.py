@@ -45,3 +45,19 @@ ENRICHED_SCHEMA = T.StructType([
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-partition ``df`` over all cores when its scan yields fewer tasks than cores.
+
+    Per-row text work (regexes and tokenising over whole articles) is CPU-bound.
+    A small table stored as one large row group is read by one task and leaves
+    the other cores idle; then a shuffle by ``key`` spreads the rows (hash
+    placement is deterministic, so a retried task gets the same rows). A table
+    that already scans into at least as many tasks as there are cores, as any
+    large table does, is returned unchanged: no shuffle of the raw text.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
