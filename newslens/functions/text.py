@@ -86,8 +86,10 @@ def outlet_from_url(c) -> Column:
 def tokens(c, min_len: int = fixed.TOKEN_MIN_LEN, max_len: int = fixed.TOKEN_MAX_LEN) -> Column:
     """Digits removed, non-word characters to spaces, lower-cased, split into words of
     ``min_len``..``max_len`` characters that do not start with ``_``."""
-    t = F.regexp_replace(_c(c), P.DIGIT + "+", "")
-    t = F.lower(F.regexp_replace(t, P.NON_WORD, " "))
+    # Replacing each non-word character by a space before splitting at
+    # non-word runs cannot change the pieces (lower-casing maps no non-word
+    # character to a word character), so the split does both in one pass.
+    t = F.lower(F.regexp_replace(_c(c), P.DIGIT + "+", ""))
     words = F.split(t, P.NON_WORD + "+")
     return F.filter(words, lambda w: (F.length(w) >= min_len) & (F.length(w) <= max_len)
                     & ~w.startswith("_"))

@@ -68,19 +68,22 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     over all classes and A the mean of words(c), truncated to an integer.
     Ties are broken by term.
 
-    The term counts feed three consumers (class totals, term totals and the
-    scores), so they are written once to the checkpoint folder instead of
-    tokenising and aggregating the texts per consumer.
+    The term counts are one shuffle that both consumers read (Spark reuses the
+    exchange, the texts are tokenised once). f(t) is a window sum partitioned
+    by term: a term has at most one row per class, so no window partition
+    grows with the corpus. words(c) and A form a table with one row per class;
+    it is joined without a hint, so AQE broadcasts it from its measured size
+    (and keeps a shuffle join if the classes were ever too many).
     """
-    tc = cut_lineage(class_term_counts(df, class_col, tokens_col))
+    tc = class_term_counts(df, class_col, tokens_col)
     per_class = tc.groupBy("topic").agg(F.sum("tf").alias("class_words"))
-    # One row per class: the mean over classes is a window over a tiny table.
+    # One row per class: the mean over classes is a window over that small table.
     per_class = per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy())))
-    per_term = tc.groupBy("term").agg(F.sum("tf").alias("term_freq"))
-    j = tc.join(per_term, "term")
-    j = lookup_join(j, per_class, "topic", "inner")
+    scored = tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term"))).join(per_class, "topic")
     score = (F.col("tf") / F.col("class_words")) * F.log(F.col("avg_words") / F.col("term_freq") + 1.0)
-    scored = j.withColumn("score", score)
+    scored = scored.withColumn("score", score)
+    # row_number() <= n is planned as a window group limit: each task keeps its
+    # own top n per class before the shuffle by class.
     w = Window.partitionBy("topic").orderBy(F.desc("score"), F.asc("term"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
     return top.select("topic", "rank", "term",
