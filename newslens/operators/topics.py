@@ -17,7 +17,13 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
                    min_size: int = fixed.MIN_TOPIC_SIZE, seed: int = fixed.RANDOM_SEED,
                    max_iter: int = 20) -> DataFrame:
     """Topic number per row from seeded k-means on the vectors; clusters with fewer than
-    ``min_size`` members become the outlier topic -1."""
+    ``min_size`` members become the outlier topic -1.
+
+    The cluster sizes come from the training summary of the fitted model (the
+    last pass of the fit assigns every training row), so the outlier rule is a
+    literal list of at most ``k`` cluster ids: no extra pass over the rows and
+    no join.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import VectorUDT
@@ -26,17 +32,21 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
     vec = df.withColumn("_features", F.col(vector_col) if is_vector else array_to_vector(F.col(vector_col)))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_cluster").fit(vec)
+    sizes = model.summary.clusterSizes
+    kept = [i for i, n in enumerate(sizes) if n >= min_size]
     pred = model.transform(vec).drop("_features")
-    sizes = pred.groupBy("_cluster").agg(F.count("*").alias("_size"))
-    out = lookup_join(pred, sizes, "_cluster", "left", max_rows=k)
-    return out.withColumn("topic_nr", F.when(F.col("_size") >= min_size, F.col("_cluster")).otherwise(-1)
-                          .cast("int")).drop("_cluster", "_size")
+    topic = F.when(F.col("_cluster").isin(*kept), F.col("_cluster")) if kept else F.lit(None)
+    return pred.withColumn("topic_nr", F.coalesce(topic, F.lit(-1)).cast("int")).drop("_cluster")
 
 
 def tfidf_vectors(df: DataFrame, tokens_col: str = "tokens", out_col: str = "features",
-                  num_features: int = 1 << 18) -> DataFrame:
+                  num_features: int = 1 << 16) -> DataFrame:
     """Sparse TF-IDF vectors of the token lists (hashing trick, so no vocabulary pass).
 
+    2^16 buckets keep collisions rare for a news vocabulary while every k-means
+    iteration broadcasts and sums k dense centres of that width, so the width
+    is kept well below Spark's 2^18 default.
+
     The default document vectors for clustering when no sentence-embedding
     model is plugged in through ``enrich.score_in_batches``.
     """
