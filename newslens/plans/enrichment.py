@@ -12,7 +12,7 @@ from newslens.operators import entities as ent
 from newslens.operators.dedupe import merge_history
 from newslens.operators.enrich import assign_leaning
 from newslens.sources.articles import ARTICLE_VIEW_SQL, article_view, leaning_of_nation
-from newslens.sources.headlines import parse_responses
+from newslens.sources.headlines import parse_responses, select_headlines
 from newslens.sources.tables import table
 from newslens.streaming.coverage import article_ts, coverage_windows
 
@@ -22,6 +22,11 @@ HISTORY_BEFORE = "19980101"
 NEW_FROM = "19970101"
 # Articles per landed API response page (the request's page size).
 RESPONSE_PAGE = fixed.HEADLINES_PER_SOURCE
+# Request time of the registered headline selection. The API returns the last
+# 24 hours; the test tables hold about six articles a day in total, so the
+# registered query asks for two years, which makes the 100-per-source cap bite.
+SELECTION_NOW = "1998-08-02 00:00:00"
+SELECTION_HOURS = 24 * 731
 
 
 def merged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +101,14 @@ def headline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                        dates.format_datetime("publishedAt").alias("datetime"), "description")
 
 
+def headline_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request parameters applied to landed headlines: language, time window, and the
+    newest ``HEADLINES_PER_SOURCE`` rows per outlet (ties: url)."""
+    rows = parse_responses(headline_responses(spark, sf_dir), "body")
+    sel = select_headlines(rows, now=SELECTION_NOW, hours=SELECTION_HOURS)
+    return sel.select("title", "source", "url", "publishedAt", "language")
+
+
 def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = article_view(spark, sf_dir).withColumn("ts", article_ts("datetime"))
     w = coverage_windows(v, "ts", "1 day")
@@ -110,6 +123,7 @@ SPARK = {
     "related_topics": related_topics,
     "article_related": article_related,
     "headline_rows": headline_rows,
+    "headline_selection": headline_selection,
     "daily_coverage": daily_coverage,
 }
 
@@ -156,6 +170,17 @@ SELECT topic AS title, lower(source) || '.de' AS source, url,
        sentiment AS description
 FROM articles""",
 
+    "headline_selection": f"""{_A},
+h AS (SELECT topic AS title, lower(source) || '.de' AS source, url,
+             strftime(strptime(datetime, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') AS publishedAt,
+             '{fixed.HEADLINE_LANGUAGE}' AS language, strptime(datetime, '%Y%m%d%H%M%S') AS ts
+      FROM articles),
+w AS (SELECT * FROM h WHERE ts > TIMESTAMP '{SELECTION_NOW}' - INTERVAL {SELECTION_HOURS} HOUR
+                        AND ts <= TIMESTAMP '{SELECTION_NOW}')
+SELECT title, source, url, publishedAt, language FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, url) AS rn FROM w)
+WHERE rn <= {fixed.HEADLINES_PER_SOURCE}""",
+
     "daily_coverage": f"""{_A}
 SELECT CAST(date_trunc('day', strptime(datetime, '%Y%m%d%H%M%S')) AS DATE) AS day, topic, pol_leaning,
        count(*) AS n_articles
