@@ -85,7 +85,9 @@ def page_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir).withColumn("method", hx.extraction_method("url"))
-    return p.select("page_id", "url", "method", hx.page_text("html", "method").alias("content"))
+    # A page without a URL gets no content (the fetch is skipped).
+    has_url = F.col("url").isNotNull() & (F.col("url") != "")
+    return p.select("page_id", "url", "method", F.when(has_url, hx.page_text("html", "method")).alias("content"))
 
 
 def page_url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +196,8 @@ FROM pages""",
 
     "page_text": f"""{_PAGES}
 SELECT page_id, url, method,
-       {S.paragraph_text(f"CASE WHEN method = 'paragraph' THEN clean ELSE {S.article_block('clean')} END")} AS content
+       CASE WHEN url IS NOT NULL AND url <> '' THEN
+       {S.paragraph_text(f"CASE WHEN method = 'paragraph' THEN clean ELSE {S.article_block('clean')} END")} END AS content
 FROM p""",
 
     "page_url_batches": f"""WITH r AS (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS position FROM pages)
