@@ -55,11 +55,9 @@ NEGATIVE_WORDS = (
 def lexicon_score(tokens_col: str = "tokens", positive: Sequence[str] = POSITIVE_WORDS,
                   negative: Sequence[str] = NEGATIVE_WORDS):
     """Sum of word weights over all tokens of the text, evaluated inside the row (no shuffle)."""
-    pos = F.array(*[F.lit(w) for w in positive])
-    neg = F.array(*[F.lit(w) for w in negative])
+    # isin over literal lists becomes a hash-set lookup per token.
     return F.aggregate(F.col(tokens_col), F.lit(0),
-                       lambda acc, w: acc + F.when(F.array_contains(pos, w), 1)
-                       .when(F.array_contains(neg, w), -1).otherwise(0))
+                       lambda acc, w: acc + F.when(w.isin(*positive), 1).when(w.isin(*negative), -1).otherwise(0))
 
 
 def label_from_score(score) -> F.Column:

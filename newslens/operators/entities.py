@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens import fixed
 from newslens.functions import patterns as P
+from newslens.functions import text as tx
 from newslens.operators.joins import lookup_join
 from newslens.session import cut_lineage
 
@@ -26,14 +27,35 @@ def capitalised_entities(text_col: str = "content", label: str = "MISC", stop=()
 
 
 def entity_count_map(entities_col: str = "entities") -> Column:
-    """``[(A,PER),(A,PER),(B,LOC)]`` → ``{A: 2, B: 1}``; NULL or no entities → empty map.
-
-    Evaluated inside the row (entities of one article), no shuffle.
+    """``[(A,PER),(A,PER),(B,LOC)]`` → ``{A: 2, B: 1}`` (keys in first-seen order); NULL or no
+    entities → empty map. A map cannot hold a NULL key, so NULL names are skipped.
+
+    Evaluated inside the row, no shuffle, in O(n log n) for n mentions: the
+    (name, position) pairs are sorted, each run of equal names gives one count
+    and its first position, and the runs are put back in first-seen order.
+    (Counting each distinct name with a filter over the list would be
+    quadratic on a long article.)
     """
-    names = F.transform(F.coalesce(F.col(entities_col), F.array()), lambda e: e["text"])
-    keys = F.array_distinct(names)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(names, lambda n: n == k))
-                                               .cast("long")))
+    names = F.filter(F.transform(F.coalesce(F.col(entities_col), F.array()), lambda e: e["text"]),
+                     lambda x: x.isNotNull())
+    pairs = F.array_sort(F.transform(names, lambda x, i: F.struct(x.alias("k"), i.alias("p"))))
+
+    def runs(s):
+        n = F.size(s)
+        idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+        starts = F.filter(idx, lambda i: (i < n) & ((i == 0) | (s[i]["k"] != s[i - 1]["k"])))
+
+        def per_run(st):
+            m = F.size(st)
+            ends = F.transform(st, lambda b, j: F.when(j + 1 < m, st[j + 1]).otherwise(n))
+            r = F.transform(F.arrays_zip(st.alias("b"), ends.alias("e")), lambda z: F.struct(
+                s[z["b"]]["p"].alias("p"), s[z["b"]]["k"].alias("k"), (z["e"] - z["b"]).cast("long").alias("c")))
+            return F.array_sort(r)
+
+        return tx.bind(starts, per_run)
+
+    ordered = tx.bind(pairs, runs)
+    return F.map_from_arrays(F.transform(ordered, lambda r: r["k"]), F.transform(ordered, lambda r: r["c"]))
 
 
 def entity_mentions(articles: DataFrame, mentions: DataFrame, key: str = "article_id") -> DataFrame:

@@ -149,6 +149,20 @@ def test_entity_count_map(spark):
     assert got == [{"A": 2, "B": 1}, {}]
 
 
+def test_entity_count_map_matches_counter_on_whole_documents(spark):
+    """Brute force: Python's Counter over every document's entities, keys in first-seen order."""
+    from collections import Counter
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") \
+        .withColumn("entities", ent.capitalised_entities("text"))
+    m = ent.entity_count_map("entities")
+    rows = d.select("entities", m.alias("m"), F.map_keys(m).alias("k")).collect()
+    for r in rows:
+        expected = Counter(e["text"] for e in r.entities)
+        assert r.m == dict(expected)
+        assert r.k == list(expected)
+
+
 def test_capitalised_entities(spark):
     df = spark.createDataFrame([("Olaf Scholz trifft die Presse in Berlin",)], "content string")
     got = df.select(ent.capitalised_entities("content", stop=["die"])).first()[0]
