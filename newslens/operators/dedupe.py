@@ -21,11 +21,24 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def merge_history(history: DataFrame, new: DataFrame, key: str = "url",
-                  order: Sequence[str] = (), seq_col: str = "ingest_seq") -> DataFrame:
+                  order: Sequence[str] = (), seq_col: str = "ingest_seq",
+                  history_unique: bool = False) -> DataFrame:
     """Union of stored and new rows by column name; per key the stored row wins, then the
-    smallest ``order`` within the same batch. ``ingest_seq`` (0 stored, 1 new) is kept."""
+    smallest ``order`` within the same batch. ``ingest_seq`` (0 stored, 1 new) is kept.
+    NULL keys form one group, like every other key.
+
+    With ``history_unique`` (the store is the output of earlier merges, one row
+    per key) the store is not regrouped: only the new batch is deduplicated,
+    after a null-safe anti join against the stored keys. Then a run moves the
+    store's key column and the new rows through the shuffle instead of every
+    stored row.
+    """
     h = history.withColumn(seq_col, F.lit(0))
     n = new.withColumn(seq_col, F.lit(1))
+    if history_unique:
+        stored = history.select(F.col(key).alias("_stored_key"))
+        fresh = n.join(stored, n[key].eqNullSafe(stored["_stored_key"]), "left_anti")
+        return h.unionByName(keep_first(fresh, key, [seq_col, *order]), allowMissingColumns=True)
     u = h.unionByName(n, allowMissingColumns=True)
     return keep_first(u, key, [seq_col, *order])
 

@@ -33,7 +33,8 @@ def merged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = article_view(spark, sf_dir)
     hist = v.where(F.col("datetime") < HISTORY_BEFORE).select("url", "article_id", F.lit("history").alias("origin"))
     new = v.where(F.col("datetime") >= NEW_FROM).select("url", "article_id", F.lit("new").alias("origin"))
-    return merge_history(hist, new, "url", order=["article_id"]) \
+    # The stored articles are one row per URL (the output of earlier merges).
+    return merge_history(hist, new, "url", order=["article_id"], history_unique=True) \
         .select("url", "article_id", "origin", "ingest_seq")
 
 

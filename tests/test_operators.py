@@ -110,6 +110,13 @@ def test_dedupe_history_wins_and_nulls_collapse(spark):
     assert got == {"a": "old", "b": "new", None: "h-null"}
     once = keep_first(merge_history(hist, new, order=["pos"]), "url", ["ingest_seq", "pos"])
     assert sorted(once.collect(), key=str) == sorted(merge_history(hist, new, order=["pos"]).collect(), key=str)
+    # A store that is already one row per key: the incremental path gives the same rows,
+    # also for NULL keys in the store and in the batch.
+    inc = merge_history(hist, new, order=["pos"], history_unique=True)
+    assert sorted(inc.collect(), key=str) == sorted(merge_history(hist, new, order=["pos"]).collect(), key=str)
+    no_null_store = hist.where("url IS NOT NULL")
+    inc2 = merge_history(no_null_store, new, order=["pos"], history_unique=True)
+    assert {r.url: r.v for r in inc2.collect()} == {"a": "old", "b": "new", None: "n-null"}
 
 
 def test_clean_articles_pipeline(spark):
