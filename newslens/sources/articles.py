@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +70,16 @@ def prepare_for_dashboard(df: DataFrame, month_floor: int | None = fixed.MONTH_F
 
 def load_articles(spark: SparkSession, path: str, fmt: str = "parquet",
                   month_floor: int | None = fixed.MONTH_FLOOR,
-                  excluded_topic: str | None = fixed.EXCLUDED_TOPIC) -> DataFrame:
-    """Enriched article table with the dashboard's load rules applied."""
+                  excluded_topic: str | None = fixed.EXCLUDED_TOPIC, persist: bool = False) -> DataFrame:
+    """Enriched article table with the dashboard's load rules applied.
+
+    ``persist`` keeps the loaded rows (memory, spilling to disk) for a session
+    that answers many queries over the same table, like the dashboard's
+    memoised load; the caller ends it with ``unpersist()``.
+    """
     df = spark.read.format(fmt).load(path)
-    return prepare_for_dashboard(df, month_floor, excluded_topic)
+    out = prepare_for_dashboard(df, month_floor, excluded_topic)
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def leaning_of_nation(nationkey) -> F.Column:

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from newslens.sources.articles import read_csv_articles, read_or_empty
+from newslens.sources.articles import load_articles, read_csv_articles, read_or_empty
 from newslens.sources.headlines import read_responses, select_headlines
 from newslens.sources.paged import url_batches, write_batches
 from newslens.sources.tables import RAW_ARTICLE_SCHEMA
@@ -25,6 +25,18 @@ def test_csv_reader_and_empty_fallback(spark):
     assert empty.count() == 0 and empty.columns == RAW_ARTICLE_SCHEMA.fieldNames()
 
 
+def test_load_articles_rules_and_persist(spark):
+    root = tempfile.mkdtemp(prefix="newslens-load-")
+    rows = [("u1", "20231031120000", "A"), ("u2", "20231101000000", "A"), ("u3", None, "A"),
+            ("u4", "nan", "Börse"), ("u5", "20241301", None), ("u6", "abc", "A")]
+    spark.createDataFrame(rows, "url string, datetime string, topic string").write.parquet(root + "/t")
+    df = load_articles(spark, root + "/t", persist=True)
+    # Month floor 202311 (unknown dates kept), the excluded topic dropped, NULL topics kept.
+    assert sorted(r.url for r in df.collect()) == ["u2", "u3", "u5"]
+    assert df.storageLevel.useMemory and df.storageLevel.useDisk
+    df.unpersist()
+
+
 def test_url_batches_offsets(spark):
     urls = spark.createDataFrame([(f"u{i:03d}",) for i in range(25)], "url string").repartition(4)
     got = url_batches(urls, start=5, end=17, size=5).orderBy("position").collect()
