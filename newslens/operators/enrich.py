@@ -28,13 +28,23 @@ def assign_leaning(df: DataFrame, dim: DataFrame | None = None, source_col: str
 
 
 def with_tokens(df: DataFrame, text_col: str = "content", stop: Sequence[str] | None = None,
-                max_tokens: int = fixed.MODEL_MAX_TOKENS) -> DataFrame:
-    """Adds ``tokens`` (stop words removed), ``processed_content`` and
-    ``processed_content_truncated`` (first ``max_tokens`` tokens)."""
+                max_tokens: int = fixed.MODEL_MAX_TOKENS, text_columns: bool = True) -> DataFrame:
+    """Adds ``tokens`` (stop words removed) and, unless ``text_columns`` is false,
+    ``processed_content`` and ``processed_content_truncated`` (first ``max_tokens`` tokens)."""
     stop = spark_stopwords("german") if stop is None else stop
     out = df.withColumn("tokens", tx.drop_stopwords(tx.tokens(text_col), stop))
-    return out.withColumn("processed_content", tx.join_tokens("tokens")) \
-        .withColumn("processed_content_truncated", tx.join_tokens(tx.truncate_tokens("tokens", max_tokens)))
+    return with_processed_text(out, max_tokens) if text_columns else out
+
+
+def with_processed_text(df: DataFrame, max_tokens: int = fixed.MODEL_MAX_TOKENS,
+                        tokens_col: str = "tokens") -> DataFrame:
+    """``processed_content`` (tokens joined by a space) and its first ``max_tokens`` tokens.
+
+    Both are cheap functions of the token array, so a pipeline that materialises
+    its rows can derive them afterwards instead of storing the text twice more.
+    """
+    return df.withColumn("processed_content", tx.join_tokens(tokens_col)) \
+        .withColumn("processed_content_truncated", tx.join_tokens(tx.truncate_tokens(tokens_col, max_tokens)))
 
 
 # Default sentiment lexicon (our own, small): lower-case German word forms with

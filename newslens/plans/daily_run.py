@@ -33,9 +33,12 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     """
     stop = spark_stopwords("german")
     a = enrich.assign_leaning(cleaned, leaning_dim) if "source" in cleaned.columns else cleaned
-    a = enrich.with_tokens(a, text_col, stop)
+    # processed_content(_truncated) are derived from the tokens at the end, so
+    # the checkpoints below do not store the text twice more.
+    a = enrich.with_tokens(a, text_col, stop, text_columns=False)
     if scorer:
-        a = enrich.apply_scorer(a, scorer, "processed_content_truncated", "sentiment")
+        a = enrich.apply_scorer(enrich.with_processed_text(a), scorer, "processed_content_truncated", "sentiment") \
+            .drop("processed_content", "processed_content_truncated")
     else:
         a = enrich.lexicon_sentiment(a).drop("sentiment_score")
     # The per-row text work is the expensive part and feeds the IDF fit, the
@@ -62,7 +65,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     mentions = out.select(key, F.explode("entities.text").alias("entity"))
     counts = ent.entity_mentions(out.select(key, "topic"), mentions, key)
     pairs = ent.related_topics(ent.top_entities(counts))
-    return ent.attach_related(out, pairs).drop("tokens")
+    return enrich.with_processed_text(ent.attach_related(out, pairs)).drop("tokens")
 
 
 def document_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:

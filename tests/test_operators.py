@@ -204,3 +204,28 @@ def test_clusters_with_outliers(spark):
     by_id = {r.id: r.topic_nr for r in got}
     assert by_id[999] == -1
     assert len({by_id[i] for i in range(20)}) == 1 and by_id[0] != by_id[100] and by_id[0] >= 0
+
+
+def test_enrichment_run_columns_and_invariants(spark):
+    from newslens import fixed
+    from newslens.operators.cleaning import clean_content, drop_null_text
+    from newslens.plans.daily_run import enrich_articles
+    from newslens.sources.tables import ENRICHED_SCHEMA
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("text", "content")
+    cleaned = drop_null_text(clean_content(d, "content"), "content")
+    out = enrich_articles(cleaned, key="doc_id", k_topics=4, min_topic_size=3)
+    wanted = {"pol_leaning", "processed_content", "processed_content_truncated", "sentiment", "topic_nr", "topic",
+              "entities", "entity_counts", "related_topics"}
+    assert wanted <= set(out.columns) and "tokens" not in out.columns
+    assert out.schema["entity_counts"].dataType == ENRICHED_SCHEMA["entity_counts"].dataType
+    rows = out.collect()
+    assert len(rows) == cleaned.count()
+    direct = {r.doc_id: r for r in enrich.with_tokens(cleaned).collect()}
+    labels = set(fixed.DISTINCT_TOPIC_LABELS) | {"None"}
+    for r in rows:
+        assert r.processed_content == direct[r.doc_id].processed_content
+        assert r.processed_content_truncated == direct[r.doc_id].processed_content_truncated
+        assert r.sentiment in ("positive", "neutral", "negative") and r.topic in labels
+        assert sum(r.entity_counts.values()) == len(r.entities)
+        assert all(t.topic != r.topic and t.overlap >= 1 for t in r.related_topics)
