@@ -36,13 +36,15 @@ def merge_history(history: DataFrame, new: DataFrame, key: str = "url",
     h = history.withColumn(seq_col, F.lit(0))
     n = new.withColumn(seq_col, F.lit(1))
     if history_unique:
-        stored = history.select(F.col(key).alias("_stored_key"))
-        fresh = n.join(stored, n[key].eqNullSafe(stored["_stored_key"]), "left_anti")
+        fresh = only_new(history, n, key)
         return h.unionByName(keep_first(fresh, key, [seq_col, *order]), allowMissingColumns=True)
     u = h.unionByName(n, allowMissingColumns=True)
     return keep_first(u, key, [seq_col, *order])
 
 
 def only_new(stored: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
-    """Rows of ``batch`` whose key is not stored yet (NULL keys never match; keep_first handles those)."""
-    return batch.join(stored.select(key).distinct(), key, "left_anti")
+    """Rows of ``batch`` whose key is not stored yet. Keys match null-safely (a stored NULL key
+    makes new NULL-key rows duplicates, as in the merge). Repeated stored keys do not
+    change an anti join, so the stored keys are not deduplicated first."""
+    s = stored.select(F.col(key).alias("_stored_key"))
+    return batch.join(s, batch[key].eqNullSafe(s["_stored_key"]), "left_anti")

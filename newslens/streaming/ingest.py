@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from newslens.functions import dates
 from newslens.operators.dedupe import only_new
@@ -40,9 +41,9 @@ def append_new(store: str, key: str = "url"):
         spark = batch.sparkSession
         try:
             stored = spark.read.parquet(store).select(key)
-            fresh = only_new(stored, batch, key)
-        except Exception:  # nothing stored yet
-            fresh = batch
+        except AnalysisException:  # nothing stored yet
+            stored = None
+        fresh = batch if stored is None else only_new(stored, batch, key)
         fresh.write.mode("append").parquet(store)
 
     return write
