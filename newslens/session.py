@@ -23,6 +23,14 @@ DEFAULT_CONF = {
 }
 
 
+def _local_heap(cap_mb: int = 12 * 1024) -> str:
+    try:
+        total_mb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (1024 * 1024)
+    except (ValueError, OSError, AttributeError):
+        return f"{cap_mb}m"
+    return f"{max(1024, min(cap_mb, int(total_mb * 0.6)))}m"
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "newslens", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
@@ -36,8 +44,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
-        # Local mode runs every task inside the driver JVM.
-        conf["spark.driver.memory"] = os.environ.get("NEWSLENS_DRIVER_MEMORY", "12g")
+        # Local mode runs every task inside the driver JVM: give it up to 12 GB,
+        # but never more than 60 % of the machine's memory.
+        conf["spark.driver.memory"] = os.environ.get("NEWSLENS_DRIVER_MEMORY", _local_heap())
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
