@@ -7,6 +7,11 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Batches with at most this many keys are matched against the store through a
+# broadcast of their keys (an ingest micro-batch: about 5 MB of URLs). Larger
+# batches are comparable to the store, and a shuffle anti join is cheaper.
+MAX_BATCH_KEYS = 50_000
+
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per ``key``: the row with the smallest ``order`` tuple. NULL keys form one group.
@@ -42,9 +47,21 @@ def merge_history(history: DataFrame, new: DataFrame, key: str = "url",
     return keep_first(u, key, [seq_col, *order])
 
 
-def only_new(stored: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
+def only_new(stored: DataFrame, batch: DataFrame, key: str = "url",
+             max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is not stored yet. Keys match null-safely (a stored NULL key
-    makes new NULL-key rows duplicates, as in the merge). Repeated stored keys do not
-    change an anti join, so the stored keys are not deduplicated first."""
+    makes new NULL-key rows duplicates, as in the merge).
+
+    Spark cannot broadcast the left side of an anti join, so the plain
+    ``batch ▷ stored`` shuffles every stored key. With ``max_broadcast_rows`` set
+    and a batch of at most that many rows (counted, at most that many + 1 —
+    cheap when the batch is materialised, as in a streaming micro-batch), the
+    batch keys are broadcast into a semi join that picks the stored keys
+    occurring in the batch — the store is scanned, not shuffled — and the batch
+    is anti-joined with that small result.
+    """
+    keys = batch.select(F.col(key).alias("_batch_key"))
     s = stored.select(F.col(key).alias("_stored_key"))
+    if max_broadcast_rows is not None and keys.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        s = s.join(F.broadcast(keys.distinct()), s["_stored_key"].eqNullSafe(keys["_batch_key"]), "left_semi")
     return batch.join(s, batch[key].eqNullSafe(s["_stored_key"]), "left_anti")

@@ -8,13 +8,14 @@ a duplicate that arrives after its dedupe state expired.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from newslens.functions import dates
-from newslens.operators.dedupe import only_new
+from newslens.operators.dedupe import MAX_BATCH_KEYS, only_new
 from newslens.sources.headlines import RESPONSE, _flatten
 
 
@@ -43,8 +44,13 @@ def append_new(store: str, key: str = "url"):
             stored = spark.read.parquet(store).select(key)
         except AnalysisException:  # nothing stored yet
             stored = None
-        fresh = batch if stored is None else only_new(stored, batch, key)
-        fresh.write.mode("append").parquet(store)
+        # The micro-batch is read twice (size check, then the write): keep it.
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fresh = batch if stored is None else only_new(stored, batch, key, max_broadcast_rows=MAX_BATCH_KEYS)
+            fresh.write.mode("append").parquet(store)
+        finally:
+            batch.unpersist()
 
     return write
 
