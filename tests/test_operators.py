@@ -9,7 +9,7 @@ from newslens.operators import coverage as cov
 from newslens.operators import entities as ent
 from newslens.operators import enrich, topics
 from newslens.operators.cleaning import clean_articles
-from newslens.operators.dedupe import keep_first, merge_history
+from newslens.operators.dedupe import keep_first, merge_history, only_new
 
 COLS = "article_id long, url string, topic string, source string, pol_leaning string, sentiment string, datetime string"
 
@@ -119,6 +119,16 @@ def test_dedupe_history_wins_and_nulls_collapse(spark):
     assert {r.url: r.v for r in inc2.collect()} == {"a": "old", "b": "new", None: "n-null"}
 
 
+def test_only_new_both_paths(spark):
+    stored = spark.createDataFrame([("a",), ("b",), (None,)], "url string")
+    batch = spark.createDataFrame([("a", 1), ("c", 2), (None, 3), ("c", 4)], "url string, v int")
+    for bound in (None, 10, 1):  # plain anti join, broadcast semi join, bound exceeded
+        got = sorted(r.v for r in only_new(stored, batch, max_broadcast_rows=bound).collect())
+        assert got == [2, 4], bound
+    no_null = stored.where("url IS NOT NULL")
+    assert sorted(r.v for r in only_new(no_null, batch, max_broadcast_rows=10).collect()) == [2, 3, 4]
+
+
 def test_clean_articles_pipeline(spark):
     german = "Das ist ein Text und der Hund ist mit dem Ball im Garten"
     rows = [("t1", "x", "https://www.bild.de/a", "2024-11-06T12:34:56+01:00", "d", german + " http://x.y/z", 0, 1),
