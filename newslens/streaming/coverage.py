@@ -26,3 +26,19 @@ def coverage_windows(df: DataFrame, ts_col: str = "ts", window: str = "1 day",
         .agg(F.count("*").alias("n_articles"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "topic", "pol_leaning", "n_articles")
+
+
+def start_coverage(rows: DataFrame, sink: str, checkpoint: str, ts_col: str = "ts", window: str = "1 day",
+                   watermark: str = "2 days", available_now: bool = True):
+    """Write running coverage counts of a stream of articles in append mode.
+
+    Each window is written once, when the watermark has passed its end, and its
+    state is dropped then, so the state holds only the open windows. Rows older
+    than the watermark are dropped by the aggregation; the query progress
+    reports them as ``numRowsDroppedByWatermark``.
+    """
+    agg = coverage_windows(rows, ts_col, window, watermark=watermark)
+    w = agg.writeStream.outputMode("append").format("parquet").option("path", sink) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()

@@ -52,3 +52,35 @@ def test_windowed_coverage_stream(spark):
     got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles
            for r in spark.sql("SELECT * FROM cov_test").collect()}
     assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1, ("2024-01-05", "B", "links"): 1}
+
+
+def test_coverage_stream_append_mode_and_late_rows(spark):
+    from newslens.streaming.coverage import start_coverage
+
+    root = tempfile.mkdtemp(prefix="newslens-covapp-")
+    landing, sink, ckpt = (os.path.join(root, d) for d in ("landing", "sink", "ckpt"))
+    schema = "topic string, pol_leaning string, datetime string"
+    rows1 = [("A", "links", "20240101100000"), ("A", "links", "20240101110000"), ("A", "mitte", "20240102000000"),
+             ("B", "links", "20240105000000")]
+    spark.createDataFrame(rows1, schema).coalesce(1).write.mode("append").parquet(landing)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(landing).withColumn("ts", article_ts("datetime"))
+        q = start_coverage(stream, sink, ckpt, window="1 day", watermark="1 day")
+        q.awaitTermination(120)
+        return q
+
+    run()
+    got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles for r in spark.read.parquet(sink).collect()}
+    # The watermark is 2024-01-04: the first two days are final and written, 2024-01-05 stays open.
+    assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1}
+
+    # A late row for a closed day is dropped; a row far ahead closes 2024-01-05.
+    rows2 = [("A", "links", "20240101120000"), ("C", "rechts", "20240110000000")]
+    spark.createDataFrame(rows2, schema).coalesce(1).write.mode("append").parquet(landing)
+    q = run()
+    got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles for r in spark.read.parquet(sink).collect()}
+    assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1, ("2024-01-05", "B", "links"): 1}
+    dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress
+                  if p.get("stateOperators"))
+    assert dropped == 1
