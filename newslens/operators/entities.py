@@ -58,6 +58,18 @@ def entity_count_map(entities_col: str = "entities") -> Column:
     return F.map_from_arrays(F.transform(ordered, lambda r: r["k"]), F.transform(ordered, lambda r: r["c"]))
 
 
+def topic_entity_mentions(df: DataFrame, entities_col: str = "entities", topic_col: str = "topic") -> DataFrame:
+    """(topic, entity, n_mentions) from articles that carry their own entity list and topic.
+
+    The topic is on the article row, so the mentions are counted straight from
+    the exploded lists (partial aggregation per task, no join back to the
+    articles).
+    """
+    m = df.where(F.col(topic_col).isNotNull()).select(
+        F.col(topic_col).alias("topic"), F.explode(F.col(entities_col)["text"]).alias("entity"))
+    return m.where(F.col("entity").isNotNull()).groupBy("topic", "entity").agg(F.count("*").alias("n_mentions"))
+
+
 def entity_mentions(articles: DataFrame, mentions: DataFrame, key: str = "article_id") -> DataFrame:
     """(topic, entity, n): entity mentions summed per topic.
 

@@ -62,8 +62,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
 
     out = out.withColumn("entities", ent.capitalised_entities(text_col, stop=stop)) \
         .withColumn("entity_counts", ent.entity_count_map("entities"))
-    mentions = out.select(key, F.explode("entities.text").alias("entity"))
-    counts = ent.entity_mentions(out.select(key, "topic"), mentions, key)
+    counts = ent.topic_entity_mentions(out)
     pairs = ent.related_topics(ent.top_entities(counts))
     return enrich.with_processed_text(ent.attach_related(out, pairs)).drop("tokens")
 
