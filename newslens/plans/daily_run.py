@@ -54,11 +54,11 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
 
     reps = topics.class_tfidf(clustered, "topic_nr")
     labels = topics.label_topics(reps, topics.label_dim(clustered.sparkSession))
-    per_topic = clustered.select("topic_nr").distinct()
-    per_topic = lookup_join(per_topic, labels.select(F.col("topic").alias("topic_nr"), F.col("label").alias("topic")),
-                            "topic_nr", "left", max_rows=100_000) \
+    # One label row per topic number (at most k + 1): a left lookup, and topics
+    # without a label (the outliers) get the text None.
+    named = labels.select(F.col("topic").alias("topic_nr"), F.col("label").alias("topic"))
+    out = lookup_join(clustered, named, "topic_nr", "left", max_rows=100_000) \
         .withColumn("topic", F.coalesce("topic", F.lit("None")))
-    out = lookup_join(clustered, per_topic, "topic_nr", "inner", max_rows=100_000)
 
     out = out.withColumn("entities", ent.capitalised_entities(text_col, stop=stop)) \
         .withColumn("entity_counts", ent.entity_count_map("entities"))
