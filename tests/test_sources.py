@@ -6,10 +6,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from newslens.sources.articles import load_articles, read_csv_articles, read_or_empty
+from newslens.sources.articles import load_articles, read_csv_articles, read_or_empty, write_csv_articles
 from newslens.sources.headlines import read_responses, select_headlines
 from newslens.sources.paged import url_batches, write_batches
-from newslens.sources.tables import RAW_ARTICLE_SCHEMA
+from newslens.sources.tables import ENRICHED_SCHEMA, RAW_ARTICLE_SCHEMA
 
 
 def test_csv_reader_and_empty_fallback(spark):
@@ -25,6 +25,28 @@ def test_csv_reader_and_empty_fallback(spark):
     assert empty.count() == 0 and empty.columns == RAW_ARTICLE_SCHEMA.fieldNames()
 
 
+def test_csv_round_trip_of_enriched_articles(spark):
+    root = tempfile.mkdtemp(prefix="newslens-csvrt-")
+    rows = [("T \"q\", x", "bild", "https://www.bild.de/a", "20241106123456", "d", "line1\nline2, more",
+             "rechts", "line more", "line", "neutral", 3, "Wirtschaft",
+             [("Olaf", "PER"), ("Berlin", "LOC"), ("Olaf", "PER")], {"Olaf": 2, "Berlin": 1},
+             [("Politik", 2), ("Sport", 1)]),
+            ("t2", "taz", "https://www.taz.de/b", "20241107", "d", "x", "links", "x", "x", "positive", -1, "None",
+             [], {}, [])]
+    df = spark.createDataFrame(rows, ENRICHED_SCHEMA)
+    write_csv_articles(df, root + "/out")
+    back = read_csv_articles(spark, root + "/out", ENRICHED_SCHEMA)
+    got = {r.url: r for r in back.collect()}
+    a = got["https://www.bild.de/a"]
+    assert a.title == 'T "q", x' and a.content == "line1\nline2, more" and a.topic_nr == 3
+    assert [(e.text, e.label) for e in a.entities] == [("Olaf", "PER"), ("Berlin", "LOC"), ("Olaf", "PER")]
+    assert a.entity_counts == {"Olaf": 2, "Berlin": 1}
+    assert [(t.topic, t.overlap) for t in a.related_topics] == [("Politik", 2), ("Sport", 1)]
+    b = got["https://www.taz.de/b"]
+    # The text None (a topic below the label cut-off) reads back as NULL, like a CSV reader does.
+    assert b.topic is None and b.entities == [] and b.entity_counts == {} and b.related_topics == []
+
+
 def test_load_articles_rules_and_persist(spark):
     root = tempfile.mkdtemp(prefix="newslens-load-")
     rows = [("u1", "20231031120000", "A"), ("u2", "20231101000000", "A"), ("u3", None, "A"),
