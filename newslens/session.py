@@ -17,6 +17,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoint files of intermediate results are deleted once the DataFrame
+    # that owns them is garbage collected, so the shared checkpoint folder does
+    # not grow with every run.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Case mapping through the JVM instead of ICU: same results on article
     # text (full Unicode mappings), about five times faster for lower().
     "spark.sql.icu.caseMappings.enabled": "false",
