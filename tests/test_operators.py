@@ -1,8 +1,5 @@
 """Operator semantics on hand-made article rows."""
 
-import datetime as dt
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from newslens.operators import coverage as cov

@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from newslens.sources.articles import load_articles, read_csv_articles, read_or_empty, write_csv_articles
 from newslens.sources.headlines import read_responses, select_headlines

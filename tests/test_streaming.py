@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from newslens.streaming.coverage import article_ts, coverage_windows
 from newslens.streaming.ingest import start_ingest
