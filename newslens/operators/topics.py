@@ -15,10 +15,14 @@ from newslens.session import cut_lineage
 
 def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
                    min_size: int = fixed.MIN_TOPIC_SIZE, seed: int = fixed.RANDOM_SEED,
-                   max_iter: int = 20) -> DataFrame:
+                   max_iter: int = 20, missing_as_outlier: bool = False) -> DataFrame:
     """Topic number per row from seeded k-means on the vectors; clusters with fewer than
     ``min_size`` members become the outlier topic -1.
 
+    With ``missing_as_outlier`` (vectors supplied from elsewhere, possibly not for
+    every row) the model is fitted on the rows that have a vector and the rows
+    without one get the outlier topic -1.
+
     The cluster sizes come from the training summary of the fitted model (the
     last pass of the fit assigns every training row), so the outlier rule is a
     literal list of at most ``k`` cluster ids: no extra pass over the rows and
@@ -29,14 +33,18 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
     from pyspark.ml.linalg import VectorUDT
 
     is_vector = isinstance(df.schema[vector_col].dataType, VectorUDT)
-    vec = df.withColumn("_features", F.col(vector_col) if is_vector else array_to_vector(F.col(vector_col)))
+    src = df.where(F.col(vector_col).isNotNull()) if missing_as_outlier else df
+    vec = src.withColumn("_features", F.col(vector_col) if is_vector else array_to_vector(F.col(vector_col)))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features",
                    predictionCol="_cluster").fit(vec)
     sizes = model.summary.clusterSizes
     kept = [i for i, n in enumerate(sizes) if n >= min_size]
     pred = model.transform(vec).drop("_features")
     topic = F.when(F.col("_cluster").isin(*kept), F.col("_cluster")) if kept else F.lit(None)
-    return pred.withColumn("topic_nr", F.coalesce(topic, F.lit(-1)).cast("int")).drop("_cluster")
+    out = pred.withColumn("topic_nr", F.coalesce(topic, F.lit(-1)).cast("int")).drop("_cluster")
+    if missing_as_outlier:
+        out = out.unionByName(df.where(F.col(vector_col).isNull()).withColumn("topic_nr", F.lit(-1).cast("int")))
+    return out
 
 
 def tfidf_vectors(df: DataFrame, tokens_col: str = "tokens", out_col: str = "features",

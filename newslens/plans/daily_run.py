@@ -50,7 +50,8 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
         vec = a.join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
     else:
         vec = topics.tfidf_vectors(a, "tokens", "_vec")
-    clustered = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size).drop("_vec"))
+    clustered = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size,
+                                                  missing_as_outlier=vectors is not None).drop("_vec"))
 
     reps = topics.class_tfidf(clustered, "topic_nr")
     labels = topics.label_topics(reps, topics.label_dim(clustered.sparkSession))

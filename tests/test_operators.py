@@ -236,3 +236,20 @@ def test_enrichment_run_columns_and_invariants(spark):
         assert r.sentiment in ("positive", "neutral", "negative") and r.topic in labels
         assert sum(r.entity_counts.values()) == len(r.entities)
         assert all(t.topic != r.topic and t.overlap >= 1 for t in r.related_topics)
+
+
+def test_enrichment_with_supplied_vectors_for_some_rows(spark):
+    from newslens.operators.cleaning import clean_content, drop_null_text
+    from newslens.plans.daily_run import enrich_articles
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("text", "content")
+    cleaned = drop_null_text(clean_content(d, "content"), "content")
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet") \
+        .select(F.col("vec_id").alias("doc_id"), "embedding")
+    with_vec = e.where(F.col("doc_id") % 2 == 0)
+    out = enrich_articles(cleaned, key="doc_id", k_topics=4, min_topic_size=3, vectors=with_vec)
+    rows = out.select("doc_id", "topic_nr").collect()
+    assert len(rows) == cleaned.count()
+    have = {r.doc_id for r in with_vec.collect()}
+    assert all(r.topic_nr == -1 for r in rows if r.doc_id not in have)
+    assert any(r.topic_nr >= 0 for r in rows if r.doc_id in have)
