@@ -253,3 +253,17 @@ def test_enrichment_with_supplied_vectors_for_some_rows(spark):
     have = {r.doc_id for r in with_vec.collect()}
     assert all(r.topic_nr == -1 for r in rows if r.doc_id not in have)
     assert any(r.topic_nr >= 0 for r in rows if r.doc_id in have)
+
+
+def test_enrichment_with_registered_sentiment_scorer(spark):
+    from newslens.operators.cleaning import clean_content, drop_null_text
+    from newslens.plans.daily_run import enrich_articles
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("text", "content")
+    cleaned = drop_null_text(clean_content(d, "content"), "content")
+    # A stand-in model: long truncated texts are "positive", others "negative".
+    enrich.register_scorer("by_length", lambda s: s.str.len().gt(2000).map({True: "positive", False: "negative"}))
+    out = enrich_articles(cleaned, key="doc_id", k_topics=4, min_topic_size=3, scorer="by_length")
+    rows = out.select("sentiment", "processed_content_truncated").collect()
+    assert len(rows) == cleaned.count()
+    assert all(r.sentiment == ("positive" if len(r.processed_content_truncated) > 2000 else "negative") for r in rows)
