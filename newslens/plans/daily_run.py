@@ -46,12 +46,17 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     # once instead of being recomputed by each of those jobs.
     a = cut_lineage(a)
 
-    if vectors is not None:
-        vec = a.join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
+    if a.isEmpty():
+        # A run without new articles: there is nothing to fit the models on, and
+        # the result is the empty enriched table (a one-row probe of the checkpoint).
+        clustered = a.withColumn("topic_nr", F.lit(-1).cast("int"))
     else:
-        vec = topics.tfidf_vectors(a, "tokens", "_vec")
-    clustered = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size,
-                                                  missing_as_outlier=vectors is not None).drop("_vec"))
+        if vectors is not None:
+            vec = a.join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
+        else:
+            vec = topics.tfidf_vectors(a, "tokens", "_vec")
+        clustered = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size,
+                                                      missing_as_outlier=vectors is not None).drop("_vec"))
 
     reps = topics.class_tfidf(clustered, "topic_nr")
     labels = topics.label_topics(reps, topics.label_dim(clustered.sparkSession))

@@ -267,3 +267,14 @@ def test_enrichment_with_registered_sentiment_scorer(spark):
     rows = out.select("sentiment", "processed_content_truncated").collect()
     assert len(rows) == cleaned.count()
     assert all(r.sentiment == ("positive" if len(r.processed_content_truncated) > 2000 else "negative") for r in rows)
+
+
+def test_enrichment_of_an_empty_batch(spark):
+    from newslens.operators.cleaning import clean_content, drop_null_text
+    from newslens.plans.daily_run import enrich_articles
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("text", "content") \
+        .where(F.col("doc_id") < 0)
+    out = enrich_articles(drop_null_text(clean_content(d, "content"), "content"), key="doc_id", k_topics=4)
+    assert out.count() == 0
+    assert {"topic_nr", "topic", "entities", "entity_counts", "related_topics", "processed_content"} <= set(out.columns)
