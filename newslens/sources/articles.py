@@ -68,6 +68,22 @@ def prepare_for_dashboard(df: DataFrame, month_floor: int | None = fixed.MONTH_F
     return out
 
 
+# Partition column of the stored article table: yyyyMM of ``datetime`` as an
+# integer, NULL when the text does not start with six digits.
+MONTH_PARTITION = "pub_month"
+
+
+def write_articles(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store enriched articles as parquet partitioned by publication month.
+
+    Readers that keep only recent months (the dashboard's month floor) then
+    read only those partitions; unknown dates land in the NULL partition.
+    """
+    prefix = dates.month_prefix("datetime")
+    month = F.when(prefix.rlike(r"^[0-9]{6}$"), prefix.try_cast("int"))
+    df.withColumn(MONTH_PARTITION, month).write.mode(mode).partitionBy(MONTH_PARTITION).parquet(path)
+
+
 def load_articles(spark: SparkSession, path: str, fmt: str = "parquet",
                   month_floor: int | None = fixed.MONTH_FLOOR,
                   excluded_topic: str | None = fixed.EXCLUDED_TOPIC, persist: bool = False) -> DataFrame:
@@ -78,6 +94,11 @@ def load_articles(spark: SparkSession, path: str, fmt: str = "parquet",
     memoised load; the caller ends it with ``unpersist()``.
     """
     df = spark.read.format(fmt).load(path)
+    if month_floor is not None and MONTH_PARTITION in df.columns:
+        # Partition filter, a superset of the exact rule below: only the
+        # partitions of unknown or recent months are read.
+        m = F.col(MONTH_PARTITION)
+        df = df.where(m.isNull() | (m >= F.lit(month_floor)))
     out = prepare_for_dashboard(df, month_floor, excluded_topic)
     return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 

@@ -5,7 +5,8 @@ import os
 import tempfile
 
 
-from newslens.sources.articles import load_articles, read_csv_articles, read_or_empty, write_csv_articles
+from newslens.sources.articles import (load_articles, read_csv_articles, read_or_empty, write_articles,
+                                       write_csv_articles)
 from newslens.sources.headlines import read_responses, select_headlines
 from newslens.sources.paged import url_batches, write_batches
 from newslens.sources.tables import ENRICHED_SCHEMA, RAW_ARTICLE_SCHEMA
@@ -58,6 +59,21 @@ def test_load_articles_rules_and_persist(spark):
     df.unpersist()
 
 
+def test_month_partitioned_store_prunes_and_keeps_the_load_rule(spark):
+    root = tempfile.mkdtemp(prefix="newslens-part-")
+    rows = [("u1", "20231031120000", "A"), ("u2", "20231101000000", "A"), ("u3", None, "A"),
+            ("u4", "nan", "B"), ("u5", "20241301", None), ("u6", "abc", "A"), ("u7", "2024", "A"),
+            ("u8", "20250101", "Börse")]
+    df = spark.createDataFrame(rows, "url string, datetime string, topic string")
+    write_articles(df, root + "/store")
+    df.write.parquet(root + "/flat")
+    part = load_articles(spark, root + "/store")
+    flat = load_articles(spark, root + "/flat")
+    assert sorted(r.url for r in part.collect()) == sorted(r.url for r in flat.collect()) == ["u2", "u3", "u4", "u5"]
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "pub_month" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
 def test_url_batches_offsets(spark):
     urls = spark.createDataFrame([(f"u{i:03d}",) for i in range(25)], "url string").repartition(4)
     got = url_batches(urls, start=5, end=17, size=5).orderBy("position").collect()
