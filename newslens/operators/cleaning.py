@@ -48,9 +48,10 @@ def clean_articles(raw: DataFrame, order: Sequence[str] = ("ingest_seq",),
                    allowed: Sequence[str] | None = fixed.ALLOWED_OUTLETS, **text_params) -> DataFrame:
     """Full cleaning of merged headline rows (title, source, url, publishedAt, description, content).
 
-    ``order`` defines which row of a duplicated URL is first. After the text
-    steps every row with any NULL column is dropped, the outlet is taken from
-    the URL and only allowed outlets stay.
+    ``order`` defines which row of a duplicated URL is first. Rows with a NULL in
+    any column but the date are dropped; after the text steps rows without text
+    are dropped too, the outlet is taken from the URL and only allowed outlets
+    stay.
     """
     df = raw.withColumnsRenamed({"publishedAt": "datetime"}) \
         .withColumn("datetime", dates.format_datetime("datetime"))
@@ -59,7 +60,11 @@ def clean_articles(raw: DataFrame, order: Sequence[str] = ("ingest_seq",),
         df = keep_first(df, "url", order_cols).drop(*order_cols)
     else:
         df = df.dropDuplicates(["url"])
-    df = df.dropna(how="any", subset=[c for c in df.columns if c != "content"])
+    # Any NULL drops the row, except in the text (cleaned next) and the date: the
+    # original turns a missing date into the text "nan" before this step, so
+    # undated articles survive; here the date stays NULL and later rules
+    # (digit test, month floor) decide.
+    df = df.dropna(how="any", subset=[c for c in df.columns if c not in ("content", "datetime")])
     df = drop_null_text(clean_content(df, "content", **text_params), "content")
     df = df.withColumn("source", tx.outlet_from_url("url"))
     if allowed is not None:

@@ -24,8 +24,10 @@ def headline_stream(spark: SparkSession, landing: str, max_files_per_trigger: in
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = _flatten(reader.json(landing).select(F.struct("articles").alias("r")))
+    # A headline without a readable date gets the micro-batch time as event
+    # time: it is new now, and a NULL event time could never pass the watermark.
     ts = F.coalesce(F.try_to_timestamp("publishedAt"),
-                    F.try_to_timestamp("publishedAt", F.lit("yyyy-MM-dd HH:mm:ss")))
+                    F.try_to_timestamp("publishedAt", F.lit("yyyy-MM-dd HH:mm:ss")), F.current_timestamp())
     return rows.withColumn("ts", ts).withColumn("datetime", dates.format_datetime("publishedAt"))
 
 

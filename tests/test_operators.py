@@ -139,6 +139,16 @@ def test_clean_articles_pipeline(spark):
     assert [(r.title, r.source, r.datetime, r.content) for r in out] == [("t1", "bild", "20241106123456", german + " ")]
 
 
+def test_clean_articles_keeps_undated_rows(spark):
+    german = "Das ist ein Text und der Hund ist mit dem Ball im Garten"
+    rows = [("t1", "x", "https://www.bild.de/a", None, "d", german, 0),
+            ("t2", "x", "https://www.bild.de/b", "2024-11-06T00:00:00", "d", german, 0)]
+    raw = spark.createDataFrame(rows, "title string, source string, url string, publishedAt string, "
+                                      "description string, content string, ingest_seq int")
+    got = {r.title: r.datetime for r in clean_articles(raw).collect()}
+    assert got == {"t1": None, "t2": "20241106000000"}
+
+
 def test_leaning_lookup(spark):
     df = spark.createDataFrame([("bild",), ("taz",), ("nope",)], "source string")
     got = {r.source: r.pol_leaning for r in enrich.assign_leaning(df).collect()}

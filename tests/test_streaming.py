@@ -30,10 +30,12 @@ def test_ingest_dedupes_across_batches_and_replays(spark):
     assert sorted(r.url for r in first.collect()) == ["u1", "u2"]
     assert first.where("url = 'u1'").first().title == "t"
 
-    _land(landing, "r2.json", [_a("u2", "2024-11-07 09:00:00", "again"), _a("u3", "2024-11-07 10:00:00")])
+    _land(landing, "r2.json", [_a("u2", "2024-11-07 09:00:00", "again"), _a("u3", "2024-11-07 10:00:00"),
+                               _a("u4", None, "undated")])
     start_ingest(spark, landing, store, ckpt).awaitTermination(120)
     urls = sorted(r.url for r in spark.read.parquet(store).collect())
-    assert urls == ["u1", "u2", "u3"]
+    assert urls == ["u1", "u2", "u3", "u4"]
+    assert spark.read.parquet(store).where("url = 'u4'").first().datetime is None
     row = spark.read.parquet(store).where("url = 'u1'").first()
     assert row.datetime == "20241106100000"
 
