@@ -14,7 +14,7 @@ from newslens.operators.enrich import assign_leaning
 from newslens.sources.articles import ARTICLE_VIEW_SQL, article_view, leaning_of_nation
 from newslens.sources.headlines import parse_responses, select_headlines
 from newslens.sources.tables import table
-from newslens.streaming.coverage import article_ts, coverage_windows
+from newslens.streaming.coverage import article_ts, coverage_windows, utc_day
 
 # The stored history holds the articles dated before 1998, the new batch those
 # from 1997 on: the year 1997 arrives twice and must keep its stored rows.
@@ -113,7 +113,7 @@ def headline_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = article_view(spark, sf_dir).withColumn("ts", article_ts("datetime"))
     w = coverage_windows(v, "ts", "1 day")
-    return w.select(F.col("window_start").cast("date").alias("day"), "topic", "pol_leaning", "n_articles")
+    return w.select(utc_day("window_start").alias("day"), "topic", "pol_leaning", "n_articles")
 
 
 SPARK = {

@@ -7,9 +7,32 @@ from pyspark.sql import functions as F
 
 
 def article_ts(datetime_col: str = "datetime") -> F.Column:
-    """Timestamp of the compact ``yyyyMMddHHmmss`` text (8-digit dates are midnight)."""
+    """Event time of the compact ``yyyyMMddHHmmss`` text (8-digit dates are midnight).
+
+    The wall-clock fields are read as UTC, so the instant is the same in every
+    session time zone and tumbling windows, which Spark aligns at UTC
+    midnight, are the calendar days of the text. Other text, or impossible
+    dates, give NULL.
+    """
     c = F.col(datetime_col)
-    return F.coalesce(F.try_to_timestamp(c, F.lit("yyyyMMddHHmmss")), F.try_to_timestamp(c, F.lit("yyyyMMdd")))
+    full = c.rlike(r"^[0-9]{14}$")
+    day_only = c.rlike(r"^[0-9]{8}$")
+
+    def field(pos: int, n: int) -> F.Column:
+        return F.substring(c, pos, n).cast("int")
+
+    def clock(pos: int) -> F.Column:
+        return F.when(full, field(pos, 2)).otherwise(F.lit(0))
+
+    ts = F.try_make_timestamp(field(1, 4), field(5, 2), field(7, 2), clock(9), clock(11), clock(13),
+                              timezone=F.lit("UTC"))
+    return F.when(full | day_only, ts)
+
+
+def utc_day(ts_col) -> F.Column:
+    """Calendar day (UTC) of an instant, independent of the session time zone."""
+    c = F.col(ts_col) if isinstance(ts_col, str) else ts_col
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / F.lit(86400)).cast("int"))
 
 
 def coverage_windows(df: DataFrame, ts_col: str = "ts", window: str = "1 day",

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
 
 from newslens.streaming.coverage import article_ts, coverage_windows
 from newslens.streaming.ingest import start_ingest
@@ -85,3 +86,21 @@ def test_coverage_stream_append_mode_and_late_rows(spark):
     dropped = sum(p["stateOperators"][0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress
                   if p.get("stateOperators"))
     assert dropped == 1
+
+
+def test_event_time_does_not_depend_on_the_session_time_zone(spark):
+    from newslens.streaming.coverage import utc_day
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("20240101000000",), ("20240101",), ("20240310023000",), ("20241301",),
+                                    ("abc",), (None,)], "d string")
+        ts = article_ts("d")
+        got = [(r.s, str(r.day) if r.day else None)
+               for r in df.select(F.unix_seconds(ts).alias("s"), utc_day(ts).alias("day")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    # 2024-03-10 02:30 does not exist in New York (clock change); read as UTC it does.
+    assert got == [(1704067200, "2024-01-01"), (1704067200, "2024-01-01"), (1710037800, "2024-03-10"),
+                   (None, None), (None, None), (None, None)]
