@@ -15,18 +15,18 @@ def article_ts(datetime_col: str = "datetime") -> F.Column:
     dates, give NULL.
     """
     c = F.col(datetime_col)
-    full = c.rlike(r"^[0-9]{14}$")
-    day_only = c.rlike(r"^[0-9]{8}$")
-
-    def field(pos: int, n: int) -> F.Column:
-        return F.substring(c, pos, n).cast("int")
-
-    def clock(pos: int) -> F.Column:
-        return F.when(full, field(pos, 2)).otherwise(F.lit(0))
-
-    ts = F.try_make_timestamp(field(1, 4), field(5, 2), field(7, 2), clock(9), clock(11), clock(13),
-                              timezone=F.lit("UTC"))
-    return F.when(full | day_only, ts)
+    # The two parses validate the text (digits, field ranges) as before; the
+    # instant is then built from the text's own fields, so it does not depend
+    # on the session zone (a DATE has none).
+    full_ok = F.try_to_timestamp(c, F.lit("yyyyMMddHHmmss")).isNotNull()
+    day_ok = F.try_to_timestamp(c, F.lit("yyyyMMdd")).isNotNull()
+
+    def field(pos: int) -> F.Column:
+        return F.substring(c, pos, 2).try_cast("long")
+
+    day = F.unix_date(F.try_to_date(F.substring(c, 1, 8), "yyyyMMdd")).cast("long") * 86400
+    seconds = F.when(full_ok, day + field(9) * 3600 + field(11) * 60 + field(13)).when(day_ok, day)
+    return F.timestamp_seconds(seconds)
 
 
 def utc_day(ts_col) -> F.Column:
