@@ -43,8 +43,19 @@ ENRICHED_SCHEMA = T.StructType([
 ])
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A parquet table; after the first read its schema is passed explicitly, which skips
+    the schema-inference job that every read would otherwise start."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    known = _SCHEMAS.get(path)
+    if known is not None:
+        return spark.read.schema(known).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
