@@ -21,10 +21,11 @@ def leaning_dim(spark: SparkSession, mapping: dict = fixed.OUTLET_LEANING) -> Da
 
 def assign_leaning(df: DataFrame, dim: DataFrame | None = None, source_col: str = "source") -> DataFrame:
     """Left lookup of the outlet's leaning; outlets missing from the table get NULL."""
+    known = len(fixed.OUTLET_LEANING) if dim is None else None  # the fixed table's size is known
     dim = dim if dim is not None else leaning_dim(df.sparkSession)
     dim = dim.withColumnRenamed("source", source_col)
     base = df.drop("pol_leaning") if "pol_leaning" in df.columns else df
-    return lookup_join(base, dim, source_col, "left")
+    return lookup_join(base, dim, source_col, "left", known_rows=known)
 
 
 def with_tokens(df: DataFrame, text_col: str = "content", stop: Sequence[str] | None = None,

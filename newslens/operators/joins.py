@@ -10,12 +10,16 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                max_rows: int = MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:
     """Join ``df`` with a lookup table; broadcast it only when it has at most ``max_rows`` rows.
 
     The size check counts at most ``max_rows + 1`` rows of the table (a small
-    job on a dimension). Past the bound the join stays a shuffle join and AQE
-    may still switch it to a broadcast from runtime statistics.
+    job on a dimension). A caller that can prove an upper bound on the rows
+    (a fixed list, one row per cluster) passes it as ``known_rows`` and the
+    count is skipped. Past the bound the join stays a shuffle join and AQE may
+    still switch it to a broadcast from runtime statistics.
     """
+    if known_rows is not None and known_rows <= max_rows:
+        return df.join(F.broadcast(dim), on, how)
     small = dim.limit(max_rows + 1).count() <= max_rows
     return df.join(F.broadcast(dim) if small else dim, on, how)

@@ -63,7 +63,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     # One label row per topic number (at most k + 1): a left lookup, and topics
     # without a label (the outliers) get the text None.
     named = labels.select(F.col("topic").alias("topic_nr"), F.col("label").alias("topic"))
-    out = lookup_join(clustered, named, "topic_nr", "left", max_rows=100_000) \
+    out = lookup_join(clustered, named, "topic_nr", "left", max_rows=100_000, known_rows=k_topics + 1) \
         .withColumn("topic", F.coalesce("topic", F.lit("None")))
 
     out = out.withColumn("entities", ent.capitalised_entities(text_col, stop=stop)) \
