@@ -65,3 +65,10 @@ def start_coverage(rows: DataFrame, sink: str, checkpoint: str, ts_col: str = "t
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def dropped_late_rows(query) -> int:
+    """Rows a streaming query has dropped as later than its watermark, summed over the
+    progress reports it still holds (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in query.recentProgress for op in (p.get("stateOperators") or []))
