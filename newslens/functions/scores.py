@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +42,6 @@ def share(part, total) -> Column:
 
 @lru_cache(maxsize=None)
 def spark_stopwords(language: str = "german") -> tuple[str, ...]:
-    """The Snowball stop-word list shipped inside Spark ML (no JVM needed to read it)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+    """A stop-word list shipped as package data (the public Snowball German list that Spark ML uses too)."""
+    text = resources.files("newslens").joinpath("data", f"{language}_stopwords.txt").read_text(encoding="utf-8")
     return tuple(w.strip() for w in text.splitlines() if w.strip())

@@ -43,32 +43,19 @@ ENRICHED_SCHEMA = T.StructType([
 ])
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table; after the first read its schema is passed explicitly, which skips
-    the schema-inference job that every read would otherwise start."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    known = _SCHEMAS.get(path)
-    if known is not None:
-        return spark.read.schema(known).parquet(path)
-    df = spark.read.parquet(path)
-    _SCHEMAS[path] = df.schema
-    return df
+SPREAD_CONF = "spark.newslens.spreadPartitions"
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-partition ``df`` over all cores when its scan yields fewer tasks than cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a text table over as many partitions as the caller asked for in
+    ``spark.newslens.spreadPartitions``; unset (the default) leaves the table as scanned.
 
-    Per-row text work (regexes and tokenising over whole articles) is CPU-bound.
-    A small table stored as one large row group is read by one task and leaves
-    the other cores idle; then a shuffle by ``key`` spreads the rows (hash
-    placement is deterministic, so a retried task gets the same rows). A table
-    that already scans into at least as many tasks as there are cores, as any
-    large table does, is returned unchanged: no shuffle of the raw text.
+    Per-row text work is CPU-bound, and a table stored as one large row group is read by one
+    task. Whoever runs such a table on many cores sets the number; nothing is decided by size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n), key) if n else df

@@ -85,6 +85,8 @@ def test_unicode_tokens(spark):
     assert toks == ["für_öl", "straße"]
     stop = spark_stopwords("german")
     assert "und" in stop and len(stop) > 200
+    from pyspark.ml.feature import StopWordsRemover
+    assert list(stop) == StopWordsRemover.loadDefaultStopWords("german")
     kept = spark.createDataFrame([(["und", "krieg", "und"],)], "t array<string>") \
         .select(tx.drop_stopwords("t", stop).alias("r")).first()["r"]
     assert kept == ["krieg"]

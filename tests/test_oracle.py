@@ -36,11 +36,13 @@ def con():
 def test_every_query_is_registered_with_an_oracle_or_is_iterative():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    # Rows-only: seeded k-means clustering is iterative, not a SQL query.
-    assert set(qs) - set(sql) == {"topic_clusters", "document_enrichment"}
+    # Rows-only: seeded k-means clustering is iterative, not a SQL query. The corpus operators
+    # (op<N>_*, pipeline) have brute-force tests of their own.
+    rest = {q for q in set(qs) - set(sql) if not (q == "pipeline" or q.startswith("op"))}
+    assert rest == {"topic_clusters", "document_enrichment"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith("op")))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]

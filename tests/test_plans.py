@@ -78,14 +78,15 @@ def test_related_topics_is_an_equi_join(spark):
     assert all(rows[(b, a)] == n for (a, b), n in rows.items()) and all(1 <= n <= 10 for n in rows.values())
 
 
-def test_spread_only_when_the_scan_has_fewer_tasks_than_cores(spark):
-    from newslens.sources.tables import spread
+def test_spread_only_when_the_caller_asks(spark):
+    from newslens.sources.tables import SPREAD_CONF, spread
 
-    cores = spark.sparkContext.defaultParallelism
     few = spark.range(0, 1000, numPartitions=1)
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    spread_few = spread(few, "id")
-    assert spread_few.rdd.getNumPartitions() == cores
-    assert "Exchange hashpartitioning(id" in _plan(spread_few)
-    assert spread(many, "id") is many
-    assert sorted(r.id for r in spread_few.collect()) == list(range(1000))
+    assert spread(few, "id") is few
+    spark.conf.set(SPREAD_CONF, "6")
+    try:
+        wide = spread(few, "id")
+        assert "Exchange hashpartitioning(id" in _plan(wide) and wide.rdd.getNumPartitions() == 6
+        assert sorted(r.id for r in wide.collect()) == list(range(1000))
+    finally:
+        spark.conf.unset(SPREAD_CONF)
