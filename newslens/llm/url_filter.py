@@ -37,7 +37,7 @@ PREFIXES = ("", "www.", "blog.", "m.")
 
 NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 12
-STEPS = 100
+STEPS = 80
 RATE = 30.0
 L2 = 1e-4
 #: Labelled rows that `train` accepts.
@@ -92,13 +92,13 @@ def url_features(host: Column, path: Column, sizes: Sequence[int] = NGRAMS, buck
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table (url, blocked 0/1): every site name, and every pair of syllables as an ordinary
-    one, under each top domain, with one host prefix and one path layout each, chosen by position."""
+    one, with every path layout; top domain and host prefix go in turn."""
     rows, invented = [], [a + b for a in SYLLABLES for b in SYLLABLES]
     for label, sites in ((1, BLOCK_SITES), (0, (*ALLOW_SITES, *invented))):
         for i, site in enumerate(sites):
-            for j, tld in enumerate(TLDS):
-                path = PATHS[(i + j) % len(PATHS)].format(100 + 37 * i + j)
-                rows.append((f"https://{PREFIXES[(i + 2 * j) % len(PREFIXES)]}{site}.{tld}{path}", label))
+            for j, path in enumerate(PATHS):
+                host = f"{PREFIXES[(i + j) % len(PREFIXES)]}{site}.{TLDS[(i + 2 * j) % len(TLDS)]}"
+                rows.append((f"https://{host}{path.format(100 + 37 * i + j)}", label))
     return spark.createDataFrame(rows, "url string, blocked int")
 
 
@@ -142,8 +142,8 @@ def train(labelled: DataFrame, steps: int = STEPS, rate: float = RATE, l2: float
                            F.element_at(w, i + 1) * (1.0 - rate * l2) - rate / n * F.aggregate(
                                x["l"], F.lit(0.0), lambda a, j: a + F.element_at(e, j + 1))))
 
-    one = F.lit(1).alias("k")
-    both = rows.select("rows", one).join(index.select("index", one), "k")
+    both = rows.select("rows", F.lit(None).alias("index")).unionByName(index, allowMissingColumns=True) \
+        .agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("rows", "index")])
     return list(both.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array_repeat(F.lit(0.0), buckets),
                                         lambda w, _: step(w)).alias("w")).first()["w"])
 
