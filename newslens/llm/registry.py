@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newslens.llm.packing import op6_best_fit_packing
 from newslens.llm.simhash import op1_simhash
 from newslens.llm.url_filter import op4_url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op4_url_filter, op6_best_fit_packing)}
 
 
 def oracle_queries() -> dict[str, str]:
