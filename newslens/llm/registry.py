@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newslens.llm.decontam import op10_decontamination
 from newslens.llm.packing import op6_best_fit_packing
 from newslens.llm.secrets import op9_secret_scan
 from newslens.llm.simhash import op1_simhash
@@ -13,7 +14,7 @@ from newslens.llm.url_filter import op4_url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_url_filter, op6_best_fit_packing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op4_url_filter, op6_best_fit_packing, op9_secret_scan, op10_decontamination)}
 
 
 def oracle_queries() -> dict[str, str]:
