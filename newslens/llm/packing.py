@@ -12,7 +12,10 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Mapping
 
@@ -28,8 +31,10 @@ from newslens.sources.tables import table
 SIZE = 4096
 END_ID = 1
 #: Words whose ids a worker remembers at most; a full memory is emptied. Longer words are not kept.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 CACHE_CHARS = 48
+SIGNS = ".,;:!?()*%&$#|/\\\"-+=_<>[]{}@~^"
+MARKS = re.compile("[\u0130\u0300-\U0010ffff]")
 
 
 def tokenizer_path() -> str:
@@ -38,29 +43,65 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer:
-    """Token ids of texts as little-endian uint32 bytes, for a vocabulary that never joins across a space or a
-    newline: each stretch between them is encoded once and remembered."""
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and up, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class WordTokenizer(dict):
+    """Token ids of texts as little-endian uint32 bytes, for a lower-case vocabulary that never joins across a space
+    or a newline: each stretch between them is encoded when first met and remembered (word -> bytes).
+
+    A stretch that is letters alone is one word to the vocabulary's pattern, and goes straight to the merge model;
+    signs behind a letter or digit are words of their own. All else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
-        self._known: dict[str, bytes] = {}
+        self._model, self._letters = self._tok.model, _byte_letters()
+
+    def _ids(self, word: str) -> bytes:
+        low = None if MARKS.search(word) else word.lower()
+        if low and low.isalpha():
+            ids = [t.id for t in self._model.tokenize(low if low.isascii() else
+                                                      low.encode().decode("latin-1").translate(self._letters))]
+        else:
+            core = word.rstrip(SIGNS)
+            if low is not None and core != word and core[-1:].isalnum():
+                return self[core] + self[word[len(core):]]
+            ids = self._tok.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        out = self._ids(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        # Lower-casing first merges words in the memory; it is left to the tokenizer where combining marks could make
+        # the order of the two steps matter.
+        text = text if MARKS.search(text) else text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+#: One tokenizer per Python worker, so that its memory of words outlives a task.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._known
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        found = {w: np.array(e.ids, "<u4").tobytes()
-                 for w, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False))}
-        known.update((w, b) for w, b in found.items() if len(w) <= CACHE_CHARS)
-        return [b"".join([known[w] if w in known else found[w] for w in ws]) for ws in words]
+def _tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE,
@@ -74,12 +115,11 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
               T.StructField("ids_crc32", T.LongType())]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    tail, tok = np.array([end_id], "<u4").tobytes(), {}
+    tail = np.array([end_id], "<u4").tobytes()
 
     def run(b: pa.RecordBatch) -> dict:
-        if not tok:
-            tok[0] = WordTokenizer(path)
-        ids = [x + tail for x in tok[0]([t or "" for t in b.column(1).to_pylist()])]
+        tok = _tokenizer(path)
+        ids = [tok.encode(t or "") + tail for t in b.column(1).to_pylist()]
         cuts = [(i, s) for i, x in enumerate(ids) for s in range(0, len(x), 4 * size)]
         parts = [ids[i][s:s + 4 * size] for i, s in cuts]
         out = {key: b.column(0).take(pa.array([i for i, _ in cuts])), "piece": [s // (4 * size) for _, s in cuts],

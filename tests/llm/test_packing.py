@@ -75,12 +75,21 @@ def test_pieces_and_slots(spark):
 
 def test_cache_may_overflow(monkeypatch):
     monkeypatch.setattr(P, "CACHE_WORDS", 3)
-    t, texts = P.WordTokenizer(P.tokenizer_path()), ["one two three", "four five six one", "", "one " + "y" * 99]
+    t, texts = P.WordTokenizer(P.tokenizer_path()), ["one two three", "four five six one", "", "one " + "y" * 99, "ÉÀ Σας ΟΔΟΣ J\u030c I\u0307 İ \u212a \u212b ﬁ"]
     plain = Tokenizer.from_file(P.tokenizer_path())
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in t(texts)] == \
+        assert [np.frombuffer(t.encode(x), "<u4").tolist() for x in texts] == \
             [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_against_the_plain_tokenizer():
+    t, plain, rnd = P.WordTokenizer(P.tokenizer_path()), Tokenizer.from_file(P.tokenizer_path()), random.Random(11)
+    plain.encode_special_tokens = True
+    letters = "abcXYZéÀßñÖ0129.,!?$%&#|'\"-_()\\ıİſΣςéJ̌한가\u00a0\t\u3000½²ªµ\x1c"
+    for _ in range(20000):
+        text = "".join(rnd.choice(letters + "  \nabcdst'") for _ in range(rnd.randint(0, 25)))
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
