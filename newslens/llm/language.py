@@ -14,7 +14,7 @@ from newslens.sources.tables import table
 
 SIZES, BITS, DIM = (1, 2, 3, 4), 16, 16
 #: Rows per language that the model is fitted on, at most, and the length of the snippets cut from them.
-MAX_PER_LANGUAGE, SNIPPETS, SNIPPET_CHARS = 800, 3, 240
+MAX_PER_LANGUAGE, SNIPPET_CHARS = 800, 240
 EPOCHS, BATCH, RATE, HELD_OUT = 6, 64, 0.3, 0.2
 #: Share of the accepted predictions that shall be right on the held-out snippets.
 PRECISION = 0.995
@@ -70,15 +70,14 @@ class LanguageModel:
 def snippets(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2),
              rows: int = MAX_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """(texts, languages) to learn from: per language at most ``rows`` documents, picked by a hash of the key, none of
-    whose keys' crc32 modulo ``fold[0]`` is ``fold[1]``; a few snippets of each, from its start, middle and end."""
+    whose keys' crc32 modulo ``fold[0]`` is ``fold[1]``; of each its start, a short and a longer one, and its end."""
     mine = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(key, fold[0]) != fold[1]))
     names = [r[0] for r in mine.groupBy(lang).count().select(lang).collect()]
     out: list[tuple[str, str]] = []
     for name in sorted(names):
         ids = F.broadcast(take_ids(mine.where(F.col(lang) == name).select(key), key, rows).distinct())
-        last = F.greatest(F.length(text) - SNIPPET_CHARS, F.lit(0))
-        cuts = [F.substring(F.col(text), (last * i / max(1, SNIPPETS - 1)).cast("int") + 1,
-                            F.lit(SNIPPET_CHARS // (1 if i else 4))) for i in range(SNIPPETS)]
+        start, end = F.substring(F.col(text), 1, SNIPPET_CHARS), F.substring(F.col(text), -SNIPPET_CHARS, SNIPPET_CHARS)
+        cuts = [F.substring(start, 1, SNIPPET_CHARS // 4), start, F.when(F.length(text) > SNIPPET_CHARS, end).otherwise(start)]
         got = mine.where(F.col(lang) == name).join(ids, key).orderBy(key, F.xxhash64(text)).limit(rows) \
             .select(F.explode(F.array_distinct(F.array(*cuts))).alias("t")).collect()
         out += [(r.t, name) for r in got]

@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newslens.llm.decontam import op10_decontamination
+from newslens.llm.language import op2_language_id
 from newslens.llm.packing import op6_best_fit_packing
+from newslens.llm.quality import op5_quality
 from newslens.llm.secrets import op9_secret_scan
 from newslens.llm.simhash import op1_simhash
+from newslens.llm.toxicity import op7_toxicity
 from newslens.llm.url_filter import op4_url_filter
 
 
+_QUERIES = (op1_simhash, op2_language_id, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
+            op9_secret_scan, op10_decontamination)
+
+
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_url_filter, op6_best_fit_packing, op9_secret_scan, op10_decontamination)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_queries() -> dict[str, str]:

@@ -32,7 +32,8 @@ def fold_table(digits: bool = False) -> np.ndarray:
 
 @dataclass
 class Bags:
-    """N-gram buckets with the bag each belongs to, the number of bags, and the text that each bag is cut from."""
+    """N-gram buckets with the bag each belongs to (in runs of ascending bags, one run per n-gram size), the number of
+    bags, and the text that each bag is cut from."""
 
     ids: np.ndarray
     bag: np.ndarray
@@ -120,15 +121,18 @@ class SubwordSoftmax:
 
     def freeze(self) -> "SubwordSoftmax":
         """Fold the output layer into the embeddings; what is left is all that scoring needs."""
-        self.table = np.ascontiguousarray((self.embed @ self.out).T)
+        self.table = self.embed @ self.out
         self.embed = self._seen = None
         return self
 
     def logits(self, bags: Bags) -> np.ndarray:
         """(bags x classes); a bag without n-grams has the bias alone."""
-        table = (self.embed @ self.out).T if self.table is None else self.table
-        n = np.maximum(bags.count(), 1)
-        return np.stack([np.bincount(bags.bag, table[k][bags.ids], bags.n) / n for k in range(len(table))], 1) + self.bias
+        table = self.embed @ self.out if self.table is None else self.table
+        total = np.zeros((bags.n, table.shape[1]))
+        if len(bags.ids):
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(bags.bag)) + 1))
+            np.add.at(total, bags.bag[starts], np.add.reduceat(np.take(table, bags.ids, axis=0), starts))
+        return total / np.maximum(bags.count(), 1)[:, None] + self.bias
 
     def step(self, bags: Bags, error: np.ndarray, rate: float) -> None:
         """One gradient step: ``error`` (bags x classes) is the loss's gradient at the logits. The step of a bucket is
