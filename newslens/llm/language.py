@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import char_chunks, code_points, crc_mod, map_batches, take_ids
+from newslens.llm.common import char_chunks, code_points, crc_mod, map_batches
 from newslens.llm.subword import SubwordSoftmax, batches, fold_table, softmax, take, temperature
 from newslens.sources.tables import table
 
@@ -71,16 +71,15 @@ def snippets(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
              rows: int = MAX_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """(texts, languages) to learn from: per language at most ``rows`` documents, picked by a hash of the key, none of
     whose keys' crc32 modulo ``fold[0]`` is ``fold[1]``; of each its start, a short and a longer one, and its end."""
-    mine = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (crc_mod(key, fold[0]) != fold[1]))
-    names = [r[0] for r in mine.groupBy(lang).count().select(lang).collect()]
-    out: list[tuple[str, str]] = []
-    for name in sorted(names):
-        ids = F.broadcast(take_ids(mine.where(F.col(lang) == name).select(key), key, rows).distinct())
-        start, end = F.substring(F.col(text), 1, SNIPPET_CHARS), F.substring(F.col(text), -SNIPPET_CHARS, SNIPPET_CHARS)
-        cuts = [F.substring(start, 1, SNIPPET_CHARS // 4), start, F.when(F.length(text) > SNIPPET_CHARS, end).otherwise(start)]
-        got = mine.where(F.col(lang) == name).join(ids, key).orderBy(key, F.xxhash64(text)).limit(rows) \
-            .select(F.explode(F.array_distinct(F.array(*cuts))).alias("t")).collect()
-        out += [(r.t, name) for r in got]
+    mine = docs.where(F.col(lang).isNotNull() & (crc_mod(key, fold[0]) != fold[1]))
+    first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)  # cut to ``rows`` a language before the shuffle
+    ids = mine.select(key, lang).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
+    start, end = F.substring(F.col(text), 1, SNIPPET_CHARS), F.substring(F.col(text), -SNIPPET_CHARS, SNIPPET_CHARS)
+    cuts = [F.substring(start, 1, SNIPPET_CHARS // 4), start, F.when(F.length(text) > SNIPPET_CHARS, end).otherwise(start)]
+    got = mine.where(F.col(text).isNotNull()).join(F.broadcast(ids.select(key, lang)), [key, lang]) \
+        .select(key, F.col(lang).alias("l"), F.array_distinct(F.array(*cuts)).alias("c")).dropDuplicates([key, "l"]) \
+        .orderBy("l", key).select("l", F.explode("c").alias("t")).collect()
+    out = [(r.t, r.l) for r in got]
     return [t for t, _ in out], [n for _, n in out]
 
 

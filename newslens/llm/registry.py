@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from newslens.llm.chat import op8_chat_format
 from newslens.llm.decontam import op10_decontamination
+from newslens.llm.fingerprint import op3_fingerprints
 from newslens.llm.language import op2_language_id
 from newslens.llm.packing import op6_best_fit_packing
 from newslens.llm.quality import op5_quality
@@ -16,13 +19,13 @@ from newslens.llm.toxicity import op7_toxicity
 from newslens.llm.url_filter import op4_url_filter
 
 
-_QUERIES = (op1_simhash, op2_language_id, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
-            op9_secret_scan, op10_decontamination)
+_QUERIES = (op1_simhash, op2_language_id, op3_fingerprints, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
+            op8_chat_format, op9_secret_scan, op10_decontamination)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_queries() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

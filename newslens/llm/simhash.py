@@ -21,10 +21,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newslens.llm.common import cut_lineage, map_batches
+from newslens.llm.common import cut_lineage, map_batches, names_free
 from newslens.llm.components import connected
 from newslens.sources.tables import table
 
@@ -58,14 +59,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp): the fingerprint of every row's whole text, as a signed long. NULL text counts as empty."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long"
+    """(key, fp, h): the fingerprint of every row's whole text as a signed long, and Spark's hash of the text. NULL text
+    counts as empty."""
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType()),
+                           T.StructField("h", T.LongType())])
 
     def run(b: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-        return {key: b.column(0), "fp": fp.view(np.int64)}
+        return {key: b.column(0), "fp": fp.view(np.int64), "h": b.column(2)}
 
-    return map_batches(docs.select(F.col(key), F.col(text)), run, schema)
+    plain = F.coalesce(F.col(text), F.lit(""))
+    return map_batches(docs.select(F.col(key), plain.alias("t"), F.xxhash64(plain).alias("h")), run, schema)
 
 
 def covering_masks(positions: Sequence[int], radius: int) -> list[int]:
@@ -175,9 +179,19 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
         masks = [f for fs in finer.values() for f in fs]
 
 
+def _rooted(docs: DataFrame, key: str, text: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp, hash of the text) of every row, and (fp, first, root) of every fingerprint: the smallest key that
+    has it, and the fingerprint that stands for its component."""
+    marked = cut_lineage(fingerprints(docs, key, text, shingle))
+    fps = cut_lineage(marked.groupBy("fp").agg(F.min(key).alias("first")))
+    roots = connected(links(fps, radius))
+    return marked, fps.join(roots, fps["fp"] == roots["node"], "left") \
+        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS) -> DataFrame:
-    """(key, fp, fingerprint, component_id) for every row of ``docs``.
+    """(key, fingerprint, component_id) for every row of ``docs``.
 
     Fingerprints that differ in at most ``radius`` bits are linked; ``component_id`` is the smallest key that is
     reachable over links. Rows with the same text have the same fingerprint, so copies need no links. A NULL or
@@ -185,16 +199,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     part; they are NULL themselves, and a component of such rows alone has a NULL id. No rows: no rows. Further
     columns of ``docs`` are not read.
     """
-    marked = cut_lineage(fingerprints(docs, key, text, shingle))
-    fps = cut_lineage(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = connected(links(fps, radius))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left") \
-        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    marked, rooted = _rooted(docs, key, text, shingle, radius)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(key, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-                                           "component_id")
+    return marked.join(by_fp, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+             radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for every component of near-duplicates, with all its columns: that with the smallest key, a
+    row without a key only if there is no other; among rows with that key, the text with the smallest hash."""
+    marked, rooted = _rooted(docs, key, text, shingle, radius)
+    best = marked.join(rooted.select("fp", "root"), "fp").groupBy("root") \
+        .agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "h")).alias("b"))
+    k, h, n = names_free(docs, "_k", "_h", "_n")
+    best = best.select(F.col("b.k").alias(k), F.col("b.h").alias(h)).distinct()
+    rows = docs.withColumn(n, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = rows.join(best, rows[key].eqNullSafe(best[k]) & (rows[n] == best[h]), "left_semi")
+    first = Window.partitionBy(key, n).orderBy(F.lit(0))  # rows equal in key and text are one document
+    return kept.withColumn(h, F.row_number().over(first)).where(F.col(h) == 1).drop(h, n)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents"))

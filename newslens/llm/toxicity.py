@@ -17,7 +17,7 @@ from newslens.llm.common import char_chunks, crc_mod, map_batches, take_ids
 from newslens.llm.subword import SubwordSoftmax, batches, softmax, take
 from newslens.sources.tables import table
 
-SIZES, BITS, DIM, WORDS = (3, 4, 5, 6), 17, 8, 6
+SIZES, BITS, DIM, WORDS = (3, 4, 5, 6), 17, 8, 4
 #: Labelled rows that the model is fitted on, at most; texts longer than the bound are not used to learn from.
 MAX_LABELLED, MAX_CHARS = 5000, 20_000
 HELD_OUT = 0.2

@@ -93,6 +93,16 @@ def test_near_duplicates_against_brute_force(spark):
         sorted(map(str, ((rows[i][0], f"{fps[i]:016x}", low[comp[i]]) for i in range(len(rows)))))
 
 
+def test_one_of_each_component_stays(spark):
+    rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (9, "other words here now"), (None, "alone text of none"),
+            (None, "alone text of none"), (7, None), (8, ""), (9, "third words under nine")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _k string, _n int")
+    got = S.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, (tuple(r)[:2] for r in got.collect()))) == sorted(map(str, [
+        (3, "a b c d"), (9, "other words here now"), (None, "alone text of none"), (7, None), (9, "third words under nine")]))
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
