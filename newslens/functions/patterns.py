@@ -32,3 +32,5 @@ P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
 P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:div|body|article|main|section)\s*>|\z)"
 TAG = r"(?s)<[^>]*>"
 ARTICLE_BLOCK = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|\z)"
+LINK = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
+CHAR_REF = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"

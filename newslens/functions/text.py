@@ -95,6 +95,13 @@ def tokens(c, min_len: int = fixed.TOKEN_MIN_LEN, max_len: int = fixed.TOKEN_MAX
                     & ~w.startswith("_"))
 
 
+def char_grams(word, n: int = 4) -> Column:
+    """Character n-grams of ``<word>``; a word that is too short for one gives itself between the marks."""
+    marked = F.concat(F.lit("<"), _c(word), F.lit(">"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))),
+                       lambda i: F.substring(marked, i, F.lit(n)))
+
+
 def drop_stopwords(tok, stop: Sequence[str]) -> Column:
     """Remove stop words, keeping order and repeats (``isin`` becomes a hash-set lookup)."""
     return F.filter(_c(tok), lambda w: ~w.isin(*stop))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newslens import fixed
 from newslens.functions import text as tx
-from newslens.operators.joins import lookup_join
+from newslens.functions.scores import spark_stopwords
 from newslens.session import cut_lineage
 
 
@@ -118,39 +118,40 @@ def topic_info(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     return sizes.join(rep, "topic", "left")
 
 
-def label_dim(spark, labels: Sequence[str] = fixed.DISTINCT_TOPIC_LABELS) -> DataFrame:
-    """Candidate labels with their words (the same tokenizer as the texts) and word count."""
+# Label words have no upper length: compounds longer than the articles' tokens must stay reachable.
+LABEL_WORD_MAX = 1 << 20
+GRAM = 4
+
+
+def label_dim(spark, labels: Sequence[str] = fixed.DISTINCT_TOPIC_LABELS,
+              stop: Sequence[str] | None = None) -> DataFrame:
+    """Candidate labels with the distinct character n-grams of their words (stop words left out), and how many."""
+    stop = spark_stopwords("german") if stop is None else stop
     df = spark.createDataFrame([(lab,) for lab in labels], "label string")
-    words = F.array_distinct(tx.tokens("label"))
-    return df.select("label", F.explode(words).alias("word"), F.size(words).alias("label_words"))
+    words = tx.drop_stopwords(tx.tokens("label", 2, LABEL_WORD_MAX), stop)
+    df = df.withColumn("grams", F.array_distinct(F.flatten(F.transform(words, lambda w: tx.char_grams(w, GRAM)))))
+    return df.select("label", F.size("grams").alias("label_grams"), F.explode("grams").alias("gram"))
 
 
 def label_topics(reps: DataFrame, labels: DataFrame, cutoff: float = fixed.TOPIC_LABEL_CUTOFF,
                  digits: int = 9) -> DataFrame:
-    """Best candidate label per topic by word overlap with the representation terms.
+    """Best candidate label per topic by the character n-grams it shares with the representation terms.
 
-    score = matched label words / label words. The best label (score desc,
-    label asc) is assigned when its score reaches ``cutoff``; otherwise the
-    label is the text ``None``. Topics are matched through an equi-join on
-    words against the (fixed, small) label table — no topic × label product.
+    score = matched n-grams of the label / its n-grams: a label of several words needs them all for 1.0, and a
+    compound is found through its parts, also where it is longer than a token may be. Among the labels whose score
+    reaches ``cutoff``, the one with the highest score times matched n-grams is assigned (a compound beats a label that
+    is but a part of it), the first by name among equals; if none does, the label is the text ``None``. Topics meet labels in an equi-join on the n-gram, without a hint: the label table is fixed and
+    small, and is broadcast from its measured size.
     """
     reps = cut_lineage(reps.select("topic", "term"))
-    words = reps.select("topic", F.explode(F.split("term", " ")).alias("word")).distinct()
-    hits = words.join(F.broadcast(labels), "word") \
-        .groupBy("topic", "label", "label_words").agg(F.count("*").alias("matched"))
-    scored = hits.withColumn("score", F.col("matched") / F.col("label_words"))
-    # Best score per topic, then the smallest label among the labels with that score.
-    top_score = scored.groupBy("topic").agg(F.max("score").alias("top_score"))
-    ties = scored.join(top_score, "topic").where(F.col("score") == F.col("top_score")) \
-        .groupBy("topic", "top_score").agg(F.min("label").alias("best_label"))
-    all_topics = reps.select("topic").distinct()
-    out = all_topics.join(ties, "topic", "left")
-    assigned = F.when(F.col("top_score") >= cutoff, F.col("best_label")).otherwise(F.lit("None"))
+    grams = reps.select("topic", F.explode(F.split("term", " ")).alias("word")).distinct() \
+        .select("topic", F.explode(tx.char_grams("word", GRAM)).alias("gram")).distinct()
+    hits = grams.join(labels, "gram").groupBy("topic", "label", "label_grams").agg(F.count("*").alias("matched"))
+    scored = hits.withColumn("score", F.col("matched") / F.col("label_grams"))
+    order = F.struct((F.col("score") < cutoff), -(F.col("score") * F.col("matched")), F.col("label"))
+    best = scored.groupBy("topic").agg(F.min_by(F.struct("label", "score"), order).alias("b"))
+    out = reps.select("topic").distinct().join(best, "topic", "left")
+    assigned = F.when(F.col("b.score") >= cutoff, F.col("b.label")).otherwise(F.lit("None"))
     return out.select("topic", assigned.alias("label"),
-                      (F.rint(F.coalesce("top_score", F.lit(0.0)) * F.lit(10.0 ** digits))
+                      (F.rint(F.coalesce("b.score", F.lit(0.0)) * F.lit(10.0 ** digits))
                        / F.lit(10.0 ** digits)).alias("score"))
-
-
-def attach_topic_labels(articles: DataFrame, info: DataFrame, key: str = "topic_nr") -> DataFrame:
-    """Inner join of articles with the per-topic label table (one row per topic)."""
-    return lookup_join(articles, info, key, "inner")

@@ -6,7 +6,7 @@ from typing import Sequence
 
 from newslens import fixed
 from newslens.functions import patterns as P
-from newslens.functions.html import ENTITIES
+from newslens.functions.html import MAX_LINK_SHARE, MIN_PARAGRAPH_CHARS, NAMED, WINDOWS
 
 
 def q(s: str) -> str:
@@ -59,10 +59,11 @@ def outlet(expr: str) -> str:
     return f"nullif(regexp_extract({expr}, {q(P.OUTLET)}, 1), '')"
 
 
-def tokens(expr: str, stop: Sequence[str] | None = None) -> str:
+def tokens(expr: str, stop: Sequence[str] | None = None, min_len: int = fixed.TOKEN_MIN_LEN,
+           max_len: int = fixed.TOKEN_MAX_LEN) -> str:
     t = rx_replace(expr, P.DIGIT + "+")
     t = f"lower({rx_replace(t, P.NON_WORD, ' ')})"
-    cond = (f"length(w) >= {fixed.TOKEN_MIN_LEN} AND length(w) <= {fixed.TOKEN_MAX_LEN} "
+    cond = (f"length(w) >= {min_len} AND length(w) <= {max_len} "
             f"AND NOT starts_with(w, '_')")
     if stop is not None:
         cond += f" AND NOT list_contains({str_list(stop)}, w)"
@@ -70,20 +71,33 @@ def tokens(expr: str, stop: Sequence[str] | None = None) -> str:
 
 
 def unescape(expr: str) -> str:
-    for k, v in ENTITIES:
-        expr = f"replace({expr}, {q(k)}, {q(v)})"
-    return expr
+    """Pieces after each '&': a named or numbered reference at the start of a piece gives its character."""
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMED.items()) + "}"
+    windows = "MAP {" + ", ".join(f"{k}: {q(v)}" for k, v in WINDOWS.items()) + "}"
+    ref = f"regexp_extract(x, {q(P.CHAR_REF)}, 1)"
+    code = (f"(CASE WHEN regexp_matches({ref}, '^#[0-9]') THEN CAST(substr({ref}, 2) AS BIGINT) "
+            f"WHEN starts_with(lower({ref}), '#x') THEN CAST('0x' || substr({ref}, 3) AS BIGINT) END)")
+    real = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
+    char = (f"CASE WHEN starts_with({ref}, '#') THEN (CASE WHEN {real} THEN coalesce({windows}[CAST({code} AS INTEGER)], "
+            f"chr(CAST({code} AS INTEGER))) END) ELSE {names}[{ref}] END")
+    return (f"array_to_string(list_transform(string_split({expr}, '&'), lambda x, i: CASE WHEN i = 1 THEN x "
+            f"WHEN {ref} <> '' AND ({char}) IS NOT NULL THEN ({char}) || substr(x, length({ref}) + 2) ELSE '&' || x END), '')")
 
 
 def strip_non_content(expr: str) -> str:
     return rx_replace(rx_replace(rx_replace(expr, P.HTML_COMMENT), P.HTML_SCRIPT), P.HTML_STYLE)
 
 
-def paragraph_text(expr: str) -> str:
-    """Paragraph text of markup already stripped of comments, scripts and styles."""
-    pieces = f"string_split_regex({expr}, {q(P.P_OPEN)})"
-    body = f"regexp_replace(regexp_extract(b, {q(P.P_BODY)}, 1), {q(P.TAG)}, '', 'g')"
-    return f"array_to_string(list_transform(({pieces})[2:], lambda b: {unescape(body)}), ' ')"
+def paragraph_text(expr: str, content_only: str = "false") -> str:
+    """Paragraph text of markup already stripped of comments, scripts and styles; where the condition holds, without
+    paragraphs that are short or mostly links."""
+    bodies = f"list_transform((string_split_regex({expr}, {q(P.P_OPEN)}))[2:], lambda b: regexp_extract(b, {q(P.P_BODY)}, 1))"
+    size = f"length({rx_replace('b', P.TAG)})"
+    links = f"array_to_string(regexp_extract_all(b, {q(P.LINK)}, 1), '')"
+    keep = (f"NOT ({content_only}) OR ({size} >= {MIN_PARAGRAPH_CHARS} AND "
+            f"length({rx_replace(links, P.TAG)}) <= {size} * {MAX_LINK_SHARE})")
+    return (f"array_to_string(list_transform(list_filter({bodies}, lambda b: {keep}), "
+            f"lambda b: {unescape(rx_replace('b', P.TAG))}), ' ')")
 
 
 def article_block(expr: str) -> str:

@@ -18,6 +18,8 @@ from newslens.sources.tables import spread, table
 
 # Number of clusters for the registered clustering query (the embeddings carry 10 labels).
 TEST_CLUSTERS = 10
+# How often the label's words stand in front of a text of `labelled_text`.
+LABEL_REPEATS = 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +59,16 @@ def topic_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_info(document_tokens_df(spark, sf_dir), "source")
 
 
+def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with a candidate label's words put in front of each text, the label chosen by the source's number:
+    the test texts hold none of their words."""
+    n = F.coalesce(F.regexp_extract("source", "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    label = F.element_at(F.array(*map(F.lit, fixed.DISTINCT_TOPIC_LABELS)), n * 2 % len(fixed.DISTINCT_TOPIC_LABELS) + 1)
+    return documents(spark, sf_dir).withColumn("text", F.concat(F.repeat(F.concat(label, F.lit(" ")), LABEL_REPEATS), "text"))
+
+
 def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reps = topics.class_tfidf(document_tokens_df(spark, sf_dir), "source")
+    reps = topics.class_tfidf(enrich.with_tokens(labelled_text(spark, sf_dir), "text"), "source")
     return topics.label_topics(reps, topics.label_dim(spark))
 
 
@@ -84,12 +94,18 @@ def page_outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir).withColumn("method", hx.extraction_method("url"))
+    # The test pages hold few character references and no link paragraphs: put some behind every paragraph start.
+    p = pages(spark, sf_dir).withColumn("method", hx.extraction_method("url")) \
+        .withColumn("html", F.replace("html", F.lit("<p>"), F.lit(RICH_PARAGRAPH)))
     # A page without a URL gets no content (the fetch is skipped).
     has_url = F.col("url").isNotNull() & (F.col("url") != "")
     return p.select("page_id", "url", "method", F.when(has_url, hx.page_text("html", "method")).alias("content"))
 
 
+RICH_PARAGRAPH = ('<p><a href="/x">mostly a link &raquo;</a> &hellip;</p><p>f&uuml;r &Ouml;l &#8222;x&#8220; &ndash; &szlig; &#x201C;&#150; '
+                  "&nope; &amp;lt; &#0; &#55296; &euro;5 & so on &alpha</p><p>")
+
+
 def page_url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_batches(p, "url", tie=["page_id"], start=0, size=fixed.PAGE_SIZE) \
@@ -112,7 +128,13 @@ SPARK = {
 
 _STOP = spark_stopwords("german")
 _TOK = f"tok AS (SELECT doc_id, source, {S.tokens('text', _STOP)} AS t FROM documents)"
-_TERMS = f"""WITH {_TOK},
+_LABELLED = f"""SELECT doc_id, source, repeat({S.str_list(fixed.DISTINCT_TOPIC_LABELS)}[
+  coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER), 0) * 2 % {len(fixed.DISTINCT_TOPIC_LABELS)} + 1]
+  || ' ', {LABEL_REPEATS}) || text AS text FROM documents"""
+
+
+def _terms(source: str = "documents") -> str:
+    return f"""WITH tok AS (SELECT doc_id, source, {S.tokens('text', _STOP)} AS t FROM {source}),
 terms AS (SELECT source AS topic, unnest(t) AS term FROM tok
           UNION ALL
           SELECT source, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok
@@ -129,9 +151,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term)
 top AS (SELECT topic, CAST(rank AS INTEGER) AS rank, term, {S.round9('score')} AS score
         FROM r WHERE rank <= {fixed.TOP_TOPIC_WORDS})"""
 
+
+def _grams(word: str) -> str:
+    return (f"list_transform(range(1, greatest(length('<' || {word} || '>') - {topics.GRAM - 1}, 1) + 1), "
+            f"lambda i: substr('<' || {word} || '>', i, {topics.GRAM}))")
+
+
+_TERMS = _terms()
 _LABELS = "(VALUES " + ", ".join(f"({S.q(lab)})" for lab in fixed.DISTINCT_TOPIC_LABELS) + ") AS v(label)"
 
-_PAGES = f"""WITH p AS (SELECT *, {S.extraction_method('url')} AS method, {S.strip_non_content('html')} AS clean
+_PAGES = f"""WITH p AS (SELECT *, {S.extraction_method('url')} AS method, {S.strip_non_content(f"replace(html, '<p>', {S.q(RICH_PARAGRAPH)})")} AS clean
            FROM pages)"""
 
 ORACLE = {
@@ -168,18 +197,18 @@ rep AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS representation FROM
 sizes AS (SELECT source AS topic, count(*) AS n_docs FROM documents GROUP BY source)
 SELECT sizes.topic, n_docs, representation FROM sizes LEFT JOIN rep USING (topic)""",
 
-    "topic_labels": f"""{_TERMS},
+    "topic_labels": f"""{_terms(f"({_LABELLED})")},
 words AS (SELECT DISTINCT topic, unnest(string_split(term, ' ')) AS word FROM top),
-lw AS (SELECT label, list_distinct({S.tokens('label')}) AS ws FROM {_LABELS}),
-labels AS (SELECT label, unnest(ws) AS word, len(ws) AS label_words FROM lw),
-hits AS (SELECT topic, label, label_words, count(*) AS matched FROM words JOIN labels USING (word) GROUP BY ALL),
-ls AS (SELECT *, CAST(matched AS DOUBLE) / CAST(label_words AS DOUBLE) AS score FROM hits),
-best AS (SELECT topic, max(score) AS top_score FROM ls GROUP BY topic),
-ties AS (SELECT ls.topic, best.top_score, min(label) AS best_label
-         FROM ls JOIN best ON ls.topic = best.topic AND ls.score = best.top_score GROUP BY ls.topic, best.top_score)
-SELECT t.topic, CASE WHEN top_score >= {fixed.TOPIC_LABEL_CUTOFF} THEN best_label ELSE 'None' END AS label,
-       {S.round9('coalesce(top_score, 0.0)')} AS score
-FROM (SELECT DISTINCT topic FROM top) t LEFT JOIN ties USING (topic)""",
+grams AS (SELECT DISTINCT topic, unnest({_grams('word')}) AS gram FROM words),
+lw AS (SELECT label, list_distinct(flatten(list_transform({S.tokens('label', _STOP, 2, topics.LABEL_WORD_MAX)}, lambda v: {_grams('v')})))
+       AS gs FROM {_LABELS}),
+labels AS (SELECT label, unnest(gs) AS gram, len(gs) AS label_grams FROM lw),
+hits AS (SELECT topic, label, label_grams, count(*) AS matched FROM grams JOIN labels USING (gram) GROUP BY ALL),
+ls AS (SELECT *, CAST(matched AS DOUBLE) / CAST(label_grams AS DOUBLE) AS score FROM hits),
+best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score < {fixed.TOPIC_LABEL_CUTOFF}, score * matched DESC, label) AS rn FROM ls)
+SELECT t.topic, CASE WHEN score >= {fixed.TOPIC_LABEL_CUTOFF} THEN label ELSE 'None' END AS label,
+       {S.round9('coalesce(score, 0.0)')} AS score
+FROM (SELECT DISTINCT topic FROM top) t LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (topic)""",
 
     "source_entities": f"""WITH w AS (
   SELECT source AS topic, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents),
@@ -197,7 +226,7 @@ FROM pages""",
     "page_text": f"""{_PAGES}
 SELECT page_id, url, method,
        CASE WHEN url IS NOT NULL AND url <> '' THEN
-       {S.paragraph_text(f"CASE WHEN method = 'paragraph' THEN clean ELSE {S.article_block('clean')} END")} END AS content
+       {S.paragraph_text(f"CASE WHEN method = 'paragraph' THEN clean ELSE {S.article_block('clean')} END", "method = 'article'")} END AS content
 FROM p""",
 
     "page_url_batches": f"""WITH r AS (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS position FROM pages)

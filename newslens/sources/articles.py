@@ -6,38 +6,44 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from newslens import fixed
 from newslens.functions import dates
-from newslens.sources.tables import table
+from newslens.sources.tables import read_stored, table
 
 
 def _is_nested(dt) -> bool:
     return isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
 
 
-def read_csv_articles(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV edge reader: declared schema (no inference pass), quoted multi-line fields.
+def read_csv_articles(spark: SparkSession, path: str, schema, corrupt_col: str | None = None) -> DataFrame:
+    """CSV edge reader: columns by the file's header, quoted multi-line fields.
 
-    The text ``None`` that the original writes for missing labels is read as
-    NULL. Nested columns (entities, entity counts, related topics) are stored
-    as JSON text in CSV and parsed back with ``from_json``; text that does not
-    parse gives NULL.
+    The header decides which column is which: other orders are fine, columns that ``schema`` does not name (such as a
+    leading index without a name) are left out, and those the file lacks are NULL. All fields are read as text
+    and cast; the text ``None`` that the original writes for missing labels is NULL. Nested columns (entities,
+    entity counts, related topics) are stored as JSON text in CSV; text that does not parse gives NULL.
+    ``corrupt_col`` names a column for the names of the fields that hold text which could not be read as their type.
     """
-    text_schema = T.StructType([T.StructField(f.name, T.StringType() if _is_nested(f.dataType) else f.dataType)
-                                for f in schema.fields])
-    df = (spark.read.schema(text_schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    cols = []
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+              .option("escape", '"').option("mode", "PERMISSIVE"))
+    df = reader.option("enforceSchema", False).csv(path)  # every file's header must be that of the first
+    if any(name == f"_c{i}" for i, name in enumerate(df.columns)):
+        df = reader.option("enforceSchema", True).csv(path)  # a column without a name fails Spark's header check
+    cols, broken = [], []
     for f in schema.fields:
-        c = F.col(f.name)
-        if _is_nested(f.dataType):
-            cols.append(F.from_json(c, f.dataType).alias(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            cols.append(F.when(c != "None", c).alias(f.name))
-        else:
-            cols.append(c)
+        if f.name not in df.columns:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        text = F.col(f"`{f.name}`")
+        text = F.when(text != "None", text)
+        value = text if isinstance(f.dataType, T.StringType) else \
+            F.from_json(text, f.dataType) if _is_nested(f.dataType) else text.try_cast(f.dataType)
+        cols.append(value.alias(f.name))
+        broken.append(F.when(text.isNotNull() & value.isNull(), F.lit(f.name)))
+    if corrupt_col:
+        names = F.array_compact(F.array(*broken))
+        cols.append(F.when(F.size(names) > 0, F.array_join(names, ",")).alias(corrupt_col))
     return df.select(cols)
 
 
@@ -49,13 +55,10 @@ def write_csv_articles(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def read_or_empty(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    """History table, or an empty frame of ``schema`` when nothing was stored yet."""
-    try:
-        if fmt == "csv":
-            return read_csv_articles(spark, path, schema)
-        return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException:
+    """History table, or an empty frame of ``schema`` if there is no such path yet. Other failures are raised."""
+    if read_stored(spark, path, None if fmt == "csv" else schema, fmt) is None:
         return spark.createDataFrame([], schema)
+    return read_csv_articles(spark, path, schema) if fmt == "csv" else spark.read.schema(schema).format(fmt).load(path)
 
 
 def prepare_for_dashboard(df: DataFrame, month_floor: int | None = fixed.MONTH_FLOOR,

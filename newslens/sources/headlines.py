@@ -25,6 +25,15 @@ HEADLINE = T.StructType([
 RESPONSE = T.StructType([T.StructField("articles", T.ArrayType(HEADLINE))])
 
 
+_CORRUPT = "_corrupt"
+_WITH_CORRUPT = T.StructType([*RESPONSE.fields, T.StructField(_CORRUPT, T.StringType())])
+
+
+def _parsed(df: DataFrame, body_col: str) -> DataFrame:
+    parsed = F.from_json(F.col(body_col), _WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return df.withColumn("r", parsed)
+
+
 def _flatten(resp: DataFrame, col: str = "r") -> DataFrame:
     a = resp.select(F.explode(F.col(f"{col}.articles")).alias("a"))
     return a.select(F.col("a.title").alias("title"), F.col("a.clean_url").alias("source"),
@@ -32,16 +41,22 @@ def _flatten(resp: DataFrame, col: str = "r") -> DataFrame:
                     F.col("a.summary").alias("description"), F.col("a.language").alias("language"))
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Landed response files (JSON lines) → one row per article; missing keys → NULL,
-    responses without articles → no rows."""
-    resp = spark.read.schema(RESPONSE).option("mode", "PERMISSIVE").json(path)
-    return _flatten(resp.select(F.struct("articles").alias("r")))
+def parse_responses(df: DataFrame, body_col: str = "body") -> DataFrame:
+    """Responses in a text column → one row per article; missing keys → NULL, responses without articles → no rows.
+    Bodies that are no readable response are what `rejected_lines` returns."""
+    return _flatten(_parsed(df, body_col))
 
 
-def parse_responses(df: DataFrame, body_col: str = "body") -> DataFrame:
-    """Same as ``read_responses`` for responses held in a text column."""
-    return _flatten(df.select(F.from_json(F.col(body_col), RESPONSE).alias("r")))
+def rejected_lines(df: DataFrame, body_col: str = "body") -> DataFrame:
+    """(body, error) of the bodies that are not a readable response; NULL and blank bodies are not among them."""
+    body = F.col(body_col)
+    bad = body.isNotNull() & (F.trim(body) != "") & (F.col("r").isNull() | F.col(f"r.{_CORRUPT}").isNotNull())
+    return _parsed(df, body_col).where(bad).select(body.alias("body"), F.lit("unreadable response").alias("error"))
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Landed response files (JSON lines), like `parse_responses`."""
+    return parse_responses(spark.read.text(path), "value")
 
 
 def select_headlines(df: DataFrame, now, sources: Sequence[str] | None = None,

@@ -1,8 +1,8 @@
-"""Running coverage counts per time window, topic and leaning (batch or streaming input)."""
+"""Running coverage counts per time window, topic and leaning: exact per-batch counts, added up on read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,40 +35,40 @@ def utc_day(ts_col) -> F.Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(c) / F.lit(86400)).cast("int"))
 
 
-def coverage_windows(df: DataFrame, ts_col: str = "ts", window: str = "1 day",
-                     watermark: str | None = None) -> DataFrame:
+def coverage_windows(df: DataFrame, ts_col: str = "ts", window: str = "1 day") -> DataFrame:
     """Articles per tumbling window, topic and leaning.
 
-    On a stream pass ``watermark``: windows are emitted once the watermark
-    passes their end, and rows later than that are dropped by the operator.
-    Calendar months are not fixed-length windows; monthly series stay batch
-    (``date_trunc``) queries.
+    Calendar months are not fixed-length windows; monthly series stay batch (``date_trunc``) queries.
     """
-    src = df.withWatermark(ts_col, watermark) if watermark else df
-    g = src.where(F.col("topic").isNotNull()).groupBy(F.window(ts_col, window).alias("w"), "topic", "pol_leaning") \
+    g = df.where(F.col("topic").isNotNull()).groupBy(F.window(ts_col, window).alias("w"), "topic", "pol_leaning") \
         .agg(F.count("*").alias("n_articles"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "topic", "pol_leaning", "n_articles")
 
 
 def start_coverage(rows: DataFrame, sink: str, checkpoint: str, ts_col: str = "ts", window: str = "1 day",
-                   watermark: str = "2 days", available_now: bool = True):
-    """Write running coverage counts of a stream of articles in append mode.
+                   available_now: bool = True):
+    """Write running coverage counts of a stream of articles, without leaving out late rows.
 
-    Each window is written once, when the watermark has passed its end, and its
-    state is dropped then, so the state holds only the open windows. Rows older
-    than the watermark are dropped by the aggregation; the query progress
-    reports them as ``numRowsDroppedByWatermark``.
+    Every micro-batch writes its own counts as one partition of the sink, named by the batch id: a replayed batch
+    overwrites its partition. `read_coverage` adds the partitions up. No state is kept between batches, and a
+    row counts whenever it arrives.
     """
-    agg = coverage_windows(rows, ts_col, window, watermark=watermark)
-    w = agg.writeStream.outputMode("append").format("parquet").option("path", sink) \
-        .option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        coverage_windows(batch, ts_col, window).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def dropped_late_rows(query) -> int:
-    """Rows a streaming query has dropped as later than its watermark, summed over the
-    progress reports it still holds (``spark.sql.streaming.numRecentProgressUpdates``)."""
-    return sum(op.get("numRowsDroppedByWatermark", 0)
-               for p in query.recentProgress for op in (p.get("stateOperators") or []))
+def read_coverage(spark: SparkSession, sink: str) -> DataFrame:
+    """The counts of all micro-batches, added up per window, topic and leaning: equal to `coverage_windows` over all
+    rows that have arrived."""
+    keys = ["window_start", "window_end", "topic", "pol_leaning"]
+    return spark.read.parquet(sink).groupBy(*keys).agg(F.sum("n_articles").alias("n_articles"))
+
+
+def compact_coverage(spark: SparkSession, sink: str, target: str) -> None:
+    """Write the added-up counts as one table elsewhere, for a sink of very many batches."""
+    read_coverage(spark, sink).write.mode("overwrite").parquet(target)

@@ -1,9 +1,9 @@
 """Incremental headline ingest as a Structured Streaming job.
 
-Landed API responses (JSON lines) are flattened, deduplicated by URL within a
-watermark, and each micro-batch appends only URLs that the article store does
-not hold yet. The anti join makes a replayed batch idempotent and also catches
-a duplicate that arrives after its dedupe state expired.
+Landed API responses (JSON lines) are flattened, and each micro-batch appends the first row of every
+URL that the article store does not hold yet. There is no watermark: an article is new if its URL is, whatever date
+it bears, so late, undated and misdated headlines are kept. The anti join makes a replayed batch
+idempotent. Lines that are not a readable response go to a reject folder, one partition per batch.
 """
 
 from __future__ import annotations
@@ -12,55 +12,52 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from newslens.functions import dates
-from newslens.operators.dedupe import MAX_BATCH_KEYS, only_new
-from newslens.sources.headlines import RESPONSE, _flatten
+from newslens.operators.dedupe import MAX_BATCH_KEYS, keep_first, only_new
+from newslens.sources.headlines import parse_responses, rejected_lines
+from newslens.sources.tables import read_stored
 
+#: Which of a URL's rows in one batch is first: a total order, so that a replay picks the same row.
+FIRST = ("publishedAt", "title", "source", "description", "language")
 
-def headline_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(RESPONSE).option("mode", "PERMISSIVE")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = _flatten(reader.json(landing).select(F.struct("articles").alias("r")))
-    # A headline without a readable date gets the micro-batch time as event
-    # time: it is new now, and a NULL event time could never pass the watermark.
-    ts = F.coalesce(F.try_to_timestamp("publishedAt"),
-                    F.try_to_timestamp("publishedAt", F.lit("yyyy-MM-dd HH:mm:ss")), F.current_timestamp())
-    return rows.withColumn("ts", ts).withColumn("datetime", dates.format_datetime("publishedAt"))
 
+def headline_rows(lines: DataFrame) -> DataFrame:
+    """Landed lines (``value``) → article rows; an unreadable date is a NULL ``datetime``."""
+    return parse_responses(lines, "value").withColumn("datetime", dates.format_datetime("publishedAt"))
 
-def dedupe_stream(rows: DataFrame, key: str = "url", ts_col: str = "ts", watermark: str = "2 days") -> DataFrame:
-    """Drop repeated keys while their first row is within the watermark; rows older than the
-    watermark are late and discarded by the operator."""
-    return rows.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([key])
 
+def append_new(store: str, rejects: str, key: str = "url"):
+    """foreachBatch function: append the first row of every key that the store does not hold yet."""
 
-def append_new(store: str, key: str = "url"):
-    """foreachBatch function: append the batch's rows whose key is not in the store yet."""
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(store).select(key)
-        except AnalysisException:  # nothing stored yet
-            stored = None
-        # The micro-batch is read twice (size check, then the write): keep it.
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    def write(lines: DataFrame, batch_id: int) -> None:
+        spark = lines.sparkSession
+        # The micro-batch is read more than once (rejects, size check, the write): keep it.
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fresh = batch if stored is None else only_new(stored, batch, key, max_broadcast_rows=MAX_BATCH_KEYS)
+            rejected_lines(lines, "value").write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            rows = headline_rows(lines)
+            batch = keep_first(rows, key, [c for c in FIRST if c in rows.columns]).persist(StorageLevel.MEMORY_AND_DISK)
+            stored = read_stored(spark, store)
+            fresh = batch if stored is None else only_new(stored.select(key), batch, key, max_broadcast_rows=MAX_BATCH_KEYS)
             fresh.write.mode("append").parquet(store)
-        finally:
             batch.unpersist()
+        finally:
+            lines.unpersist()
 
     return write
 
 
 def start_ingest(spark: SparkSession, landing: str, store: str, checkpoint: str, key: str = "url",
-                 watermark: str = "2 days", available_now: bool = True) -> StreamingQuery:
-    """Start the ingest; with ``available_now`` it processes what has landed and stops."""
-    rows = dedupe_stream(headline_stream(spark, landing), key, "ts", watermark)
-    w = rows.writeStream.foreachBatch(append_new(store, key)).option("checkpointLocation", checkpoint)
+                 rejects: str | None = None, available_now: bool = True,
+                 max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the ingest; with ``available_now`` it processes what has landed and stops. ``rejects`` defaults to the
+    store's name with ``_rejects``."""
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = reader.text(landing)
+    w = lines.writeStream.foreachBatch(append_new(store, rejects or store.rstrip("/") + "_rejects", key)) \
+        .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

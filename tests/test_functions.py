@@ -116,10 +116,30 @@ def test_html_paragraphs(spark):
     assert one(spark, page, hx.paragraph_text) == "menu Eins & zwei drei © x"
     df = spark.createDataFrame([(page, "article"), (page, "paragraph")], "h string, m string")
     got = [r[0] for r in df.select(hx.page_text("h", "m")).collect()]
-    assert got == ["Eins & zwei drei", "menu Eins & zwei drei © x"]
+    assert got == ["", "menu Eins & zwei drei © x"]  # the article's paragraphs are too short to be its text
+    df = spark.createDataFrame([(page.replace("drei", "drei " * 9), "article")], "h string, m string")
+    assert df.select(hx.page_text("h", "m")).first()[0].split() == ["drei"] * 9
     assert one(spark, None, hx.paragraph_text) is None
 
 
+def test_character_references(spark):
+    import html
+
+    text = "<p>f&uuml;r &Ouml;l &#8222;x&#8220; &ndash; &szlig; &#x1F600;&#X41; &amp;lt; &nbsp;&thorn;&Omega;&apos;&#39;</p>"
+    assert one(spark, text, hx.paragraph_text) == html.unescape(text)[3:-4]
+    odd = "&; & &x; &#; &#0; &#55296; &#1114112; &#9999999; &#x110000; &uuml &#65 a&&amp;&"
+    assert one(spark, f"<p>{odd}</p>", hx.paragraph_text) == odd.replace("&amp;", "&")
+    assert one(spark, "<p>&#150;&#128;&#129;</p>", hx.paragraph_text) == "–€\x81"
+
+
+def test_article_method_drops_short_and_link_paragraphs(spark):
+    long = "This paragraph is long enough to count."
+    page = (f"<article><p>{long}</p><p>short</p><p><a href='/a'>{long}</a> more</p><p>{long} <a>one <b>link</b></a></p></article>")
+    df = spark.createDataFrame([(page, "article"), (page, "paragraph")], "h string, m string")
+    got = [r[0] for r in df.select(hx.page_text("h", "m")).collect()]
+    assert got == [f"{long} {long} one link", f"{long} short {long} more {long} one link"]
+
+
 def test_extraction_method(spark):
     assert one(spark, "https://www.welt.de/a", hx.extraction_method) == "paragraph"
     assert one(spark, "https://www.spiegel.de/a", hx.extraction_method) == "article"

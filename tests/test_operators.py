@@ -209,11 +209,29 @@ def test_topic_label_cutoff(spark):
     reps = spark.createDataFrame([("t1", 1, "alpha"), ("t2", 1, "gamma delta"), ("t3", 1, "nothing")],
                                  "topic string, rank int, term string")
     got = {r.topic: (r.label, r.score) for r in topics.label_topics(reps, labels).collect()}
-    assert got == {"t1": ("Alpha Beta", 0.5), "t2": ("Gamma", 1.0), "t3": ("None", 0.0)}
-    strict = {r.topic: r.label for r in topics.label_topics(reps, labels, cutoff=0.51).collect()}
+    # <alpha> has four 4-grams and <beta> three
+    assert got == {"t1": ("Alpha Beta", round(4 / 7, 9)), "t2": ("Gamma", 1.0), "t3": ("None", 0.0)}
+    strict = {r.topic: r.label for r in topics.label_topics(reps, labels, cutoff=0.6).collect()}
     assert strict["t1"] == "None"
 
 
+def test_every_label_wins_on_its_own_text(spark):
+    from newslens import fixed
+
+    rows = []
+    for label in fixed.DISTINCT_TOPIC_LABELS:
+        words = label.replace("-", " ").split()
+        # a compound longer than a token may be is written in two parts, as articles also do
+        rows += [(label, i, p) for i, w in enumerate(words)
+                 for p in ([w.lower()] if len(w) <= fixed.TOKEN_MAX_LEN else [w[:len(w) // 2].lower(), w[len(w) // 2:].lower()])]
+    reps = spark.createDataFrame(rows, "topic string, rank int, term string")
+    got = {r.topic: (r.label, r.score) for r in topics.label_topics(reps, topics.label_dim(spark)).collect()}
+    assert len(got) == len(fixed.DISTINCT_TOPIC_LABELS)
+    assert {t: lab for t, (lab, _) in got.items()} == {t: t for t in got}
+    stray = spark.createDataFrame([("t", 1, "usa"), ("t", 2, "extreme")], "topic string, rank int, term string")
+    assert topics.label_topics(stray, topics.label_dim(spark)).first().score < 1.0
+
+
 def test_clusters_with_outliers(spark):
     pts = [(i, [0.0, 0.0]) for i in range(20)] + [(100 + i, [10.0, 10.0]) for i in range(20)] + [(999, [50.0, 50.0])]
     df = spark.createDataFrame(pts, "id long, embedding array<float>")

@@ -4,12 +4,14 @@ import json
 import os
 import tempfile
 
+import pytest
+
 
 from newslens.sources.articles import (load_articles, read_csv_articles, read_or_empty, write_articles,
                                        write_csv_articles)
 from newslens.sources.headlines import read_responses, select_headlines
 from newslens.sources.paged import url_batches, write_batches
-from newslens.sources.tables import ENRICHED_SCHEMA, RAW_ARTICLE_SCHEMA
+from newslens.sources.tables import ENRICHED_SCHEMA, RAW_ARTICLE_SCHEMA, read_stored
 
 
 def test_csv_reader_and_empty_fallback(spark):
@@ -25,6 +27,27 @@ def test_csv_reader_and_empty_fallback(spark):
     assert empty.count() == 0 and empty.columns == RAW_ARTICLE_SCHEMA.fieldNames()
 
 
+def test_csv_columns_by_header(spark):
+    root = tempfile.mkdtemp(prefix="newslens-csvh-")
+    path = os.path.join(root, "a.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(",url,content,title,extra,topic_nr,entities\n0,http://u,c,t,x,7,[]\n1,http://v,d,None,y,seven,no json\n")
+    got = read_csv_articles(spark, path, ENRICHED_SCHEMA, corrupt_col="errors").orderBy("url").collect()
+    assert [(r.url, r.content, r.title, r.topic_nr, r.entities, r.source, r.errors) for r in got] == [
+        ("http://u", "c", "t", 7, [], None, None), ("http://v", "d", None, None, None, None, "topic_nr,entities")]
+
+
+def test_only_a_missing_path_is_an_empty_history(spark):
+    root = tempfile.mkdtemp(prefix="newslens-hist-")
+    with open(os.path.join(root, "part-0.parquet"), "w", encoding="utf-8") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        read_or_empty(spark, root, RAW_ARTICLE_SCHEMA).count()
+    with pytest.raises(Exception):
+        read_stored(spark, root)
+    assert read_stored(spark, root + "/none") is None
+
+
 def test_csv_round_trip_of_enriched_articles(spark):
     root = tempfile.mkdtemp(prefix="newslens-csvrt-")
     rows = [("T \"q\", x", "bild", "https://www.bild.de/a", "20241106123456", "d", "line1\nline2, more",

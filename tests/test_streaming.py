@@ -41,49 +41,39 @@ def test_ingest_dedupes_across_batches_and_replays(spark):
     assert row.datetime == "20241106100000"
 
 
-def test_windowed_coverage_stream(spark):
+def test_ingest_loses_nothing(spark):
+    root = tempfile.mkdtemp(prefix="newslens-stream-")
+    landing, store, ckpt = (os.path.join(root, d) for d in ("landing", "store", "ckpt"))
+    os.makedirs(landing)
+    _land(landing, "r1.json", [_a("far", "2099-01-01 00:00:00"), _a("u1", "2024-11-06 10:00:00"), _a("undated", None)])
+    start_ingest(spark, landing, store, ckpt).awaitTermination(120)
+    _land(landing, "r2.json", [_a("week_old", "2024-10-30 10:00:00"), _a("odd", "no date"), _a("u1", "2024-11-07 10:00:00")])
+    with open(os.path.join(landing, "r3.json"), "w", encoding="utf-8") as f:
+        f.write('{"articles": [{"title": \nnot json at all\n\n' + json.dumps({"articles": []}) + "\n" + json.dumps({"status": "ok"}) + "\n")
+    start_ingest(spark, landing, store, ckpt).awaitTermination(120)
+    assert sorted(r.url for r in spark.read.parquet(store).collect()) == ["far", "odd", "u1", "undated", "week_old"]
+    rejects = spark.read.parquet(store + "_rejects").collect()
+    assert sorted(r.body for r in rejects) == ["not json at all", '{"articles": [{"title": ']
+
+
+def test_coverage_stream_equals_the_batch_query(spark):
+    from newslens.streaming.coverage import compact_coverage, read_coverage, start_coverage
+
     root = tempfile.mkdtemp(prefix="newslens-cov-")
-    rows = [("A", "links", "20240101100000"), ("A", "links", "20240101110000"), ("A", "mitte", "20240102000000"),
-            ("B", "links", "20240105000000")]
-    spark.createDataFrame(rows, "topic string, pol_leaning string, datetime string").write.parquet(root + "/in")
-    stream = spark.readStream.schema("topic string, pol_leaning string, datetime string").parquet(root + "/in")
-    agg = coverage_windows(stream.withColumn("ts", article_ts("datetime")), "ts", "1 day", watermark="1 day")
-    q = agg.writeStream.outputMode("complete").format("memory").queryName("cov_test").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles
-           for r in spark.sql("SELECT * FROM cov_test").collect()}
-    assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1, ("2024-01-05", "B", "links"): 1}
-
-
-def test_coverage_stream_append_mode_and_late_rows(spark):
-    from newslens.streaming.coverage import dropped_late_rows, start_coverage
-
-    root = tempfile.mkdtemp(prefix="newslens-covapp-")
     landing, sink, ckpt = (os.path.join(root, d) for d in ("landing", "sink", "ckpt"))
     schema = "topic string, pol_leaning string, datetime string"
-    rows1 = [("A", "links", "20240101100000"), ("A", "links", "20240101110000"), ("A", "mitte", "20240102000000"),
-             ("B", "links", "20240105000000")]
-    spark.createDataFrame(rows1, schema).coalesce(1).write.mode("append").parquet(landing)
-
-    def run():
+    rows = [[("A", "links", "20240101100000"), ("A", "links", "20240101110000"), ("A", "mitte", "20990102000000"), (None, "x", "20240101")],
+            [("A", "links", "20240101120000"), ("C", "rechts", "20240110000000"), ("B", None, "20231231")],
+            [("A", "links", "20240101130000"), ("A", "links", None)]]
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing).withColumn("ts", article_ts("datetime"))
-        q = start_coverage(stream, sink, ckpt, window="1 day", watermark="1 day")
-        q.awaitTermination(120)
-        return q
-
-    run()
-    got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles for r in spark.read.parquet(sink).collect()}
-    # The watermark is 2024-01-04: the first two days are final and written, 2024-01-05 stays open.
-    assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1}
-
-    # A late row for a closed day is dropped; a row far ahead closes 2024-01-05.
-    rows2 = [("A", "links", "20240101120000"), ("C", "rechts", "20240110000000")]
-    spark.createDataFrame(rows2, schema).coalesce(1).write.mode("append").parquet(landing)
-    q = run()
-    got = {(str(r.window_start.date()), r.topic, r.pol_leaning): r.n_articles for r in spark.read.parquet(sink).collect()}
-    assert got == {("2024-01-01", "A", "links"): 2, ("2024-01-02", "A", "mitte"): 1, ("2024-01-05", "B", "links"): 1}
-    assert dropped_late_rows(q) == 1
+        start_coverage(stream, sink, ckpt).awaitTermination(120)
+    whole = spark.createDataFrame([r for part in rows for r in part], schema).withColumn("ts", article_ts("datetime"))
+    want = sorted(map(str, coverage_windows(whole).collect()))
+    assert sorted(map(str, read_coverage(spark, sink).collect())) == want and len(want) == 4
+    compact_coverage(spark, sink, root + "/whole")
+    assert sorted(map(str, spark.read.parquet(root + "/whole").collect())) == want
 
 
 def test_event_time_does_not_depend_on_the_session_time_zone(spark):
