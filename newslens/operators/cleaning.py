@@ -48,18 +48,17 @@ def clean_articles(raw: DataFrame, order: Sequence[str] = ("ingest_seq",),
                    allowed: Sequence[str] | None = fixed.ALLOWED_OUTLETS, **text_params) -> DataFrame:
     """Full cleaning of merged headline rows (title, source, url, publishedAt, description, content).
 
-    ``order`` defines which row of a duplicated URL is first. Rows with a NULL in
-    any column but the date are dropped; after the text steps rows without text
-    are dropped too, the outlet is taken from the URL and only allowed outlets
-    stay.
+    ``order`` defines which row of a duplicated URL is first; its columns must exist, and rows that it leaves equal
+    are ordered by all other columns, so the pick never depends on row order. Rows with a NULL in any column but
+    the date are dropped; after the text steps rows without text are dropped too, the outlet is taken from the
+    URL and only allowed outlets stay.
     """
+    if missing := [c for c in order if c not in raw.columns]:
+        raise ValueError(f"no such order columns: {missing}")
     df = raw.withColumnsRenamed({"publishedAt": "datetime"}) \
         .withColumn("datetime", dates.format_datetime("datetime"))
-    order_cols = [c for c in order if c in df.columns]
-    if order_cols:
-        df = keep_first(df, "url", order_cols).drop(*order_cols)
-    else:
-        df = df.dropDuplicates(["url"])
+    rest = [c for c in df.columns if c != "url" and c not in order]
+    df = keep_first(df, "url", [*order, *rest]).drop(*order)
     # Any NULL drops the row, except in the text (cleaned next) and the date: the
     # original turns a missing date into the text "nan" before this step, so
     # undated articles survive; here the date stays NULL and later rules

@@ -54,11 +54,12 @@ def topic_menu(df: DataFrame, min_articles: int = fixed.MIN_TOPIC_ARTICLES,
 
 
 def leaning_counts(df: DataFrame) -> DataFrame:
-    """Articles per topic and leaning (leanings without articles absent) and the pie share."""
+    """Articles per topic and leaning (leanings without articles absent) and the pie share, most articles first."""
     counts = df.where(_known("topic", "pol_leaning")).groupBy("topic", "pol_leaning") \
         .agg(F.count("*").alias("n_articles"))
     total = F.sum("n_articles").over(Window.partitionBy("topic"))
-    return counts.withColumn("share", share(F.col("n_articles"), total))
+    return counts.withColumn("share", share(F.col("n_articles"), total)) \
+        .orderBy("topic", F.desc("n_articles"), "pol_leaning")
 
 
 def leaning_share(df: DataFrame, leanings: Sequence[str] = fixed.LEANINGS) -> DataFrame:
@@ -82,13 +83,18 @@ def blind_spots(df: DataFrame, leanings: Sequence[str] = fixed.LEANINGS,
 
 
 def latest_articles(df: DataFrame) -> DataFrame:
-    """Most recent article per topic and leaning (``datetime`` text order; ties → larger url).
+    """Most recent article per topic and leaning (ties → larger ``datetime`` text, then larger url).
 
-    A ``max`` over a struct is an ordinary partial aggregate: one candidate per
-    group and task travels through the shuffle, never a whole group.
+    The date's digits, padded to seconds, are compared as a number: that ``max`` is a hash aggregate with a partial
+    step, so no task sorts its rows. Its table (a row per topic and leaning) is joined back, and only the rows with the
+    latest date are compared as text. A date that is no such number ranks below all others.
     """
+    digits = F.col("datetime").rlike("^[0-9]{8,14}$")
+    stamp = F.coalesce(F.when(digits, F.rpad("datetime", 14, "0").try_cast("bigint")), F.lit(-1))
+    known = df.where(_known("topic", "pol_leaning")).withColumn("_stamp", stamp)
+    last = known.groupBy("topic", "pol_leaning").agg(F.max("_stamp").alias("_stamp"))
     best = F.max(F.struct("datetime", "url", "article_id", "source"))
-    g = df.where(_known("topic", "pol_leaning")).groupBy("topic", "pol_leaning").agg(best.alias("m"))
+    g = known.join(last, ["topic", "pol_leaning", "_stamp"]).groupBy("topic", "pol_leaning").agg(best.alias("m"))
     return g.select("topic", "pol_leaning", "m.datetime", "m.url", "m.article_id", "m.source")
 
 
@@ -208,7 +214,7 @@ def source_leanings(df: DataFrame) -> DataFrame:
     return df.select("source", "pol_leaning").distinct().orderBy("pol_leaning", "source")
 
 
-def frequency_tables(df: DataFrame) -> DataFrame:
+def frequencies(df: DataFrame) -> DataFrame:
     """Article counts by leaning, by outlet and by topic, plus the total, in one pass.
 
     ``dimension`` is ``pol_leaning``, ``source``, ``topic`` or ``all``; NULL keys are dropped.
@@ -222,9 +228,14 @@ def frequency_tables(df: DataFrame) -> DataFrame:
     return out.where((F.col("dimension") == "all") | F.col("key").isNotNull())
 
 
+def frequency_tables(df: DataFrame) -> DataFrame:
+    """`frequencies` in order: each table has its most frequent keys first (ties: key)."""
+    return frequencies(df).orderBy("dimension", F.desc("n_articles"), "key")
+
+
 def dataset_stats(df: DataFrame) -> DataFrame:
     """Articles, distinct outlets, distinct topics (and the count with thousands separators)."""
-    f = frequency_tables(df)
+    f = frequencies(df)
     s = f.agg(F.sum(F.when(F.col("dimension") == "all", F.col("n_articles"))).alias("n_articles"),
               F.count_if(F.col("dimension") == "source").alias("n_sources"),
               F.count_if(F.col("dimension") == "topic").alias("n_topics"))

@@ -11,6 +11,8 @@ from newslens.sources.articles import ARTICLE_VIEW_SQL, article_view, prepare_fo
 # Month floor used by the registered month-filter query: the test tables span
 # 1995-01 … 2001-08, so the dashboard's own floor (2023-11) would keep nothing.
 TEST_MONTH_FLOOR = 199701
+# Month range of the registered range query (first and last month, both included).
+RANGE_START, RANGE_END = "1996-03-01", "1997-06-01"
 
 
 def dashboard_articles(spark: SparkSession, sf_dir: str, month_floor: int | None = None) -> DataFrame:
@@ -30,6 +32,8 @@ SPARK = {
     "latest_articles": _q(cov.latest_articles),
     "month_bounds": _q(cov.month_bounds),
     "monthly_source_share": _q(cov.monthly_source_share),
+    "monthly_source_share_range": _q(lambda a: cov.monthly_source_share(a, RANGE_START, RANGE_END)),
+    "sentiment_score_month_range": _q(lambda a: cov.sentiment_score_month(a, start=RANGE_START, end=RANGE_END)),
     "sentiment_totals": _q(cov.sentiment_totals),
     "sentiment_by_source": _q(cov.sentiment_by_source),
     "sentiment_month_pct": _q(cov.sentiment_month_pct),
@@ -54,6 +58,11 @@ monthly AS (
                  FROM dash WHERE regexp_matches(datetime, '^\\p{{Nd}}{{8,}}'))
   WHERE month IS NOT NULL)"""
 
+def _ranged(sql: str) -> str:
+    """The same query over the months of the range."""
+    return sql.replace("WHERE month IS NOT NULL)", f"WHERE month BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}')", 1)
+
+
 _LEANING_SHARE = f"""{_DASH},
 t AS (SELECT DISTINCT topic FROM dash WHERE topic IS NOT NULL),
 c AS (SELECT topic, pol_leaning, count(*) AS n FROM dash WHERE topic IS NOT NULL GROUP BY ALL),
@@ -178,3 +187,6 @@ WHERE datetime IS NULL OR substr(datetime, 1, 6) = 'nan'
    OR (regexp_matches(substr(datetime, 1, 6), '^[0-9]+$')
        AND TRY_CAST(substr(datetime, 1, 6) AS INTEGER) >= {TEST_MONTH_FLOOR})""",
 }
+
+ORACLE["monthly_source_share_range"] = _ranged(ORACLE["monthly_source_share"])
+ORACLE["sentiment_score_month_range"] = _ranged(ORACLE["sentiment_score_month"])

@@ -11,6 +11,7 @@ from newslens.functions import dates
 from newslens.operators import entities as ent
 from newslens.operators.dedupe import merge_history
 from newslens.operators.enrich import assign_leaning
+from newslens.plans import sqltext as S
 from newslens.sources.articles import ARTICLE_VIEW_SQL, article_view, leaning_of_nation
 from newslens.sources.headlines import parse_responses, select_headlines
 from newslens.sources.tables import table
@@ -27,6 +28,9 @@ RESPONSE_PAGE = fixed.HEADLINES_PER_SOURCE
 # registered query asks for two years, which makes the 100-per-source cap bite.
 SELECTION_NOW = "1998-08-02 00:00:00"
 SELECTION_HOURS = 24 * 731
+# The 25 outlets of the test tables (nations, in key order) carry the names of the original's sources in turn; those
+# past the list keep their own and are not requested.
+N_SOURCES = len(fixed.HEADLINE_SOURCES)
 
 
 def merged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +107,14 @@ def headline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headline_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request parameters applied to landed headlines: language, time window, and the
+    """The request parameters applied to landed headlines: the listed sources, language, time window, and the
     newest ``HEADLINES_PER_SOURCE`` rows per outlet (ties: url)."""
     rows = parse_responses(headline_responses(spark, sf_dir), "body")
-    sel = select_headlines(rows, now=SELECTION_NOW, hours=SELECTION_HOURS)
+    names = table(spark, sf_dir, "nation").where(F.col("n_nationkey") < N_SOURCES) \
+        .select(F.concat(F.lower("n_name"), F.lit(".de")).alias("source"),
+                F.element_at(F.array(*map(F.lit, fixed.HEADLINE_SOURCES)), F.col("n_nationkey").cast("int") + 1).alias("_name"))
+    rows = rows.join(names, "source", "left").withColumn("source", F.coalesce("_name", "source")).drop("_name")
+    sel = select_headlines(rows, now=SELECTION_NOW, sources=fixed.HEADLINE_SOURCES, hours=SELECTION_HOURS)
     return sel.select("title", "source", "url", "publishedAt", "language")
 
 
@@ -172,10 +180,10 @@ SELECT topic AS title, lower(source) || '.de' AS source, url,
 FROM articles""",
 
     "headline_selection": f"""{_A},
-h AS (SELECT topic AS title, lower(source) || '.de' AS source, url,
+h AS (SELECT topic AS title, {S.str_list(fixed.HEADLINE_SOURCES)}[n_nationkey + 1] AS source, url,
              strftime(strptime(datetime, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') AS publishedAt,
              '{fixed.HEADLINE_LANGUAGE}' AS language, strptime(datetime, '%Y%m%d%H%M%S') AS ts
-      FROM articles),
+      FROM articles JOIN nation ON source = n_name WHERE n_nationkey < {N_SOURCES}),
 w AS (SELECT * FROM h WHERE ts > TIMESTAMP '{SELECTION_NOW}' - INTERVAL {SELECTION_HOURS} HOUR
                         AND ts <= TIMESTAMP '{SELECTION_NOW}')
 SELECT title, source, url, publishedAt, language FROM (

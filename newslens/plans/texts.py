@@ -10,7 +10,7 @@ from newslens.functions import html as hx
 from newslens.functions import text as tx
 from newslens.functions.scores import spark_stopwords
 from newslens.operators import enrich, entities as ent, topics
-from newslens.operators.cleaning import clean_content, drop_null_text
+from newslens.operators.cleaning import clean_articles, clean_content, drop_null_text
 from newslens.functions import patterns as P
 from newslens.plans import sqltext as S
 from newslens.sources.paged import url_batches
@@ -20,6 +20,14 @@ from newslens.sources.tables import spread, table
 TEST_CLUSTERS = 10
 # How often the label's words stand in front of a text of `labelled_text`.
 LABEL_REPEATS = 20
+# Page size of the registered paged scans, and the offsets of the one over a range.
+BATCH_SIZE = 100
+BATCH_RANGE = (20, 190)
+# Parts of the raw articles of `raw_articles`.
+RAW_OUTLETS = (*fixed.ALLOWED_OUTLETS[:4], "not-listed")
+GERMAN = " ".join(fixed.GERMAN_MARKER_WORDS[:fixed.GERMAN_MIN_WORDS + 2]) + " "
+RAW_PARTS = (f" {fixed.NON_ARTICLE_SNIPPETS[2]} und {fixed.NON_ARTICLE_SNIPPETS[0]} Ende",
+             f" {fixed.TRIM_AFTER_PHRASES[1]} weg damit", " siehe https://x.de/a?b=1 oder \u00a9 2024 und \u00a92023   Schluss")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +114,53 @@ RICH_PARAGRAPH = ('<p><a href="/x">mostly a link &raquo;</a> &hellip;</p><p>f&uu
                   "&nope; &amp;lt; &#0; &#55296; &euro;5 & so on &alpha</p><p>")
 
 
-def page_url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batches(spark: SparkSession, sf_dir: str, start: int, end: int | None) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_batches(p, "url", tie=["page_id"], start=0, size=fixed.PAGE_SIZE) \
+    return url_batches(p, "url", tie=["page_id"], start=start, end=end, size=BATCH_SIZE) \
         .select("url", "page_id", "position", "batch_start", "batch_end")
 
 
+def page_url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir, 0, None)
+
+
+def page_url_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paged scan between two offsets: the last page starts below the end and is read in full."""
+    return _batches(spark, sf_dir, *BATCH_RANGE)
+
+
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-row entity count map of every document, a row per key."""
+    d = documents(spark, sf_dir).select("doc_id", ent.capitalised_entities("text", stop=_STOP).alias("entities"))
+    return d.select("doc_id", F.explode(ent.entity_count_map("entities")).alias("entity", "n_mentions"))
+
+
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged headline rows over ``documents`` with everything the cleaning chain looks for, chosen by ``doc_id``: URLs
+    that repeat or are missing, other outlets, missing fields, date texts, snippets, trim phrases, URLs, copyright years,
+    broken encoding, blank and foreign texts."""
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    key = F.when(d % 5 == 1, d - 1).otherwise(d)
+    outlet = F.element_at(F.array(*map(F.lit, RAW_OUTLETS)), (key % len(RAW_OUTLETS)).cast("int") + 1)
+    german = F.when(d % 3 > 0, F.concat(F.lit(GERMAN), "text")).otherwise(F.col("text"))
+    content = (F.when(d % 8 == 1, F.concat(german, F.lit(RAW_PARTS[0])))
+               .when(d % 8 == 2, F.concat(german, F.lit(RAW_PARTS[1])))
+               .when(d % 8 == 3, F.concat(german, F.lit(RAW_PARTS[2])))
+               .when(d % 8 == 4, F.concat(F.lit(fixed.MOJIBAKE_MARKER), german))
+               .when(d % 8 == 5, F.lit(" \n\t ")).when(d % 8 == 6, F.lit(None)).otherwise(german))
+    date = F.when(d % 11 == 0, F.lit(None)).when(d % 7 == 0, F.concat(F.lit("2024-03-0"), (d % 9 + 1).cast("string"), F.lit("T10:00:00+01:00"))) \
+        .otherwise(F.concat(F.lit("2024-02-1"), (d % 10).cast("string"), F.lit(" 08:30:00")))
+    return documents(spark, sf_dir).select(
+        F.when(d % 17 != 0, F.concat(F.lit("T"), n)).alias("title"), F.lit("feed").alias("source"),
+        F.when(d % 13 != 0, F.concat(F.lit("https://www."), outlet, F.lit(".de/"), key.cast("string"))).alias("url"),
+        date.alias("publishedAt"), F.concat(F.lit("about "), n).alias("description"), content.alias("content"),
+        d.alias("ingest_seq"))
+
+
+def clean_article_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_articles(raw_articles(spark, sf_dir)).select("title", "source", "url", "datetime", "description", "content")
+
+
 SPARK = {
     "clean_documents": clean_documents,
     "document_tokens": document_tokens,
@@ -124,6 +173,9 @@ SPARK = {
     "page_outlets": page_outlets,
     "page_text": page_text,
     "page_url_batches": page_url_batches,
+    "page_url_range": page_url_range,
+    "document_entities": document_entities,
+    "clean_articles": clean_article_rows,
 }
 
 _STOP = spark_stopwords("german")
@@ -163,6 +215,8 @@ _LABELS = "(VALUES " + ", ".join(f"({S.q(lab)})" for lab in fixed.DISTINCT_TOPIC
 _PAGES = f"""WITH p AS (SELECT *, {S.extraction_method('url')} AS method, {S.strip_non_content(f"replace(html, '<p>', {S.q(RICH_PARAGRAPH)})")} AS clean
            FROM pages)"""
 
+_POSITIONS = "WITH r AS (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS position FROM pages)"
+
 ORACLE = {
     "clean_documents": f"""WITH s1 AS (SELECT doc_id, lang, source, n_chars, {S.null_if_mojibake('text')} AS c1 FROM documents),
 s2 AS (SELECT *, {S.null_unless_german('c1')} AS c2 FROM s1),
@@ -229,8 +283,38 @@ SELECT page_id, url, method,
        {S.paragraph_text(f"CASE WHEN method = 'paragraph' THEN clean ELSE {S.article_block('clean')} END", "method = 'article'")} END AS content
 FROM p""",
 
-    "page_url_batches": f"""WITH r AS (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS position FROM pages)
-SELECT url, page_id, position, (position // {fixed.PAGE_SIZE}) * {fixed.PAGE_SIZE} AS batch_start,
-       (position // {fixed.PAGE_SIZE}) * {fixed.PAGE_SIZE} + {fixed.PAGE_SIZE} AS batch_end
+    "page_url_batches": f"""{_POSITIONS}
+SELECT url, page_id, position, (position // {BATCH_SIZE}) * {BATCH_SIZE} AS batch_start,
+       (position // {BATCH_SIZE}) * {BATCH_SIZE} + {BATCH_SIZE} AS batch_end
 FROM r""",
+
+    "page_url_range": f"""{_POSITIONS},
+b AS (SELECT *, {BATCH_RANGE[0]} + ((position - {BATCH_RANGE[0]}) // {BATCH_SIZE}) * {BATCH_SIZE} AS batch_start FROM r
+      WHERE position >= {BATCH_RANGE[0]})
+SELECT url, page_id, position, batch_start, batch_start + {BATCH_SIZE} AS batch_end FROM b WHERE batch_start < {BATCH_RANGE[1]}""",
+
+    "document_entities": f"""WITH w AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents)
+SELECT doc_id, entity, count(*) AS n_mentions FROM w
+WHERE regexp_matches(entity, '^\\p{{Lu}}') AND length(entity) >= 2 AND NOT list_contains({S.str_list(_STOP)}, lower(entity))
+GROUP BY ALL""",
+
+    "clean_articles": f"""WITH k AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN doc_id - 1 ELSE doc_id END AS key,
+  CASE WHEN doc_id % 3 > 0 THEN {S.q(GERMAN)} || text ELSE text END AS g FROM documents),
+raw AS (SELECT CASE WHEN doc_id % 17 <> 0 THEN 'T' || doc_id END AS title,
+  CASE WHEN doc_id % 13 <> 0 THEN 'https://www.' || {S.str_list(RAW_OUTLETS)}[key % {len(RAW_OUTLETS)} + 1] || '.de/' || key END AS url,
+  CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '2024030' || (doc_id % 9 + 1) || '100000'
+       ELSE '2024021' || (doc_id % 10) || '083000' END AS datetime,
+  'about ' || doc_id AS description,
+  CASE doc_id % 8 WHEN 1 THEN g || {S.q(RAW_PARTS[0])} WHEN 2 THEN g || {S.q(RAW_PARTS[1])} WHEN 3 THEN g || {S.q(RAW_PARTS[2])}
+       WHEN 4 THEN {S.q(fixed.MOJIBAKE_MARKER)} || g WHEN 5 THEN ' ' WHEN 6 THEN NULL ELSE g END AS c, doc_id FROM k),
+f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS rn FROM raw),
+s1 AS (SELECT *, {S.null_if_mojibake('c')} AS c1 FROM f WHERE rn = 1 AND title IS NOT NULL AND url IS NOT NULL),
+s2 AS (SELECT *, {S.null_unless_german('c1')} AS c2 FROM s1),
+s3 AS (SELECT *, {S.remove_snippets('c2')} AS c3 FROM s2),
+s4 AS (SELECT *, {S.trim_after('c3')} AS c4 FROM s3),
+s5 AS (SELECT *, {S.clean_text('c4')} AS c5 FROM s4),
+s6 AS (SELECT *, {S.null_if_blank('c5')} AS content, {S.outlet('url')} AS source FROM s5)
+SELECT title, source, url, datetime, description, content FROM s6
+WHERE content IS NOT NULL AND source IN ({', '.join(S.q(o) for o in fixed.ALLOWED_OUTLETS)})""",
 }
