@@ -180,10 +180,12 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def _rooted(docs: DataFrame, key: str, text: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(key, fp, hash of the text) of every row, and (fp, first, root) of every fingerprint: the smallest key that
-    has it, and the fingerprint that stands for its component."""
+    """(key, fp, hash of the text) of every row, and (fp, first, root) of every fingerprint: the first row that has it,
+    as a struct of (no key, key, hash of the text), and the fingerprint that stands for its component. Copies shrink to
+    one row a task before anything is shuffled."""
     marked = cut_lineage(fingerprints(docs, key, text, shingle))
-    fps = cut_lineage(marked.groupBy("fp").agg(F.min(key).alias("first")))
+    row = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "h")
+    fps = cut_lineage(marked.groupBy("fp").agg(F.min(row).alias("first")))
     roots = connected(links(fps, radius))
     return marked, fps.join(roots, fps["fp"] == roots["node"], "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -200,7 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     columns of ``docs`` are not read.
     """
     marked, rooted = _rooted(docs, key, text, shingle, radius)
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    ids = rooted.groupBy("root").agg(F.min("first.k").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -209,9 +211,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
              radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for every component of near-duplicates, with all its columns: that with the smallest key, a
     row without a key only if there is no other; among rows with that key, the text with the smallest hash."""
-    marked, rooted = _rooted(docs, key, text, shingle, radius)
-    best = marked.join(rooted.select("fp", "root"), "fp").groupBy("root") \
-        .agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "h")).alias("b"))
+    _, rooted = _rooted(docs, key, text, shingle, radius)
+    best = rooted.groupBy("root").agg(F.min("first").alias("b"))
     k, h, n = names_free(docs, "_k", "_h", "_n")
     best = best.select(F.col("b.k").alias(k), F.col("b.h").alias(h)).distinct()
     rows = docs.withColumn(n, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
