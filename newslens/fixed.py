@@ -42,9 +42,6 @@ TOP_ENTITIES = 10
 TOP_TOPIC_WORDS = 10
 RANDOM_SEED = 42
 
-# Bulk URL paging.
-PAGE_START = 510001
-PAGE_END = 904360
 PAGE_SIZE = 2000
 HEADLINES_PER_SOURCE = 100
 HEADLINE_LANGUAGE = "de"

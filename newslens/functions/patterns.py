@@ -34,3 +34,5 @@ TAG = r"(?s)<[^>]*>"
 ARTICLE_BLOCK = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|\z)"
 LINK = r"(?is)<a(?:\s[^>]*)?>(.*?)</a\s*>"
 CHAR_REF = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Words that start with an upper-case letter, joined by single spaces (group 1), after a non-word character.
+CAPITALISED_RUN = r"(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]+(?: \p{Lu}[\p{L}\p{N}_]+)*)"

@@ -84,21 +84,39 @@ def lexicon_sentiment(df: DataFrame, tokens_col: str = "tokens", **lexicon) -> D
 
 def score_in_batches(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text_col: str,
                      out_col: str = "sentiment", out_type: str = "string",
-                     batch_rows: int = fixed.SENTIMENT_BATCH * 100) -> DataFrame:
+                     batch_rows: int = fixed.SENTIMENT_BATCH * 100, error_col: str | None = None) -> DataFrame:
     """Run a user scoring function (e.g. a pre-trained model) over Arrow batches of texts.
 
     ``fn`` gets a pandas Series of texts and returns one value per text. It runs
     in every task on the task's own rows (``mapInPandas``), so the model is
     loaded per Python worker and the rows never leave their partition. The key
     columns travel with the text, so row order does not matter.
+
+    With ``error_col`` a failing text does not end the job: a batch that ``fn`` raises on is tried again text by
+    text, and a text that still fails has a NULL result and the error's message in that column (else NULL).
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T._parse_datatype_string(out_type))])
+    extra = [T.StructField(out_col, T._parse_datatype_string(out_type))]
+    extra += [T.StructField(error_col, T.StringType())] if error_col else []
+    schema = T.StructType(df.schema.fields + extra)
+
+    def scored(texts: pd.Series) -> tuple[list, list]:
+        try:
+            return list(fn(texts)), [None] * len(texts)
+        except Exception as e:  # noqa: BLE001  (any failure of the user's function becomes the row's error)
+            if error_col is None:
+                raise
+            if len(texts) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+        parts = [scored(texts.iloc[i:i + 1]) for i in range(len(texts))]
+        return [p[0][0] for p in parts], [p[1][0] for p in parts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[start:start + batch_rows].copy()
-                part[out_col] = list(fn(part[text_col]))
+                part[out_col], errors = scored(part[text_col])
+                if error_col:
+                    part[error_col] = errors
                 yield part
 
     return df.mapInPandas(run, schema)
@@ -112,6 +130,7 @@ def register_scorer(name: str, fn: Callable[[pd.Series], pd.Series], out_type: s
     _SCORERS[name] = (fn, out_type)
 
 
-def apply_scorer(df: DataFrame, name: str, text_col: str, out_col: str | None = None) -> DataFrame:
+def apply_scorer(df: DataFrame, name: str, text_col: str, out_col: str | None = None,
+                 error_col: str | None = None) -> DataFrame:
     fn, out_type = _SCORERS[name]
-    return score_in_batches(df, fn, text_col, out_col or name, out_type)
+    return score_in_batches(df, fn, text_col, out_col or name, out_type, error_col=error_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,48 @@ from newslens.operators.joins import lookup_join
 from newslens.session import cut_lineage
 
 
-def capitalised_entities(text_col: str = "content", label: str = "MISC", stop=()) -> Column:
-    """Default entity extractor: words that start with an upper-case letter, as
-    ``array<struct<text, label>>`` in text order (a stand-in for a trained recogniser)."""
-    words = F.split(F.col(text_col), P.NON_WORD + "+")
+# A small default gazetteer (our own): names in lower case and the label of their entities.
+GAZETTEER = {
+    "berlin": "LOC", "hamburg": "LOC", "münchen": "LOC", "köln": "LOC", "frankfurt": "LOC", "deutschland": "LOC",
+    "europa": "LOC", "ukraine": "LOC", "russland": "LOC", "israel": "LOC", "gaza": "LOC", "usa": "LOC", "china": "LOC",
+    "olaf scholz": "PER", "scholz": "PER", "robert habeck": "PER", "christian lindner": "PER", "friedrich merz": "PER",
+    "joe biden": "PER", "donald trump": "PER", "wladimir putin": "PER", "wolodymyr selenskyj": "PER",
+    "bundestag": "ORG", "bundesregierung": "ORG", "deutsche bahn": "ORG", "europäische union": "ORG", "nato": "ORG",
+    "spd": "ORG", "cdu": "ORG", "fdp": "ORG", "afd": "ORG", "die grünen": "ORG", "vereinte nationen": "ORG",
+}
+OTHER_LABEL = "MISC"
+
+
+def capitalised_entities(text_col: str = "content", label: str = OTHER_LABEL, stop=(),
+                         gazetteer: Mapping[str, str] | None = None) -> Column:
+    """Default entity extractor: runs of words that start with an upper-case letter and are separated by single
+    spaces, as ``array<struct<text, label>>`` in text order (a stand-in for a trained recogniser).
+
+    Stop words are taken out of a run. The label is that of the lower-cased run in ``gazetteer``, a small fixed
+    dictionary (for a table of names see `label_mentions`), else ``label``.
+    """
+    spans = F.regexp_extract_all(F.col(text_col), F.lit(P.CAPITALISED_RUN), 1)
     stop = tuple(stop)
+    if stop:
+        spans = F.transform(spans, lambda s: F.array_join(F.filter(F.split(s, " "), lambda w: ~F.lower(w).isin(*stop)), " "))
+    spans = F.filter(spans, lambda s: s != "")
+    names = F.create_map(*[F.lit(x) for kv in (gazetteer or {}).items() for x in kv]) if gazetteer else None
+
+    def entity(s):
+        own = F.lit(label) if names is None else F.coalesce(F.element_at(names, F.lower(s)), F.lit(label))
+        return F.struct(s.alias("text"), own.alias("label"))
 
-    def keep(w):
-        cond = w.rlike(r"^\p{Lu}") & (F.length(w) >= 2)
-        return cond & ~F.lower(w).isin(*stop) if stop else cond
+    return F.transform(spans, entity)
 
-    picked = F.filter(words, keep)
-    return F.transform(picked, lambda w: F.struct(w.alias("text"), F.lit(label).alias("label")))
+
+def label_mentions(mentions: DataFrame, gazetteer: DataFrame, entity_col: str = "entity",
+                   label: str = OTHER_LABEL) -> DataFrame:
+    """Adds ``label`` to mention or count rows from a gazetteer table (name, label); unknown names get ``label``. Names
+    meet in lower case; of several labels of a name the first in order counts. The table is broadcast only if its
+    measured size is small."""
+    names = gazetteer.groupBy(F.lower("name").alias("_name")).agg(F.min("label").alias("label"))
+    out = lookup_join(mentions.withColumn("_name", F.lower(entity_col)), names, "_name", "left")
+    return out.withColumn("label", F.coalesce("label", F.lit(label))).drop("_name")
 
 
 def entity_count_map(entities_col: str = "entities") -> Column:
@@ -70,16 +102,6 @@ def topic_entity_mentions(df: DataFrame, entities_col: str = "entities", topic_c
     return m.where(F.col("entity").isNotNull()).groupBy("topic", "entity").agg(F.count("*").alias("n_mentions"))
 
 
-def entity_mentions(articles: DataFrame, mentions: DataFrame, key: str = "article_id") -> DataFrame:
-    """(topic, entity, n): entity mentions summed per topic.
-
-    ``mentions`` has one row per mention (``key``, ``entity``). The articles side
-    only contributes ``key → topic``.
-    """
-    j = mentions.join(articles.select(key, "topic"), key)
-    return j.where(F.col("topic").isNotNull()).groupBy("topic", "entity").agg(F.count("*").alias("n_mentions"))
-
-
 def topic_entity_counts(articles: DataFrame, refs: DataFrame, entity_dim: DataFrame,
                         key: str = "article_id", ref: str = "item_id") -> DataFrame:
     """(topic, entity, n_mentions) when mentions point at an item table that names the entity.
@@ -108,16 +130,19 @@ def top_entities(counts: DataFrame, n: int = fixed.TOP_ENTITIES) -> DataFrame:
 def related_topics(top: DataFrame) -> DataFrame:
     """Pairs of different topics whose top-entity sets overlap, with the overlap size.
 
-    Self equi-join on the entity: each topic brings at most ``n`` entities, so
-    the join emits at most n × topics rows per topic — bounded by the topic
-    count, never by articles. ``top`` is read twice and is written to the
-    checkpoint folder once (it has at most n rows per topic).
+    Self equi-join on the entity: each topic brings at most ``n`` entities. An entity that is in the top of t
+    topics gives t * (t - 1) / 2 rows, so the join is bounded by the number of topics squared (never by
+    articles): fine for a label list, not for an unbounded topic column. Each pair is counted once (``a < b``) and
+    mirrored after the aggregate. ``top`` is read twice and is written to the checkpoint folder once (it has at
+    most n rows per topic).
     """
     top = cut_lineage(top.select("topic", "entity"))
-    a = top.select(F.col("topic"), "entity")
     b = top.select(F.col("topic").alias("related_topic"), "entity")
-    pairs = a.join(b, "entity").where(F.col("topic") != F.col("related_topic"))
-    return pairs.groupBy("topic", "related_topic").agg(F.count("*").alias("overlap"))
+    once = top.join(b, "entity").where(F.col("topic") < F.col("related_topic")) \
+        .groupBy("topic", "related_topic").agg(F.count("*").alias("overlap"))
+    both = F.explode(F.array(F.struct(F.col("topic").alias("x"), F.col("related_topic").alias("y")),
+                             F.struct(F.col("related_topic").alias("x"), F.col("topic").alias("y"))))
+    return once.select(both.alias("p"), "overlap").select(F.col("p.x").alias("topic"), F.col("p.y").alias("related_topic"), "overlap")
 
 
 def attach_related(articles: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -128,6 +153,6 @@ def attach_related(articles: DataFrame, pairs: DataFrame) -> DataFrame:
         .alias("_s"))
     per_topic = per_topic.select("topic", F.transform("_s", lambda s: F.struct(
         s["t"].alias("topic"), (F.lit(0) - s["neg"]).alias("overlap"))).alias("related_topics"))
-    out = lookup_join(articles, per_topic, "topic", "left")
+    out = lookup_join(articles, cut_lineage(per_topic), "topic", "left")  # a row per topic, measured once
     empty = F.array().cast("array<struct<topic:string,overlap:bigint>>")
     return out.withColumn("related_topics", F.coalesce("related_topics", empty))

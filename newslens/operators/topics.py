@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newslens import fixed
 from newslens.functions import text as tx
 from newslens.functions.scores import spark_stopwords
+from newslens.operators.joins import lookup_join
 from newslens.session import cut_lineage
 
 
@@ -23,6 +24,8 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
     every row) the model is fitted on the rows that have a vector and the rows
     without one get the outlier topic -1.
 
+    ``max_iter`` bounds the iterations: k-means then stops where it is, as Spark's default does.
+
     The cluster sizes come from the training summary of the fitted model (the
     last pass of the fit assigns every training row), so the outlier rule is a
     literal list of at most ``k`` cluster ids: no extra pass over the rows and
@@ -51,9 +54,9 @@ def tfidf_vectors(df: DataFrame, tokens_col: str = "tokens", out_col: str = "fea
                   num_features: int = 1 << 16) -> DataFrame:
     """Sparse TF-IDF vectors of the token lists (hashing trick, so no vocabulary pass).
 
-    2^16 buckets keep collisions rare for a news vocabulary while every k-means
-    iteration broadcasts and sums k dense centres of that width, so the width
-    is kept well below Spark's 2^18 default.
+    ``num_features`` is the width of the vectors: words that share a bucket count as one, more of them the larger the
+    vocabulary is, and every k-means iteration broadcasts and sums k dense centres of that width. Choose it by the
+    vocabulary; the results depend on it.
 
     The default document vectors for clustering when no sentence-embedding
     model is plugged in through ``enrich.score_in_batches``.
@@ -86,18 +89,16 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     over all classes and A the mean of words(c), truncated to an integer.
     Ties are broken by term.
 
-    The term counts are one shuffle that both consumers read (Spark reuses the
-    exchange, the texts are tokenised once). f(t) is a window sum partitioned
-    by term: a term has at most one row per class, so no window partition
-    grows with the corpus. words(c) and A form a table with one row per class;
-    it is joined without a hint, so AQE broadcasts it from its measured size
-    (and keeps a shuffle join if the classes were ever too many).
+    The term counts are written to the checkpoint folder once, so the texts are tokenised once. f(t) is a window
+    sum partitioned by term: a term has at most one row per class, so no window partition grows with the corpus.
+    words(c) and A form a table with one row per class; it is broadcast if its measured size is small, so the term
+    counts are not shuffled by class, where one class may hold a third of the text.
     """
-    tc = class_term_counts(df, class_col, tokens_col)
+    tc = cut_lineage(class_term_counts(df, class_col, tokens_col))
     per_class = tc.groupBy("topic").agg(F.sum("tf").alias("class_words"))
     # One row per class: the mean over classes is a window over that small table.
-    per_class = per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy())))
-    scored = tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term"))).join(per_class, "topic")
+    per_class = cut_lineage(per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy()))))
+    scored = lookup_join(tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term"))), per_class, "topic", "inner")
     score = (F.col("tf") / F.col("class_words")) * F.log(F.col("avg_words") / F.col("term_freq") + 1.0)
     scored = scored.withColumn("score", score)
     # row_number() <= n is planned as a window group limit: each task keeps its

@@ -112,3 +112,10 @@ def extraction_method(expr: str, hosts: Sequence[str] = fixed.PARAGRAPH_HOSTS) -
 
 def round9(expr: str) -> str:
     return f"round_even(({expr}) * 1e9::DOUBLE, 0) / 1e9::DOUBLE"
+
+
+def entity_spans(expr: str, stop: Sequence[str]) -> str:
+    """List of the capitalised runs of a text without their stop words."""
+    spans = f"regexp_extract_all({expr}, {q(P.CAPITALISED_RUN)}, 1)"
+    words = f"list_filter(string_split(s, ' '), lambda w: NOT list_contains({str_list(stop)}, lower(w)))"
+    return f"list_filter(list_transform({spans}, lambda s: array_to_string({words}, ' ')), lambda s: s <> '')"

@@ -20,6 +20,9 @@ from newslens.sources.tables import spread, table
 TEST_CLUSTERS = 10
 # How often the label's words stand in front of a text of `labelled_text`.
 LABEL_REPEATS = 20
+# Names put in front of the texts of `source_entities`, and how often.
+MENTIONS = ("Der Olaf Scholz", "Berlin", "Deutsche Bahn", "Nord See", "Robert Habeck")
+MENTION_REPEATS = 12
 # Page size of the registered paged scans, and the offsets of the one over a range.
 BATCH_SIZE = 100
 BATCH_RANGE = (20, 190)
@@ -81,12 +84,16 @@ def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top entities per outlet with the default (capitalised-word) extractor on whole texts."""
-    d = documents(spark, sf_dir).select("source", ent.capitalised_entities("text", stop=_STOP).alias("e"))
-    mentions = d.select(F.col("source").alias("topic"), F.explode("e.text").alias("entity"))
-    counts = mentions.where(F.col("topic").isNotNull()).groupBy("topic", "entity") \
-        .agg(F.count("*").alias("n_mentions"))
-    return ent.top_entities(counts).select("topic", "rank", "entity", "n_mentions")
+    """Top entities per outlet, with their labels from a gazetteer table, in texts that each name one of a few people,
+    places and organisations several times (chosen by ``doc_id``)."""
+    n = (F.col("doc_id") % len(MENTIONS)).cast("int") + 1
+    named = F.repeat(F.concat(F.element_at(F.array(*map(F.lit, MENTIONS)), n), F.lit(", ")), MENTION_REPEATS)
+    d = documents(spark, sf_dir).withColumn("text", F.concat(named, "text"))
+    m = d.where(F.col("source").isNotNull()).select(
+        F.col("source").alias("topic"), F.explode(ent.capitalised_entities("text", stop=STOP)["text"]).alias("entity"))
+    top = ent.top_entities(m.groupBy("topic", "entity").agg(F.count("*").alias("n_mentions")))
+    gazetteer = spark.createDataFrame(list(ent.GAZETTEER.items()), "name string, label string")
+    return ent.label_mentions(top, gazetteer).select("topic", "rank", "entity", "label", "n_mentions")
 
 
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +138,7 @@ def page_url_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-row entity count map of every document, a row per key."""
-    d = documents(spark, sf_dir).select("doc_id", ent.capitalised_entities("text", stop=_STOP).alias("entities"))
+    d = documents(spark, sf_dir).select("doc_id", ent.capitalised_entities("text", stop=STOP).alias("entities"))
     return d.select("doc_id", F.explode(ent.entity_count_map("entities")).alias("entity", "n_mentions"))
 
 
@@ -178,15 +185,15 @@ SPARK = {
     "clean_articles": clean_article_rows,
 }
 
-_STOP = spark_stopwords("german")
-_TOK = f"tok AS (SELECT doc_id, source, {S.tokens('text', _STOP)} AS t FROM documents)"
-_LABELLED = f"""SELECT doc_id, source, repeat({S.str_list(fixed.DISTINCT_TOPIC_LABELS)}[
+STOP = spark_stopwords("german")
+_TOK = f"tok AS (SELECT doc_id, source, {S.tokens('text', STOP)} AS t FROM documents)"
+LABELLED = f"""SELECT doc_id, source, repeat({S.str_list(fixed.DISTINCT_TOPIC_LABELS)}[
   coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER), 0) * 2 % {len(fixed.DISTINCT_TOPIC_LABELS)} + 1]
   || ' ', {LABEL_REPEATS}) || text AS text FROM documents"""
 
 
 def _terms(source: str = "documents") -> str:
-    return f"""WITH tok AS (SELECT doc_id, source, {S.tokens('text', _STOP)} AS t FROM {source}),
+    return f"""WITH tok AS (SELECT doc_id, source, {S.tokens('text', STOP)} AS t FROM {source}),
 terms AS (SELECT source AS topic, unnest(t) AS term FROM tok
           UNION ALL
           SELECT source, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok
@@ -209,6 +216,20 @@ def _grams(word: str) -> str:
             f"lambda i: substr('<' || {word} || '>', i, {topics.GRAM}))")
 
 
+def topic_label_ctes(source: str) -> str:
+    """CTEs from the tokens of ``source`` to ``top`` (topic terms) and ``best`` (labels by rank ``rn`` per topic)."""
+    return f"""{_terms(source).removeprefix("WITH ")},
+words AS (SELECT DISTINCT topic, unnest(string_split(term, ' ')) AS word FROM top),
+grams AS (SELECT DISTINCT topic, unnest({_grams('word')}) AS gram FROM words),
+lw AS (SELECT label, list_distinct(flatten(list_transform({S.tokens('label', STOP, 2, topics.LABEL_WORD_MAX)}, lambda v: {_grams('v')})))
+       AS gs FROM {_LABELS}),
+labels AS (SELECT label, unnest(gs) AS gram, len(gs) AS label_grams FROM lw),
+hits AS (SELECT topic, label, label_grams, count(*) AS matched FROM grams JOIN labels USING (gram) GROUP BY ALL),
+ls AS (SELECT *, CAST(matched AS DOUBLE) / CAST(label_grams AS DOUBLE) AS score FROM hits),
+best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score < {fixed.TOPIC_LABEL_CUTOFF}, score * matched DESC, label) AS rn
+         FROM ls)"""
+
+
 _TERMS = _terms()
 _LABELS = "(VALUES " + ", ".join(f"({S.q(lab)})" for lab in fixed.DISTINCT_TOPIC_LABELS) + ") AS v(label)"
 
@@ -251,27 +272,19 @@ rep AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS representation FROM
 sizes AS (SELECT source AS topic, count(*) AS n_docs FROM documents GROUP BY source)
 SELECT sizes.topic, n_docs, representation FROM sizes LEFT JOIN rep USING (topic)""",
 
-    "topic_labels": f"""{_terms(f"({_LABELLED})")},
-words AS (SELECT DISTINCT topic, unnest(string_split(term, ' ')) AS word FROM top),
-grams AS (SELECT DISTINCT topic, unnest({_grams('word')}) AS gram FROM words),
-lw AS (SELECT label, list_distinct(flatten(list_transform({S.tokens('label', _STOP, 2, topics.LABEL_WORD_MAX)}, lambda v: {_grams('v')})))
-       AS gs FROM {_LABELS}),
-labels AS (SELECT label, unnest(gs) AS gram, len(gs) AS label_grams FROM lw),
-hits AS (SELECT topic, label, label_grams, count(*) AS matched FROM grams JOIN labels USING (gram) GROUP BY ALL),
-ls AS (SELECT *, CAST(matched AS DOUBLE) / CAST(label_grams AS DOUBLE) AS score FROM hits),
-best AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score < {fixed.TOPIC_LABEL_CUTOFF}, score * matched DESC, label) AS rn FROM ls)
+    "topic_labels": f"""WITH {topic_label_ctes(f"({LABELLED})")}
 SELECT t.topic, CASE WHEN score >= {fixed.TOPIC_LABEL_CUTOFF} THEN label ELSE 'None' END AS label,
        {S.round9('coalesce(score, 0.0)')} AS score
 FROM (SELECT DISTINCT topic FROM top) t LEFT JOIN (SELECT * FROM best WHERE rn = 1) USING (topic)""",
 
-    "source_entities": f"""WITH w AS (
-  SELECT source AS topic, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents),
-c AS (SELECT topic, entity, count(*) AS n_mentions FROM w
-      WHERE topic IS NOT NULL AND regexp_matches(entity, '^\\p{{Lu}}') AND length(entity) >= 2
-        AND NOT list_contains({S.str_list(_STOP)}, lower(entity))
-      GROUP BY ALL),
+    "source_entities": f"""WITH d AS (SELECT source AS topic, repeat({S.str_list(MENTIONS)}[doc_id % {len(MENTIONS)} + 1] || ', ',
+  {MENTION_REPEATS}) || text AS text FROM documents WHERE source IS NOT NULL),
+w AS (SELECT topic, unnest({S.entity_spans('text', STOP)}) AS entity FROM d),
+c AS (SELECT topic, entity, count(*) AS n_mentions FROM w GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n_mentions DESC, entity) AS rank FROM c)
-SELECT topic, CAST(rank AS INTEGER) AS rank, entity, n_mentions FROM r WHERE rank <= {fixed.TOP_ENTITIES}""",
+SELECT topic, CAST(rank AS INTEGER) AS rank, entity, coalesce(label, 'MISC') AS label, n_mentions
+FROM r LEFT JOIN (VALUES {', '.join(f"({S.q(k)}, {S.q(v)})" for k, v in ent.GAZETTEER.items())}) AS g(name, label) ON lower(entity) = name
+WHERE rank <= {fixed.TOP_ENTITIES}""",
 
     "page_outlets": f"""SELECT page_id, url, {S.outlet('url')} AS outlet, {S.extraction_method('url')} AS method,
        {S.outlet('url')} IN ({', '.join(S.q(o) for o in fixed.ALLOWED_OUTLETS)}) AS allowed
@@ -293,11 +306,8 @@ b AS (SELECT *, {BATCH_RANGE[0]} + ((position - {BATCH_RANGE[0]}) // {BATCH_SIZE
       WHERE position >= {BATCH_RANGE[0]})
 SELECT url, page_id, position, batch_start, batch_start + {BATCH_SIZE} AS batch_end FROM b WHERE batch_start < {BATCH_RANGE[1]}""",
 
-    "document_entities": f"""WITH w AS (
-  SELECT doc_id, unnest(regexp_split_to_array(text, {S.q(P.NON_WORD + '+')})) AS entity FROM documents)
-SELECT doc_id, entity, count(*) AS n_mentions FROM w
-WHERE regexp_matches(entity, '^\\p{{Lu}}') AND length(entity) >= 2 AND NOT list_contains({S.str_list(_STOP)}, lower(entity))
-GROUP BY ALL""",
+    "document_entities": f"""WITH w AS (SELECT doc_id, unnest({S.entity_spans('text', STOP)}) AS entity FROM documents)
+SELECT doc_id, entity, count(*) AS n_mentions FROM w GROUP BY ALL""",
 
     "clean_articles": f"""WITH k AS (SELECT *, CASE WHEN doc_id % 5 = 1 THEN doc_id - 1 ELSE doc_id END AS key,
   CASE WHEN doc_id % 3 > 0 THEN {S.q(GERMAN)} || text ELSE text END AS g FROM documents),

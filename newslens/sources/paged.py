@@ -68,12 +68,3 @@ def write_batches(df: DataFrame, path: str, fmt: str = "parquet", batch_col: str
         writer.option("header", True).csv(path)
     else:
         writer.format(fmt).save(path)
-
-
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Overwrite sink without an index column (CSV with a header, or parquet)."""
-    w = df.write.mode(mode)
-    if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
-    else:
-        w.format(fmt).save(path)

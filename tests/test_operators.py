@@ -190,7 +190,38 @@ def test_entity_count_map_matches_counter_on_whole_documents(spark):
 def test_capitalised_entities(spark):
     df = spark.createDataFrame([("Olaf Scholz trifft die Presse in Berlin",)], "content string")
     got = df.select(ent.capitalised_entities("content", stop=["die"])).first()[0]
-    assert [e["text"] for e in got] == ["Olaf", "Scholz", "Presse", "Berlin"]
+    assert [e["text"] for e in got] == ["Olaf Scholz", "Presse", "Berlin"]
+    df = spark.createDataFrame([("Der Olaf Scholz, die SPD. Ein  Haus\nÖl-Preis x A Bund",)], "content string")
+    got = df.select(ent.capitalised_entities("content", stop=["der", "ein"], gazetteer=ent.GAZETTEER)).first()[0]
+    assert [(e["text"], e["label"]) for e in got] == [("Olaf Scholz", "PER"), ("SPD", "ORG"), ("Haus", "MISC"),
+                                                      ("Öl", "MISC"), ("Preis", "MISC"), ("Bund", "MISC")]
+
+
+def test_mentions_get_labels_from_a_table(spark):
+    m = spark.createDataFrame([(1, "Berlin"), (2, "Olaf Scholz"), (3, "Nobody"), (4, None)], "id long, entity string")
+    g = spark.createDataFrame([("BERLIN", "LOC"), ("berlin", "ORG"), ("olaf scholz", "PER"), (None, "X")], "name string, label string")
+    got = {r.id: r.label for r in ent.label_mentions(m, g).collect()}
+    assert got == {1: "LOC", 2: "PER", 3: "MISC", 4: "MISC"}
+
+
+def test_lookup_is_broadcast_by_its_bytes(spark):
+    from newslens.operators.joins import lookup_join, table_bytes
+
+    df = spark.range(100).withColumn("k", F.col("id") % 10)
+    dim = spark.range(10).select(F.col("id").alias("k"), F.expr("repeat('x', 1000)").alias("v"))
+    assert 10_000 < table_bytes(dim) < 11_000 and table_bytes(dim, limit_rows=5) is None
+    assert lookup_join(df, dim, "k").count() == lookup_join(df, dim, "k", max_bytes=10).count() == 100
+
+
+def test_scorer_errors_are_per_row(spark):
+    def fails_on_x(texts):
+        if texts.str.contains("x").any():
+            raise ValueError("no x")
+        return texts.str.len()
+
+    df = spark.createDataFrame([(1, "abc"), (2, "axb"), (3, "de")], "id long, content string")
+    got = enrich.score_in_batches(df, fails_on_x, "content", "n", "long", error_col="error").orderBy("id").collect()
+    assert [(r.n, r.error) for r in got] == [(3, None), (None, "ValueError: no x"), (2, None)]
 
 
 def test_related_topics_symmetric_and_attached(spark):
