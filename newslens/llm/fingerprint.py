@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import bound_batches, char_chunks, take_ids
+from newslens.llm.common import bound_batches, char_chunks, thin
 from newslens.llm.prefixhash import PrefixHashes
 from newslens.sources.tables import table
 
@@ -30,12 +30,18 @@ SAMPLE = 20
 
 
 def _smallest(h: np.ndarray) -> np.ndarray:
-    """The KEEP smallest distinct hashes, ascending."""
-    if len(h) > 8 * KEEP:
-        few = np.unique(np.partition(h, 4 * KEEP)[:4 * KEEP])
-        if len(few) >= KEEP:
-            return few[:KEEP]
-    return np.unique(h)[:KEEP]
+    """The KEEP smallest distinct hashes of the spans, ascending. The second and later occurrences of a span have
+    hashes of their own, so that a text that repeats itself is compared by how often it does."""
+    s = np.sort(h.astype(np.uint32))
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    if not new.all():
+        place = np.arange(len(s), dtype=np.uint32)
+        times = place - np.maximum.accumulate(np.where(new, place, 0))
+        mixed = (s ^ (times * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA77)
+        s = np.where(times > 0, (mixed ^ (mixed >> np.uint32(13))) & np.uint32((1 << 31) - 1), s)
+    if len(s) > 8 * KEEP:
+        s = np.partition(s, 4 * KEEP)[:4 * KEEP]  # few of them are equal: KEEP distinct ones remain
+    return np.unique(s)[:KEEP]
 
 
 class Fingerprints:
@@ -95,7 +101,8 @@ def with_neighbours(docs: DataFrame, key: str, text: str, ranges: int | None = N
     """
     spark = docs.sparkSession
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = sorted(r[0] for r in take_ids(docs.select(key).where(F.col(key).isNotNull()), key, SAMPLE * n).collect())
+    keys = docs.select(key).where(F.col(key).isNotNull())
+    sample = sorted(r[0] for r in thin(keys, key, SAMPLE * n).distinct().collect())  # about SAMPLE * n keys
     borders = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")) \
         .withColumn("r", _range_of(F.col("k"), borders))

@@ -7,6 +7,7 @@ the scoring of every page.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,9 @@ ALLOW_SITES = ("university", "library", "newspaper", "museum", "weather", "daily
                "history", "science", "mountain", "physics", "travel-guide", "city-council", "hospital", "school",
                "orchestra", "river-watch", "farmers-market", "art-trade", "encyclopedia", "research-lab", "open-data",
                "community", "garden-club", "bookshop")
+#: Words of ordinary sites; a site's name is one of them, or two neighbours (1, 2 or 5 apart) with a hyphen.
+WORDS = ("garden", "history", "library", "science", "public", "music", "travel", "city", "school", "nature", "family", "market",
+         "health", "sport", "local", "news", "recipe", "photo", "river", "mountain", "book", "museum", "farm", "blog")
 #: Invented names of ordinary sites are pairs of these syllables.
 SYLLABLES = ("th", "er", "tion", "an", "ing", "on", "ble", "re", "he", "st")
 TLDS = ("example.com", "example.net", "example.org")
@@ -91,15 +95,17 @@ def url_features(host: Column, path: Column, sizes: Sequence[int] = NGRAMS, buck
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, blocked 0/1): every site name, and every pair of syllables as an ordinary
-    one, with every path layout; top domain and host prefix go in turn."""
+    """The small labelled table (url, blocked 0/1): every listed site name, and the words, word pairs and syllable pairs
+    as ordinary ones, with every path layout; top domain and host prefix go in turn."""
     rows, invented = [], [a + b for a in SYLLABLES for b in SYLLABLES]
-    for label, sites in ((1, BLOCK_SITES), (0, (*ALLOW_SITES, *invented))):
+    pairs = [f"{a}-{WORDS[(i + d) % len(WORDS)]}" for i, a in enumerate(WORDS) for d in (1, 2, 5)]
+    for label, sites in ((1, BLOCK_SITES), (0, (*ALLOW_SITES, *WORDS, *pairs, *invented))):
         for i, site in enumerate(sites):
             for j, path in enumerate(PATHS):
                 host = f"{PREFIXES[(i + j) % len(PREFIXES)]}{site}.{TLDS[(i + 2 * j) % len(TLDS)]}"
-                rows.append((f"https://{host}{path.format(100 + 37 * i + j)}", label))
-    return spark.createDataFrame(rows, "url string, blocked int")
+                rows.append({"url": f"https://{host}{path.format(100 + 37 * i + j)}", "blocked": label})
+    parsed = F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,blocked:int>>")
+    return spark.range(1).select(F.explode(parsed).alias("r")).select("r.url", "r.blocked")
 
 
 def _probability(features: Column, weights: Column) -> Column:
