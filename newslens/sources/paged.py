@@ -38,13 +38,14 @@ def global_positions(df: DataFrame, order: Sequence[str], start: int = 0,
     return j.withColumn(position_col, pos).drop("_pid", "_mid", "_off", "_first")
 
 
-def url_batches(urls: DataFrame, url_col: str = "url", tie: Sequence[str] = (),
-                start: int = 0, end: int | None = None, size: int = fixed.PAGE_SIZE) -> DataFrame:
+def url_batches(urls: DataFrame, url_col: str = "url", *, tie: Sequence[str], start: int = 0,
+                end: int | None = None, size: int = fixed.PAGE_SIZE) -> DataFrame:
     """Rows at positions ``start <= p < end`` with their batch ``[batch_start, batch_end)``.
 
     Equivalent to issuing ``LIMIT size OFFSET o`` for o = start, start+size, …
     against a table ordered by url (the last batch may run past ``end``, like
-    the original loop).
+    the original loop). ``tie`` names columns that order rows of equal or NULL URLs (a total order together with the
+    URL, which also lets Spark split such rows over tasks); pass ``()`` only for unique URLs.
     """
     pos = global_positions(urls, [url_col, *tie])
     if end is not None:

@@ -99,13 +99,13 @@ def test_month_partitioned_store_prunes_and_keeps_the_load_rule(spark):
 
 def test_url_batches_offsets(spark):
     urls = spark.createDataFrame([(f"u{i:03d}",) for i in range(25)], "url string").repartition(4)
-    got = url_batches(urls, start=5, end=17, size=5).orderBy("position").collect()
+    got = url_batches(urls, tie=(), start=5, end=17, size=5).orderBy("position").collect()
     # pages at offsets 5, 10, 15; the last page runs past the end (positions 15..19)
     assert [r.position for r in got] == list(range(5, 20))
     assert [r.url for r in got][:2] == ["u005", "u006"]
     assert {r.batch_start for r in got} == {5, 10, 15}
     root = tempfile.mkdtemp(prefix="newslens-batches-")
-    write_batches(url_batches(urls, size=10), root + "/out")
+    write_batches(url_batches(urls, tie=(), size=10), root + "/out")
     parts = sorted(d for d in os.listdir(root + "/out") if d.startswith("batch_start="))
     assert parts == ["batch_start=0", "batch_start=10", "batch_start=20"]
 
