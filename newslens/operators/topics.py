@@ -98,7 +98,8 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     per_class = tc.groupBy("topic").agg(F.sum("tf").alias("class_words"))
     # One row per class: the mean over classes is a window over that small table.
     per_class = cut_lineage(per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy()))))
-    scored = lookup_join(tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term"))), per_class, "topic", "inner")
+    by_term = tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term")))
+    scored = lookup_join(by_term, per_class, "topic", "inner")
     score = (F.col("tf") / F.col("class_words")) * F.log(F.col("avg_words") / F.col("term_freq") + 1.0)
     scored = scored.withColumn("score", score)
     # row_number() <= n is planned as a window group limit: each task keeps its
@@ -141,8 +142,9 @@ def label_topics(reps: DataFrame, labels: DataFrame, cutoff: float = fixed.TOPIC
     score = matched n-grams of the label / its n-grams: a label of several words needs them all for 1.0, and a
     compound is found through its parts, also where it is longer than a token may be. Among the labels whose score
     reaches ``cutoff``, the one with the highest score times matched n-grams is assigned (a compound beats a label that
-    is but a part of it), the first by name among equals; if none does, the label is the text ``None``. Topics meet labels in an equi-join on the n-gram, without a hint: the label table is fixed and
-    small, and is broadcast from its measured size.
+    is but a part of it), the first by name among equals; if none does, the label is the text ``None``. Topics meet
+    labels in an equi-join on the n-gram, without a hint: the label table is fixed and small, and is broadcast from its
+    measured size.
     """
     reps = cut_lineage(reps.select("topic", "term"))
     grams = reps.select("topic", F.explode(F.split("term", " ")).alias("word")).distinct() \
