@@ -1,15 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts are compared in a normal form: letters and digits in lower case, everything else one space. Every benchmark
-item is covered by overlapping windows of ``WINDOW`` characters. If a stretch of a document is within
-``k`` edits of a window of ``m`` characters, the two share at least ``m - q + 1 - k*q`` q-grams (an edit
-destroys at most ``q`` of them), all on diagonals at most ``k`` apart. So, per document:
+Texts are compared in a normal form: letters and digits in lower case, everything else one space. Every stretch of
+``WINDOW`` characters of a benchmark item is a window, whatever its start; a shorter item is one window. If a stretch
+of a document is within ``k`` edits of a window of ``m`` characters, the two share at least ``m - q + 1 - k*q`` q-grams
+(an edit destroys at most ``q`` of them), all on diagonals at most ``k`` apart. So, per document:
 
 1. every position whose q-gram occurs in the benchmark is a hit, and every hit lies on a diagonal of the
-   windows that hold its q-gram;
-2. hits are counted per window in diagonal bands of width ``2k + 1`` that overlap by ``k`` or more, so that some
-   band has all of a match's diagonals; bands that meet the bound stay;
-3. a banded alignment of the window against that region decides.
+   items that hold its q-gram;
+2. hits are collected per item in diagonal bands of width ``2k + 1`` that overlap by ``k`` or more, so that some
+   band has all of a match's diagonals; the windows that hold enough of a band's hits stay, as ranges of starts;
+3. the same bound with shorter q-grams, all of which the band itself shows, drops most of the other windows;
+4. a banded alignment decides on every window that is left: the furthest rows reached with 0, 1, .. ``k`` edits.
 
 The work per document is linear in its length; documents never meet each other. The benchmark is read in blocks of
 bounded size (a stated query set against all rows), each of which a task holds whole.
@@ -30,13 +31,16 @@ from newslens.llm.common import char_chunks, code_points, map_batches
 from newslens.sources.tables import table
 
 Q = 10
-WINDOW, STRIDE = 100, 50
+#: Characters of a window, and the step from one window's start to the next: every start is one.
+WINDOW, STRIDE = 100, 1
 #: Edits per character of a window.
 RATE = 0.08
 #: Benchmark characters in one block: the index that tasks hold grows with this, not with the benchmark.
 BLOCK_CHARS = 1 << 22
 #: Characters hashed at once: their arrays stay in a core's cache.
 CHUNK = 1 << 17
+#: Length of the q-grams that are counted inside a band, starts of a range and rows of bands that are looked at together.
+SHORT, RANGE, ROWS = 5, 256, 1 << 14
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MAP_BITS = 22
 
@@ -86,37 +90,32 @@ def edit_budget(m: int, q: int = Q, rate: float = RATE) -> int:
 
 
 class Index:
-    """The windows of some benchmark items and their q-grams."""
+    """Some benchmark items and their q-grams."""
 
     def __init__(self, items: Sequence[tuple], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE):
-        self.q, self.fold, self.ids = q, fold_table(), []
-        self.windows: list[np.ndarray] = []
-        self.owner: list[int] = []
-        hashes, at, where = [], [], []
+        self.q, self.stride, self.fold, self.ids = q, stride, fold_table(), []
+        texts: list[np.ndarray] = []
         for item, text in items:
             c, _ = normalize(code_points(text or ""), self.fold)
             c = c[:-1] if len(c) and c[-1] == 32 else c
             if len(c) < q:
                 continue
-            starts = sorted({*range(0, max(1, len(c) - window + 1), stride), max(0, len(c) - window)})
-            for s in starts:
-                w = c[s:s + window]
-                h = qgram_hashes(w, q)
-                hashes.append(h)
-                at.append(np.arange(len(h)))
-                where.append(np.full(len(h), len(self.windows)))
-                self.windows.append(w)
-                self.owner.append(len(self.ids))
+            texts.append(c)
             self.ids.append(item)
         none = np.empty(0, np.int64)
+        hashes = [qgram_hashes(c, q) for c in texts]
         h = np.concatenate([np.empty(0, np.uint64), *hashes])
         order = np.argsort(h, kind="stable")
-        self.at, self.window = np.concatenate([none, *at])[order], np.concatenate([none, *where])[order]
+        self.at = np.concatenate([none, *(np.arange(len(x)) for x in hashes)])[order]
+        self.item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _MAP_BITS, bool)
         self.seen[self._slot(self.keys)] = True
-        self.size = np.array([len(w) for w in self.windows], np.int64)
-        self.budget = np.array([edit_budget(len(w), q, rate) for w in self.windows], np.int64)
+        self.text = np.concatenate([np.empty(0, np.uint32), *texts])
+        self.length = np.array([len(c) for c in texts], np.int64)
+        self.base = np.cumsum(self.length) - self.length
+        self.size = np.minimum(self.length, window)
+        self.budget = np.array([edit_budget(int(m), q, rate) for m in self.size], np.int64)
         self.least = self.size - q + 1 - self.budget * q
 
     @staticmethod
@@ -125,7 +124,7 @@ class Index:
             return ((h * _MULT) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
 
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in ``c``, window, position in the window) of every shared q-gram."""
+        """(position in ``c``, item, position in the item) of every shared q-gram."""
         h = qgram_hashes(c, self.q)
         j = np.flatnonzero(self.seen[self._slot(h)]) if len(self.keys) else np.empty(0, np.int64)
         k = np.searchsorted(self.keys, h[j])
@@ -133,10 +132,11 @@ class Index:
         j, k = j[ok], k[ok]
         n = self.count[k]
         entry = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(j, n), self.window[entry], self.at[entry]
+        return np.repeat(j, n), self.item[entry], self.at[entry]
 
-    def regions(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first diagonal) of the bands that hold enough distinct q-grams of a window."""
+    def regions(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, first diagonal, first start, last start): the bands and ranges of windows that hold enough distinct
+        q-grams of each window of the range."""
         j, w, i = self.hits(c)
         k = self.budget[w]
         step = k + 1
@@ -147,82 +147,112 @@ class Index:
         inside = np.concatenate([np.ones(len(w), bool), diagonal % step < k])
         w2, i2, band = w2[inside], i2[inside], band[inside]
         if not len(w2):
-            return w2, band
+            return w2, band, i2, i2
         order = np.lexsort((i2, band, w2))
         w2, i2, band = w2[order], i2[order], band[order]
-        new = np.concatenate(([True], (w2[1:] != w2[:-1]) | (band[1:] != band[:-1])))
-        fresh = new | np.concatenate(([True], i2[1:] != i2[:-1]))  # a q-gram of the window counts once in a band
-        starts = np.flatnonzero(new)
-        good = starts[np.add.reduceat(fresh.astype(np.int64), starts) >= self.least[w2[starts]]]
-        return w2[good], band[good] * (self.budget[w2[good]] + 1)
-
-
-def align(windows: Sequence[np.ndarray], first: np.ndarray, budget: np.ndarray, c: np.ndarray, lo: np.ndarray,
-          hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(edits, start, end) of the best alignment of each window with its document ``c[lo:hi]`` inside its band of
-    diagonals.
-
-    The band reaches from ``first - budget`` to ``first + 3 * budget``: the 2k+1 counted diagonals and k more on
-    either side. The window is aligned whole; where it starts and ends in ``c`` is free within the band. All windows
-    go through the recurrence together, one row (window character) at a time.
+        same = (w2[1:] == w2[:-1]) & (band[1:] == band[:-1])
+        fresh = np.concatenate(([True], ~same | (i2[1:] != i2[:-1])))  # a q-gram of the item counts once in a band
+        w2, i2, band = w2[fresh], i2[fresh], band[fresh]
+        # a window has enough of them if it holds some hit and the one that is least - 1 places behind it
+        behind = np.arange(len(w2)) + self.least[w2] - 1
+        last = np.minimum(behind, len(w2) - 1)
+        reach = self.size[w2] - self.q
+        good = np.flatnonzero((behind < len(w2)) & (w2[last] == w2) & (band[last] == band) & (i2[last] - i2 <= reach))
+        if not len(good):
+            return good, good, good, good
+        w2, band, last, reach, i2 = w2[good], band[good], i2[last[good]], reach[good], i2[good]
+        low, high = np.maximum(last - reach, 0), np.minimum(i2, self.length[w2] - self.size[w2])
+        head = np.concatenate(([True], (w2[1:] != w2[:-1]) | (band[1:] != band[:-1]) | (low[1:] > high[:-1] + 1)))
+        heads = np.flatnonzero(head)
+        low, high = low[heads], high[np.append(heads[1:], len(w2)) - 1]
+        parts = (high - low) // RANGE + 1
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        heads, low, high = (np.repeat(x, parts) for x in (heads, low, high))
+        low = low + part * RANGE
+        return w2[heads], band[heads] * (self.budget[w2[heads]] + 1), low, np.minimum(high, low + RANGE - 1)
+
+
+def align(index: Index, c: np.ndarray, item: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray,
+          lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(range, edits, start, end) of the best alignment, with the document ``c[lo:hi]`` and inside the band of the 2k+1
+    diagonals from ``first``, of each window within its budget that starts from ``low`` to ``high`` in the item.
+
+    A window is aligned whole; where it starts and ends in ``c`` is free within the band. Of alignments with equally
+    few edits a short stretch of ``c`` is taken. The ranges' rows (item characters) are laid end to end, each range
+    closed by a row that matches nothing.
     """
-    n, rows = len(windows), max(map(len, windows))
-    width = int(4 * budget.max() + 1)
-    text = np.zeros((n, rows), np.uint32)
-    for r, w in enumerate(windows):
-        text[r, :len(w)] = w
-    size = np.array([len(w) for w in windows])
-    cols, pad, far = np.arange(width), np.append(c, 0), np.int64(1 << 20)
-    inside = cols <= 4 * budget[:, None]
-    lo, hi = lo[:, None], hi[:, None]
-    at = (first - budget)[:, None] + cols  # column d of row i is the cell of i window characters, up to c[at[d]]
-    cost, start = np.where(inside & (at >= lo) & (at <= hi), 0, far), at
-    final, began, ended = np.full(n, far), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i in range(rows):
-        here = (at >= lo) & (at < hi)
-        same = pad[np.clip(at, 0, len(c))] == text[:, i:i + 1]
-        # a match or substitution keeps the diagonal; leaving out the window's character moves one down
-        kept = np.where(here, cost + ~same, far)
-        gone = np.concatenate([cost[:, 1:] + 1, np.full((n, 1), far)], 1)
-        at = at + 1
-        ok = inside & (at >= lo) & (at <= hi)
-        new = np.where(ok, np.minimum(kept, gone), far)
-        came = np.where(kept <= gone, start, np.concatenate([start[:, 1:], start[:, -1:]], 1))
-        # an extra character of the document moves one up: a running minimum along the row
-        key = np.minimum.accumulate((new - cols) * width + cols, 1)
-        cost = np.where(ok, key // width + cols, far)
-        start = np.take_along_axis(came, key % width, 1)
-        done = np.flatnonzero(size == i + 1)
-        best = cost[done].argmin(1)
-        final[done], began[done], ended[done] = cost[done, best], start[done, best], at[done, best]
-    return final, began, ended
-
-
-def matches(c: np.ndarray, ends: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
+    k, m = index.budget[item], index.size[item]
+    rows = high - low + m + 1
+    top, n = np.cumsum(rows) - rows, int(rows.sum())
+    of, row, cols = np.repeat(np.arange(len(item)), rows), np.arange(n), np.arange(2 * int(k.max()) + 1)
+    i = row - top[of] + low[of]
+    char = index.text[np.minimum(index.base[item][of] + i, len(index.text) - 1)]
+    at = (first[of] + i)[:, None] + cols
+    miss = np.append(c, 0)[np.clip(at, 0, len(c))] != char[:, None]
+    miss |= (at < lo[of, None]) | (at >= hi[of, None]) | (cols > 2 * k[of, None]) | (i == (high + m)[of])[:, None]
+    stop = np.minimum.accumulate(np.where(miss, row[:, None], n)[::-1])[::-1]  # the next row that does not match
+    shared = np.concatenate(([0], np.cumsum((stop - row[:, None] >= SHORT).any(1))))
+    x = np.flatnonzero(i <= high[of])
+    r = of[x]
+    if index.stride > 1:
+        kept = (i[x] % index.stride == 0) | (i[x] == index.length[item[r]] - m[r])
+        x, r = x[kept], r[kept]
+    grams = np.maximum(m[r] - SHORT + 1, 0)
+    kept = shared[x + grams] - shared[x] >= grams - k[r] * SHORT
+    x, r = x[kept], r[kept]
+    begin = (first[of] + i)[x, None] + cols
+    # the furthest row reached on each diagonal, and the diagonal it was started from; later starts win
+    scale = len(cols)
+    key = np.where((begin >= lo[r, None]) & (begin <= hi[r, None]) & (cols <= 2 * k[r, None]), x[:, None] * scale + cols, -scale)
+    out = []
+    for edits in range(int(k.max()) + 1):
+        if edits:
+            # a substitution keeps the diagonal; leaving out the window's character moves one down, an extra character
+            # of the document one up, and both substitution and extra character need one that is there
+            f = key // scale
+            there = (f >= 0) & (begin + (f - x[:, None]) < hi[r, None])
+            gone = np.where(f >= 0, key + scale, -scale)[:, 1:]
+            extra = np.where(there, key, -scale)[:, :-1]
+            key = np.where(there, key + scale, key)
+            key[:, :-1] = np.maximum(key[:, :-1], gone)
+            key[:, 1:] = np.maximum(key[:, 1:], extra)
+            key = np.where(cols <= 2 * k[r, None], key, -scale)
+        f, cap = key // scale, (x + m[r])[:, None]
+        f = np.where(f >= 0, np.minimum(stop[np.maximum(f, 0), cols], cap), -1)
+        key = f * scale + key % scale
+        done = f == cap
+        got = np.flatnonzero(done.any(1))
+        if len(got):
+            gain = np.where(done[got], cols - key[got] % scale, 2 * scale)
+            best = gain.argmin(1)
+            started = key[got, best] % scale
+            out.append((r[got], np.full(len(got), edits), begin[got, started], begin[got, best] + m[r[got]]))
+        rest = np.flatnonzero(~done.any(1) & (k[r] > edits))
+        if not len(rest):
+            break
+        x, r, begin, key = x[rest], r[rest], begin[rest], key[rest]
+    none = np.empty(0, np.int64)
+    return tuple(map(np.concatenate, zip(*out))) if out else (none, none, none, none)
+
+
+def matches(c: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray, ...]:
     """(document, item, start, end, edits) of the windows found in the normalized documents ``c``, which end at
     ``ends``. A band may reach over a border between documents; it is then tried in each of them."""
-    window, first = index.regions(c)
-    low = np.searchsorted(ends, np.maximum(first, 0), "right")
-    high = np.searchsorted(ends, first + 2 * index.budget[window] + index.size[window], "right")
-    out, rest = [], []
-    for w, f, x, y in zip(window.tolist(), first.tolist(), low.tolist(), high.tolist()):
-        text, k = index.windows[w], int(index.budget[w])
-        for doc in range(x, min(y + 1, len(ends))):
-            lo, hi = int(ends[doc - 1]) if doc else 0, int(ends[doc])
-            a, b = max(lo, f), min(hi, f + 2 * k + len(text))
-            if b - a < len(text) - k:
-                continue
-            at = c[a:b].tobytes().find(text.tobytes())  # an exact copy is its own alignment
-            if at >= 0 and at % 4 == 0:
-                out.append((doc, index.owner[w], a + at // 4, a + at // 4 + len(text), 0))
-            else:
-                rest.append((doc, w, f, lo, hi))
-    for a in range(0, len(rest), 512):
-        doc, w, f, lo, hi = map(np.array, zip(*rest[a:a + 512]))
-        edits, s, t = align([index.windows[x] for x in w], f, index.budget[w], c, lo, hi)
-        good = np.flatnonzero((edits <= index.budget[w]) & (t > s))
-        out += [(int(doc[g]), index.owner[w[g]], int(s[g]), int(t[g]), int(edits[g])) for g in good]
-    return out
+    item, first, low, high = index.regions(c)
+    far = first + high + 2 * index.budget[item] + index.size[item]
+    doc = np.searchsorted(ends, np.maximum(first + low, 0), "right")
+    n = np.maximum(np.minimum(np.searchsorted(ends, far, "right") + 1, len(ends)) - doc, 0)
+    doc = np.repeat(doc, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    item, first, low, high, far = (np.repeat(x, n) for x in (item, first, low, high, far))
+    lo, hi = np.concatenate(([0], ends))[doc], ends[doc]
+    need = index.size[item] - index.budget[item]
+    kept = np.flatnonzero(np.minimum(hi, far) - np.maximum(lo, first + low) >= need)
+    part = np.cumsum((high - low + index.size[item] + 1)[kept]) // ROWS
+    out = [(np.empty(0, np.int64),) * 5]
+    for at in np.split(kept, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(kept) else ():
+        r, edits, s, t = align(index, c, item[at], first[at], low[at], high[at], lo[at], hi[at])
+        out.append((doc[at][r], item[at][r], s, t, edits))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def scan(texts: Sequence[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
@@ -232,13 +262,20 @@ def scan(texts: Sequence[str], index: Index) -> list[list[tuple[int, int, int, i
     for a, b in char_chunks(texts, CHUNK) if len(index.keys) else ():
         c, position = normalize(code_points("\n".join(texts[a:b])), index.fold)
         border = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
-        for doc, item, s, t, e in sorted(matches(c, np.searchsorted(position, border[1:]), index)):
-            s, t = int(position[s] - border[doc]), int(position[t - 1] + 1 - border[doc])
-            found = out[a + doc]
-            if found and found[-1][0] == item and s <= found[-1][2]:
-                found[-1] = (item, found[-1][1], max(t, found[-1][2]), max(e, found[-1][3]))
-            else:
-                found.append((item, s, min(t, len(texts[a + doc])), e))
+        doc, item, s, t, edits = matches(c, np.searchsorted(position, border[1:]), index)
+        if not len(doc):
+            continue
+        s, t = position[s], position[t - 1] + 1
+        order = np.lexsort((s, item, doc))
+        doc, item, s, t, edits = (x[order] for x in (doc, item, s, t, edits))
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        group = np.cumsum(new) * (border[-1] + 1)
+        reach = np.maximum.accumulate(t + group)  # the furthest end before, within the document and item
+        new[1:] |= s[1:] + group[1:] > reach[:-1]
+        heads = np.flatnonzero(new)
+        for d, w, x, y, e in zip(doc[heads].tolist(), item[heads].tolist(), (s - border[doc])[heads].tolist(),
+                                 np.maximum.reduceat(t - border[doc], heads).tolist(), np.maximum.reduceat(edits, heads).tolist()):
+            out[a + d].append((w, x, min(y, len(texts[a + d])), e))
     return out
 
 

@@ -110,3 +110,38 @@ def test_nothing_to_compare(spark):
     item = spark.createDataFrame([("x", "a" * 120), ("x", "a" * 120)], "item_id string, text string")
     assert sorted(str(r.doc_id) for r in D.contaminated(docs, item).collect()) == sorted(["1", "1", "None"] * 2)
     assert D.contaminated(docs.limit(0), item).collect() == []
+
+
+def test_every_start_is_a_window():
+    rnd = random.Random(8)
+    words = "th er tion an ing on ble re he st nd ou la de que".split()
+
+    def prose(n):
+        return " ".join("".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+
+    def least(item, text):
+        """Fewest edits of any 100-character window, all starts in step."""
+        starts = np.arange(len(item) - 99)
+        item, letters = np.array(list(item)), np.array(list(text))
+        row, cols = np.zeros((len(starts), len(letters) + 1), int), np.arange(len(letters) + 1)
+        for i in range(100):
+            new = np.full_like(row, i + 1)
+            new[:, 1:] = np.minimum(row[:, :-1] + (letters != item[starts + i][:, None]), row[:, 1:] + 1)
+            row = np.minimum.accumulate(new - cols, 1) + cols
+        return int(row.min())
+
+    item = _normal(prose(60))
+    index = D.Index([(3, item)])
+    for a in range(len(item) - 99):  # a verbatim stretch of a window's length, wherever it starts
+        text = "zz " * 20 + "[" + item[a:a + 100].strip() + "] " + "yy " * 20
+        (_, s, e, edits), = D.scan([text], index)[0]
+        assert 0 <= s <= 61 + D.edit_budget(100) and e - s >= 92 and edits <= 8
+    found = 0
+    for _ in range(120):
+        a, n = rnd.randrange(len(item) - 130), rnd.randint(95, 135)
+        text = _normal(prose(9) + " " + _edit(rnd, item[a:a + n], rnd.randint(0, 14)) + " " + prose(9))
+        want = least(item, text) <= D.edit_budget(100)
+        found += want
+        assert bool(D.scan([text], index)[0]) == want
+        assert [bool(x) for x in D.scan(["q", text[:40], text, item[:90]], index)] == [False, False, want, False]
+    assert 30 < found < 110
