@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import char_chunks, code_points, crc_mod, map_batches, thin
+from newslens.llm.common import char_chunks, code_points, crc_mod, map_batches
 from newslens.llm.subword import SubwordSoftmax, batches, fold_table, softmax, take, temperature
 from newslens.sources.tables import table
 
@@ -67,18 +67,21 @@ class LanguageModel:
         return names[best].tolist(), score, (score >= self.accept) & (best < len(self.languages))
 
 
-#: Rows that the languages' samples are taken from, per row of a language's sample: a language with less than one in so
-#: many rows is learned from fewer.
-POOL = 500
+#: Keys that a language's pick is made from, per key picked: what one task ranks does not grow with the language.
+SPARE = 4
 
 
 def snippets(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: tuple[int, int] = (4, 2),
              rows: int = MAX_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """(texts, languages) to learn from: per language at most ``rows`` documents, picked by a hash of the key, none of
-    whose keys' crc32 modulo ``fold[0]`` is ``fold[1]``; of each its start, a short and a longer one, and its end."""
+    """(texts, languages) to learn from: per language at most ``rows`` documents, those with the smallest hashes of the
+    key, none of whose keys' crc32 modulo ``fold[0]`` is ``fold[1]``; of each its start, a short and a longer one, and
+    its end. A language's own count bounds the hashes that are ranked, so one with few documents keeps them all."""
     mine = docs.where(F.col(lang).isNotNull() & (crc_mod(key, fold[0]) != fold[1]))
+    share = mine.groupBy(F.col(lang).alias("_l")).agg((SPARE * rows / F.approx_count_distinct(key)).alias("_s"))
+    small = (F.col("_s") >= 1) | (F.xxhash64(key).cast("double") < (2 * F.col("_s") - 1) * float(1 << 63))
     first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)  # cut to ``rows`` a language before the shuffle
-    ids = thin(mine.select(key, lang), key, POOL * rows).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
+    ids = mine.select(key, lang).join(F.broadcast(share), F.col(lang) == F.col("_l")).where(small).select(key, lang) \
+        .distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
     start, end = F.substring(F.col(text), 1, SNIPPET_CHARS), F.substring(F.col(text), -SNIPPET_CHARS, SNIPPET_CHARS)
     cuts = [F.substring(start, 1, SNIPPET_CHARS // 4), start, F.when(F.length(text) > SNIPPET_CHARS, end).otherwise(start)]
     got = mine.where(F.col(text).isNotNull()).join(F.broadcast(ids.select(key, lang)), [key, lang]) \

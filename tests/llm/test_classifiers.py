@@ -143,3 +143,15 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert len(X.labelled_sample(docs, labels, "quality", rows=7)[0]) == 7
     kept = Q.keep_good(docs, Q.QualityModel().fit([], np.empty(0)))
     assert kept.columns == docs.columns and kept.count() == 61
+
+
+def test_rare_languages_are_learned_beside_a_large_one(spark):
+    """Every language's pick is that from all rows, however many rows another language has."""
+    def rows(lang, a, b):
+        return spark.range(a, b).selectExpr("id doc_id", f"'{lang}' lang", f"concat('{lang} ', id) text")
+
+    docs = rows("aa", 0, 30000).union(rows("bb", 50000, 50012)).union(rows("cc", 60000, 60003)).union(rows("cc", 60000, 60003))
+    texts, langs = L.snippets(docs, rows=2, fold=(4, 9))
+    ranked = docs.selectExpr("lang", "text", "xxhash64(doc_id) h").distinct().orderBy("h").collect()
+    want = {x: sorted([r.text for r in ranked if r.lang == x][:2]) for x in ("aa", "bb", "cc")}
+    assert {x: sorted(t for t, n in zip(texts, langs) if n == x) for x in set(langs)} == want
