@@ -25,7 +25,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
-#: A candidate for the network: a maximal run of key characters of this length or more that holds a digit.
+#: A candidate for the network: a stretch of key characters of this length or more that holds a digit.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 BEFORE, BEHIND = 24, 8
 #: Labelled findings that are generated, the share held out for calibration, and the recall to keep on it.
@@ -48,11 +48,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of the key-like strings that hold a digit and overlap no base span."""
+    """Spans of the key-like strings that hold a digit: the maximal runs of key characters that have a letter or digit
+    outside the base spans, each followed by its stretches between base spans that are long enough themselves."""
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(c in string.digits for c in m[0]) and all(e <= m.start() or s >= m.end() for s, e, _ in taken):
+        if not any(c in string.digits for c in m[0]):
+            continue
+        cuts, at = [], m.start()
+        for s, e, _ in taken:
+            if e > at and s < m.end():
+                cuts.append((at, s))
+                at = e
+        cuts.append((at, m.end()))
+        if len(cuts) == 1:
             out.append((m.start(), m.end()))
+        elif any(c.isalnum() for s, e in cuts for c in text[s:e]):
+            out.append((m.start(), m.end()))
+            out += [(s, e) for s, e in cuts if CANDIDATE.fullmatch(text, s, e) and any(c in string.digits for c in text[s:e])]
     return out
 
 
@@ -116,7 +128,7 @@ def trained() -> CharCNN:
 
 def scan(texts: list[str], net: CharCNN) -> list[list[tuple[int, int, int]]]:
     """All (start, end, kind) spans of each text, by start and kind: the base spans, and the candidates to which
-    the network gives at least its threshold."""
+    the network gives at least its threshold. A stretch of a run that is found whole is not listed again."""
     found = [base_spans(t) for t in texts]
     asked = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, found[i])]
     for a in range(0, len(asked), 256):
@@ -124,7 +136,7 @@ def scan(texts: list[str], net: CharCNN) -> list[list[tuple[int, int, int]]]:
         p = net.probability([Example(texts[i][max(0, s - BEFORE):s], texts[i][s:e], texts[i][e:e + BEHIND])
                              for i, s, e in part])
         for (i, s, e), v in zip(part, p):
-            if v >= net.threshold:
+            if v >= net.threshold and not (found[i] and found[i][-1][2] == 3 and e <= found[i][-1][1]):
                 found[i].append((s, e, 3))
     return [sorted(f, key=lambda x: (x[0], x[2])) for f in found]
 

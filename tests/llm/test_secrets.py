@@ -88,3 +88,36 @@ def test_redaction(spark):
                                "doc_id long, text string, n long")
     assert [tuple(r) for r in S.redact_secrets(df).orderBy("doc_id").collect()] == \
         [(1, f"a {S.MASK} b", 5), (2, None, 6), (3, "clean", 7)]
+
+
+def test_keys_joined_to_base_spans():
+    net, rnd = S.trained(), np.random.default_rng(4)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(chars, n):
+        return "".join(chars[i] for i in rnd.integers(0, len(chars), n))
+
+    hidden = total = 0
+    for _ in range(60):
+        access, digest, key = "AKIA" + some("ABCDEFGHIJ0123456789", 16), some("0123456789abcdef", 32), some(alnum, 40)
+        for base in (access, digest):
+            for sign in "/=.-_":
+                for secret in (key, "ghp_" + key[:36], "sk-" + key):
+                    for run in (base + sign + secret, secret + sign + base):
+                        text = f"Use {run} for it"
+                        total += 1
+                        hidden += secret in S.redact(text, S.scan([text], net)[0])
+                        assert any(k < 3 for _, _, k in S.scan([text], net)[0])
+        text = f"Bearer {key[:10]}{some('0123456789abcdef', 26)}{key[10:20]} and"  # a part of the key looks like a digest
+        left = S.redact(text, S.scan([text], net)[0])
+        total += 1
+        hidden += key[:10].rstrip("0123456789abcdef") in left and len(key[:10].rstrip("0123456789abcdef")) > 3
+    assert hidden < 0.05 * total
+
+
+def test_candidates_around_base_spans():
+    text = "deadbeef" * 4 + "." + " token=abcdefgh1234567890 " + "AKIA" + "B2" * 8 + "/aB3" + "xY9/" * 5
+    runs = S.candidates(text, S.base_spans(text))
+    assert [text[s:e] for s, e in runs] == ["AKIA" + "B2" * 8 + "/aB3" + "xY9/" * 5, "/aB3" + "xY9/" * 5]
+    whole = "x1" * 4 + "deadbeef" * 4 + "yZ" * 4
+    assert [whole[s:e] for s, e in S.candidates(whole, S.base_spans(whole))] == [whole]
