@@ -21,7 +21,7 @@ from newslens.llm.prefixhash import PrefixHashes
 from newslens.sources.tables import table
 
 #: (span width, shortest text, longest text): neighbouring scales overlap, so that texts whose lengths differ by less than
-#: a half always have one in common.
+#: a half always have one in common. Other pairs are compared at the widest scale of the shorter text.
 SCALES = ((2, 0, 32), (5, 16, 256), (16, 128, None))
 #: Smallest span hashes that are kept at a scale.
 KEEP = 64
@@ -44,6 +44,20 @@ def _smallest(h: np.ndarray) -> np.ndarray:
     return np.unique(s)[:KEEP]
 
 
+class Sketches(dict):
+    """Span width -> smallest hashes, at the scales that fit a text; at narrower ones they are made when asked for."""
+
+    def __init__(self, windows: dict[int, np.ndarray], start: int, size: int):
+        super().__init__()
+        self._windows, self._start, self._size = windows, start, size
+        for w, lo, hi in SCALES:
+            if size >= max(w, lo) and (hi is None or size <= hi):
+                self[w] = self[w]
+
+    def __missing__(self, w: int) -> np.ndarray:
+        return _smallest(self._windows[w][self._start:self._start + self._size - w + 1])
+
+
 class Fingerprints:
     """Fingerprints of several texts, with the prefix hashes they are made of."""
 
@@ -51,22 +65,20 @@ class Fingerprints:
         self.hashes = PrefixHashes(texts)
         whole, starts, sizes = self.hashes.whole().tolist(), self.hashes.start.tolist(), self.hashes.size.tolist()
         windows = {w: self.hashes.windows(w) for w, *_ in SCALES}
-        self.sketches = [{w: _smallest(windows[w][a:a + n - w + 1]) for w, lo, hi in SCALES
-                          if n >= max(w, lo) and (hi is None or n <= hi)} for a, n in zip(starts, sizes)]
+        self.sketches = [Sketches(windows, a, n) for a, n in zip(starts, sizes)]
         self.text = [f"{n:x}-{h:016x}" + "".join(f"-{w:x}:{s.astype('>u4').tobytes().hex()}" for w, s in k.items())
                      for n, h, k in zip(sizes, whole, self.sketches)]
 
 
-def likeness(a: str, b: str, x: dict[int, np.ndarray], y: dict[int, np.ndarray]) -> float:
-    """0 to 1 for two fingerprints with their sketches: 1 if they are equal; else, at the widest common scale, the
-    share of both texts' spans that is common (twice the common ones over the sum), estimated from the KEEP smallest
-    hashes of the two together; 0 without a common scale."""
+def likeness(a: str, b: str, x: Sketches, y: Sketches) -> float:
+    """0 to 1 for two fingerprints with their sketches: 1 if they are equal; else, at the widest common scale (without
+    one, the widest of the shorter text), the share of both texts' spans that is common (twice the common ones over the
+    sum), estimated from the KEEP smallest hashes of the two together; 0 if a text is too short for any span."""
     if a == b:
         return 1.0
-    scales = x.keys() & y.keys()
-    if not scales:
+    if not x or not y:
         return 0.0
-    w = max(scales)
+    w = max(x.keys() & y.keys(), default=min(max(x), max(y)))
     p, q = set(x[w].tolist()), set(y[w].tolist())
     union = sorted(p | q)[:KEEP]
     j = sum(h in p and h in q for h in union) / len(union)

@@ -88,3 +88,23 @@ def test_small_and_odd_tables(spark):
     words = spark.createDataFrame([("b", "second"), ("a", "first!!!")], "name string, body string")
     got = P.fingerprint_documents(words, "name", "body").orderBy("name").collect()
     assert got[0].edited_sha256 == hashlib.sha256(b"first!se").hexdigest()
+
+
+def test_neighbours_of_very_different_lengths_are_compared(spark):
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789éß ") for _ in range(4000))
+    other = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(400))
+    rows = [(1, text[60:187]), (2, text[:260]), (3, text[100:115]), (4, text[95:130]), (5, other), (6, text[:20]), (7, "x"), (8, text[:300])]
+    got = {r.doc_id: r for r in P.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def share(a, b, w):
+        p, q = ([t[i:i + w] for i in range(len(t) - w + 1)] for t in (a, b))
+        return 2 * sum(min(p.count(x), q.count(x)) for x in {*p}) / (len(p) + len(q))
+
+    by = dict(rows)
+    assert got[1].near_next == pytest.approx(share(by[1], by[2], 5), abs=0.2) and got[1].near_next > 0.4
+    assert got[3].near_next == pytest.approx(share(by[3], by[4], 2), abs=0.2) and got[3].near_next > 0.3
+    assert got[2].near_next > 0 and got[4].near_next == got[5].near_next == 0
+    assert got[6].near_next == got[7].near_next == 0  # a single character has no span
+    f = P.Fingerprints([t for _, t in rows])
+    assert [got[d].fingerprint for d, _ in rows] == f.text
