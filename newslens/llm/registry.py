@@ -15,12 +15,14 @@ from newslens.llm.packing import op6_best_fit_packing
 from newslens.llm.quality import op5_quality
 from newslens.llm.secrets import op9_secret_scan
 from newslens.llm.simhash import op1_simhash
+from newslens.llm.topk import OP12_SQL, op12_topk
 from newslens.llm.toxicity import op7_toxicity
 from newslens.llm.url_filter import op4_url_filter
 
 
 _QUERIES = (op1_simhash, op2_language_id, op3_fingerprints, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
-            op8_chat_format, op9_secret_scan, op10_decontamination)
+            op8_chat_format, op9_secret_scan, op10_decontamination, op12_topk)
+_SQL = {"op12_topk": OP12_SQL}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +30,4 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
