@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from newslens.llm.chat import op8_chat_format
+from newslens.llm.collocations import OP13_SQL, op13_collocations
 from newslens.llm.decontam import op10_decontamination
 from newslens.llm.fingerprint import op3_fingerprints
 from newslens.llm.language import op2_language_id
@@ -21,8 +22,8 @@ from newslens.llm.url_filter import op4_url_filter
 
 
 _QUERIES = (op1_simhash, op2_language_id, op3_fingerprints, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
-            op8_chat_format, op9_secret_scan, op10_decontamination, op12_topk)
-_SQL = {"op12_topk": OP12_SQL}
+            op8_chat_format, op9_secret_scan, op10_decontamination, op12_topk, op13_collocations)
+_SQL = {"op12_topk": OP12_SQL, "op13_collocations": OP13_SQL}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
