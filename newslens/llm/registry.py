@@ -19,11 +19,12 @@ from newslens.llm.simhash import op1_simhash
 from newslens.llm.topk import OP12_SQL, op12_topk
 from newslens.llm.toxicity import op7_toxicity
 from newslens.llm.url_filter import op4_url_filter
+from newslens.llm.variants import OP11_SQL, op11_variants
 
 
 _QUERIES = (op1_simhash, op2_language_id, op3_fingerprints, op4_url_filter, op5_quality, op6_best_fit_packing, op7_toxicity,
-            op8_chat_format, op9_secret_scan, op10_decontamination, op12_topk, op13_collocations)
-_SQL = {"op12_topk": OP12_SQL, "op13_collocations": OP13_SQL}
+            op8_chat_format, op9_secret_scan, op10_decontamination, op11_variants, op12_topk, op13_collocations)
+_SQL = {"op11_variants": OP11_SQL, "op12_topk": OP12_SQL, "op13_collocations": OP13_SQL}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint",
                         "base_sha256": "string", "spans": "string"},
     "op10_decontamination": {"doc_id": "bigint", "item_id": "bigint", "start": "bigint", "end": "bigint"},
+    "op11_variants": {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"},
     "op12_topk": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
     "op13_collocations": {c: "bigint" for c in ("rank", "a", "l", "r", "n", "score")} | {"lang": "string", "phrase": "string"},
     "pipeline": {"doc_id": "bigint", "piece": "int", "sequence_id": "bigint", "offset": "bigint"},
