@@ -64,8 +64,11 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        self._tok.encode_special_tokens = True  # it meets lower-cased words; special tokens are split off before
         self._model, self._letters = self._tok.model, _byte_letters()
+        special = {t.content: i for i, t in self._tok.get_added_tokens_decoder().items()}
+        self._special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self._split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def _ids(self, word: str) -> bytes:
         low = None if MARKS.search(word) else word.lower()
@@ -88,6 +91,12 @@ class WordTokenizer(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        """The ids of ``text``; a special token's string in it is that token."""
+        if self._split is None or not self._split.search(text):
+            return self._plain(text)
+        return b"".join(self._special[t] if n % 2 else self._plain(t) for n, t in enumerate(self._split.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         # Lower-casing first merges words in the memory; it is left to the tokenizer where combining marks could make
         # the order of the two steps matter.
         text = text if MARKS.search(text) else text.lower()
