@@ -1,13 +1,15 @@
 """Phrase collocations per language by Toivonen's mining of frequent phrases.
 
-A sample of the documents proposes phrases, level by level and at a lowered support. One full pass then counts, exactly,
-every phrase whose two parts without the last and without the first word are proposed: that is the proposals together with
-their negative border. If a phrase that was not proposed turns out frequent, its extensions may be frequent too, so the
-missed phrases join the proposals and a further pass counts what this adds, until nothing is missed. Every pass makes the
-phrases of one more length exact, so there are at most four.
-
-The proposals reach the tasks as one bitmap of hashed phrases of a fixed size. A phrase that is in it by chance is counted
-as well, which costs time and changes no result; counts are kept by the phrases themselves.
+A sample of the documents proposes phrases, level by level and at a lowered support. One full pass then counts every phrase
+whose two parts without the last and without the first word are proposed: that is the proposals together with their
+negative border. If a phrase that was not proposed turns out frequent, its extensions may be frequent too, so the missed
+phrases join the proposals and a further pass counts what this adds, until nothing is missed. Every pass settles the
+phrases of one more length, so there are at most four.
+
+These passes count phrases by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
+frequent. A last pass counts what looks frequent by the phrases themselves, which makes all counts exact. Sets of
+phrases reach the tasks as one bitmap of hashes of a fixed size; a phrase that is in it by chance is counted as well, which
+costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ SUPPORT, LONGEST, COVER_PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 SAMPLE_PART = 4
 #: Bits of the bitmap of proposals (16 MB); a power of two from 2^15.
 FILTER_BITS = 1 << 27
-#: Bytes of text that a task counts at once; longer texts are counted in slices.
-CHUNK = 8 << 20
+#: Bytes of text that a task counts at once (longer texts are counted in slices), and words whose hashes it remembers.
+CHUNK, CACHE_WORDS = 4 << 20, 400_000
 #: Candidates of a language are first ranked in so many parts.
 RANK_PARTS = 64
 
 _UPPER = bytes(range(65, 91))
 _PLAIN = bytes.maketrans(_UPPER + b",;:!?\n\v\f\r\t", _UPPER.lower() + b"." * 9 + b" ")
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = b"."  # cannot be a word: it separates pieces
 
 
@@ -61,21 +64,30 @@ def slices(plain: bytes, limit: int) -> Iterator[tuple[int, list[bytes]]]:
         before, a = (before + own)[1 - LONGEST:], b
 
 
+class Words(dict):
+    """The hash of every word met: 0 for a break, never for a word. Forgets all when it has ``CACHE_WORDS``."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = 0 if word == _BREAK else xxhash.xxh64_intdigest(word) or 1
+        return h
+
+
 class Bitmap:
-    """Set of hashed phrases of a language, with false positives."""
+    """Set of phrase hashes, with false positives."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def holds(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        seed, digest = xxhash.xxh64_intdigest(lang, 42), xxhash.xxh64_intdigest
-        at = np.fromiter((digest(p, seed) for p in phrases), np.uint64, len(phrases)) & np.uint64(8 * len(self.bits) - 1)
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def bitmap(phrases: DataFrame, size: int) -> Bitmap:
-    """The bitmap of the rows (lang, phrase), built by the executors in blocks of 2^15 bits."""
-    at = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(size - 1))
+    """The bitmap of the rows (h), built by the executors in blocks of 2^15 bits."""
+    at = F.col("h").bitwiseAND(F.lit(size - 1))
     blocks = phrases.select(at.alias("p")).groupBy(F.shiftright("p", 15).alias("block")) \
         .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
     bits = np.zeros((max(1, size >> 15), 1 << 12), np.uint8)
@@ -84,70 +96,77 @@ def bitmap(phrases: DataFrame, size: int) -> Bitmap:
     return Bitmap(bits.reshape(-1))
 
 
-def count_chunk(lang: bytes, tokens: list[bytes], context: int, lengths: range, new: Bitmap | None,
-                old: Bitmap | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(length, phrases, counts) of the phrases of the given lengths that end after the first ``context`` tokens, whose
-    two parts one word shorter are both in ``new``, and not both in ``old``. Single words are in no need of parts."""
-    names = [_BREAK, *(set(tokens) - {_BREAK})]
-    number = {w: i for i, w in enumerate(names)}
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    at, phrases = ids, names  # number of the phrase that starts at a token (0: none), and the phrases by number
-    for k in range(1, lengths.stop):
+def phrase_hashes(lang: bytes, words_: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, hashes, there) for the phrases of 1 to ``longest`` words that start at every token: the hash of language and
+    words, whose two lowest bits are k - 1, and whether no break is among the words."""
+    h = np.full(len(words_), xxhash.xxh64_intdigest(lang, 42), np.uint64)
+    there = np.ones(len(words_), bool)
+    for k in range(1, longest + 1):
         if k > 1:
-            known = new.holds(lang, phrases)
-            known[0] = False
-            go = known[at[:-1]] & known[at[1:]]
-            there = np.flatnonzero(go)
-            fresh = np.ones(len(there), bool)
-            if old is not None:
-                past = old.holds(lang, phrases)
-                fresh = ~(past[at[there]] & past[at[there + 1]])
-            pair, uniq = pd.factorize(at[there] * len(names) + ids[there + k - 1])
-            longer = [_BREAK, *(phrases[u] + b" " + names[v] for u, v in
-                                zip((uniq // len(names)).tolist(), (uniq % len(names)).tolist()))]
-            at = np.zeros(len(go), np.int64)
-            at[there], phrases = pair + 1, longer
-            counted = (pair + 1)[fresh & (there + k > context)]
-        else:
-            counted = at[context:] if old is None else at[:0]
+            h, there = h[:-1], there[:-1]
+        last = words_[k - 1:]
+        with np.errstate(over="ignore"):
+            h = (h ^ (h >> np.uint64(31))) * _MULT + last
+        there = there & (last != 0)
+        yield k, ((h ^ (h >> np.uint64(32))) & ~np.uint64(3)) | np.uint64(k - 1), there
+
+
+def count_hashes(lang: bytes, words_: np.ndarray, context: int, lengths: range, new: Bitmap | None,
+                 old: Bitmap | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of the phrases of the given lengths that end after the first ``context`` tokens, whose two parts
+    one word shorter are both in ``new``, and not both in ``old``. Single words need no parts."""
+    known = past = None
+    for k, h, there in phrase_hashes(lang, words_, lengths.stop - 1):
+        go = there if known is None else known[:-1] & known[1:]
+        done = (np.full(len(go), old is not None) if k == 1 else past[:-1] & past[1:]) if old is not None else None
         if k in lengths:
-            n = np.bincount(counted, minlength=len(phrases))
-            n[0] = 0
-            some = np.flatnonzero(n)
-            yield k, [phrases[i] for i in some.tolist()], n[some]
-        if not at.any():
-            break
-
-
-def count_phrases(docs: DataFrame, lengths: range, new: Bitmap | None = None, old: Bitmap | None = None,
-                  chunk: int = CHUNK) -> DataFrame:
-    """(lang, phrase, k, f): exact numbers of occurrences in the rows (lang, text) of what ``count_chunk`` counts. With
-    single words, the empty phrase has the number of all words of the language."""
-    shared = docs.sparkSession.sparkContext.broadcast((new, old))
-
-    def rows(lang: bytes, context: int, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for k, phrases, n in count_chunk(lang, tokens, context, lengths, *shared.value):
-            if k == 1 and len(n):
-                phrases, n = [*phrases, b""], np.append(n, n.sum())
-            if len(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
-                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), k, np.int32)),
-                     pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "f"])
-
+            counted = go if done is None else go & ~done
+            counted = counted & (np.arange(len(go)) + k > context) if context else counted
+            yield np.unique(h[counted], return_counts=True)
+        if k + 1 < lengths.stop:
+            known = go & new.holds(h)
+            past = done & there & old.holds(h) if old is not None else None
+
+
+def count_exactly(lang: bytes, tokens: list[bytes], words_: np.ndarray, context: int, longest: int,
+                  wanted: Bitmap) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(k, phrases, counts) of the phrases whose hash is wanted, as are those of their parts from the start; told apart
+    by their words."""
+    names = list(set(tokens))
+    number = {w: i + 1 for i, w in enumerate(names)}
+    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    at, phrases = np.zeros(len(ids), np.int64), [b""]  # number of the phrase that starts at a token (0: none)
+    for k, h, there in phrase_hashes(lang, words_, longest):
+        at = at[:len(h)]
+        some = np.flatnonzero(there & wanted.holds(h) & ((at > 0) | (k == 1)))
+        pair, uniq = pd.factorize(at[some] * (len(names) + 1) + ids[some + k - 1])
+        first, last = uniq // (len(names) + 1), uniq % (len(names) + 1) - 1
+        phrases = [b"", *(names[v] if k == 1 else phrases[u] + b" " + names[v] for u, v in zip(first.tolist(), last.tolist()))]
+        at = np.zeros(len(h), np.int64)
+        at[some] = pair + 1
+        n = np.bincount(pair[some + k > context], minlength=len(phrases) - 1)
+        there_ = np.flatnonzero(n)
+        yield k, [phrases[i + 1] for i in there_.tolist()], n[there_]
+
+
+def _map_texts(docs: DataFrame, fn, schema: str, chunk: int) -> DataFrame:
+    """``fn(lang, context, tokens, words)`` on chunks of the texts of rows (lang, text); a chunk is of one language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size, cache = {}, 0, Words()
+
+        def hashed(lang, context, tokens):
+            return fn(lang, context, tokens, np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)))
 
         def flush():
             for lang, texts in held.items():
-                yield from rows(lang, 0, words(_BREAK.join(texts)))
+                yield from hashed(lang, 0, words(_BREAK.join(texts)))
 
         for b in batches:
             for lang, text in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 plain = text.translate(_PLAIN)
                 if len(plain) > chunk:
                     for context, tokens in slices(plain, chunk):
-                        yield from rows(lang, context, tokens)
+                        yield from hashed(lang, context, tokens)
                     continue
                 held.setdefault(lang, []).append(plain)
                 size += len(plain)
@@ -156,8 +175,38 @@ def count_phrases(docs: DataFrame, lengths: range, new: Bitmap | None = None, ol
                     held, size = {}, 0
         yield from flush()
 
-    parts = bound_batches(docs).mapInArrow(run, "lang string, phrase string, k int, f long")
-    return parts.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    return bound_batches(docs).mapInArrow(run, schema)
+
+
+def hash_counts(docs: DataFrame, lengths: range, new: Bitmap | None = None, old: Bitmap | None = None,
+                chunk: int = CHUNK) -> DataFrame:
+    """(h, f): ``count_hashes`` over the rows (lang, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast((new, old))
+
+    def fn(lang, context, tokens, words_):
+        for h, n in count_hashes(lang, words_, context, lengths, *shared.value):
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
+
+    return _map_texts(docs, fn, "h long, f long", chunk).groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def phrase_counts(docs: DataFrame, wanted: Bitmap, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, k, f): ``count_exactly`` over the rows (lang, text), and for every language the empty phrase (k = 0)
+    with the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def fn(lang, context, tokens, words_):
+        total = int(np.count_nonzero(words_[context:]))
+        for k, phrases, n in [(0, [b""], np.array([total])), *count_exactly(lang, tokens, words_, context, longest, shared.value)]:
+            if n.sum():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
+                     pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), k, np.int32)),
+                     pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "f"])
+
+    return _map_texts(docs, fn, "lang string, phrase string, k int, f long", chunk) \
+        .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def lowered(support: int, part: int) -> int:
@@ -170,34 +219,37 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def propose(sample: DataFrame, least: int, longest: int = LONGEST, size: int = FILTER_BITS) -> DataFrame:
-    """(lang, phrase): phrases of up to ``longest - 1`` words with ``least`` occurrences in the sample, level by level."""
+def propose(sample: DataFrame, least: int, longest: int = LONGEST, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
+    """(h): hashes of phrases of up to ``longest - 1`` words with ``least`` occurrences in the sample, level by level."""
     found = None
     for k in range(1, longest):
         seen = bitmap(found, size) if found is not None else None
-        level = count_phrases(sample, range(k, k + 1), seen).where((F.col("f") >= least) & (F.col("phrase") != ""))
-        level = cut_lineage(level.select("lang", "phrase"))
+        level = cut_lineage(hash_counts(sample, range(k, k + 1), seen, None, chunk).where(F.col("f") >= least).select("h"))
         found = level if found is None else found.unionByName(level)
     return found
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, key: str = "doc_id", lang: str = "lang",
-                     text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS) -> DataFrame:
-    """(lang, phrase, k, f): all phrases of 1 to ``longest`` words with at least ``support`` occurrences, and for every
-    language the empty phrase (k = 1) with the number of all words. See ``collocations`` for the words."""
+                     text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, k, f): all phrases of 1 to ``longest`` words (4 at most) with at least ``support`` occurrences, and
+    for every language the empty phrase (k = 0) with the number of all words. See ``collocations`` for the words."""
+    if not 2 <= longest <= 4:
+        raise ValueError("phrases have 2 to 4 words at most")
     sample = docs.where(F.pmod(F.xxhash64(key, F.lit(13)), F.lit(part)) == 0)
-    proposed = propose(_texts(sample, lang, text), lowered(support, part), longest, size)
+    proposed = propose(_texts(sample, lang, text), lowered(support, part), longest, size, chunk)
+    docs = _texts(docs, lang, text)
     old, new, found = None, bitmap(proposed, size), None
     while True:
-        counts = count_phrases(_texts(docs, lang, text), range(1, longest + 1), new, old)
-        counts = cut_lineage(counts.where((F.col("f") >= support) | (F.col("phrase") == "")))
+        counts = cut_lineage(hash_counts(docs, range(1, longest + 1), new, old, chunk).where(F.col("f") >= support).select("h"))
         found = counts if found is None else found.unionByName(counts)
-        missed = found.where((F.col("k") < longest) & (F.col("phrase") != "")).select("lang", "phrase")
-        missed = cut_lineage(missed.join(proposed, ["lang", "phrase"], "left_anti"))
+        missed = found.where(F.col("h").bitwiseAND(F.lit(3)) < longest - 1)  # the longest have no extensions
+        missed = cut_lineage(missed.join(proposed, "h", "left_anti"))
         if missed.isEmpty():
-            return found
+            break
         proposed = proposed.unionByName(missed)
         old, new = new, bitmap(proposed, size)
+    exact = phrase_counts(docs, bitmap(found, size), longest, chunk)
+    return exact.where((F.col("f") >= support) | (F.col("k") == 0))
 
 
 def _exact(c: str | Column) -> Column:
@@ -211,7 +263,7 @@ def _part(start: Column, n: Column) -> Column:
 def score_phrases(frequent: DataFrame, scale: int = SCALE, cover: int = COVER_PERCENT) -> DataFrame:
     """(lang, phrase, a, l, r, score): every phrase of two words or more with its lowest-scoring cut, but for those that
     lie inside a longer one with at least ``cover`` percent of their occurrences."""
-    held = frequent.where(F.col("phrase") != "")
+    held = frequent.where(F.col("k") > 0)
     phrases = held.where(F.col("k") > 1).withColumnRenamed("f", "a").withColumn("w", F.split("phrase", " "))
     cuts = phrases.select("lang", "phrase", "a", "k", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")) \
         .select("lang", "phrase", "a", "cut", _part(F.lit(1), F.col("cut")).alias("first"),
@@ -233,7 +285,7 @@ def score_phrases(frequent: DataFrame, scale: int = SCALE, cover: int = COVER_PE
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, key: str = "doc_id", lang: str = "lang",
-                 text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS) -> DataFrame:
+                 text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 to 4 words of every language.
 
     A-Z are lower-cased, texts split at ``. , ; : ! ?`` and line ends (code points 10 to 13) into pieces, pieces at blanks
@@ -242,14 +294,14 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, key: s
     Ranked by score, then ``a``, then phrase. A NULL text is empty; a NULL language is ``und``; a row without a key is
     sampled like any other; repeated rows count each time; no rows: no rows. Further columns are not read.
     """
-    frequent = cut_lineage(frequent_phrases(docs, support, LONGEST, key, lang, text, part, size))
+    frequent = cut_lineage(frequent_phrases(docs, support, LONGEST, key, lang, text, part, size, chunk))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     some = score_phrases(frequent).withColumn("s", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "s").orderBy(*order))) \
         .where(F.col("rank") <= top).drop("rank")
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")) \
         .where(F.col("rank") <= top)
-    totals = frequent.where(F.col("phrase") == "").select("lang", F.col("f").alias("n"))
+    totals = frequent.where(F.col("k") == 0).select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from newslens.llm import collocations as C
@@ -66,15 +67,14 @@ def _frame(spark, docs):
 
 
 @pytest.mark.parametrize("part,support,chunk,bits", [(4, 6, 8 << 20, 1 << 20), (2, 30, 300, 1 << 15), (10**6, 9, 64, 1 << 22)])
-def test_against_plain_counts(spark, monkeypatch, part, support, chunk, bits):
+def test_against_plain_counts(spark, part, support, chunk, bits):
     """Also with slices inside texts, with a bitmap so small that it holds much by chance, and with a sample that
     proposes nothing, so that everything comes by expansion passes."""
     docs = _docs(part)
-    monkeypatch.setattr(C.count_phrases, "__defaults__", (None, None, chunk))
     df = _frame(spark, docs)
-    got = sorted(tuple(r) for r in C.collocations(df, support, 40, part=part, size=bits).collect())
+    got = sorted(tuple(r) for r in C.collocations(df, support, 40, part=part, size=bits, chunk=chunk).collect())
     assert got == _brute(docs, support, 40) and got
-    frequent = {(r.lang, r.phrase): r.f for r in C.frequent_phrases(df, support, part=part, size=bits).collect()}
+    frequent = {(r.lang, r.phrase): r.f for r in C.frequent_phrases(df, support, part=part, size=bits, chunk=chunk).collect()}
     f, n = _counts(docs)
     want = {(g, p): a for g, c in f.items() for p, a in c.items() if a >= support} | {(g, ""): x for g, x in n.items() if x}
     assert frequent == want
@@ -93,16 +93,27 @@ def test_slices_lose_and_repeat_nothing():
         assert got == whole
 
 
-def test_a_bit_of_the_bitmap_is_sparks_hash(spark):
-    df = spark.createDataFrame([("en", "new york"), ("dé", "äpfel"), ("", "")], "lang string, phrase string")
-    held = C.bitmap(df, 1 << 20)
-    assert held.holds("en".encode(), [b"new york", b"york new"]).tolist() == [True, False]
-    assert held.holds("dé".encode(), ["äpfel".encode()]).all() and held.holds(b"", [b""]).all()
+def test_a_bit_of_the_bitmap_is_the_hash(spark):
+    h = np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64)
+    held = C.bitmap(spark.createDataFrame([(int(x),) for x in h[:25].view(np.int64)], "h long"), 1 << 20)
+    assert held.holds(h).tolist() == [True] * 25 + [False] * 25
+
+
+def test_hashes_depend_on_language_words_and_length():
+    words = C.Words()
+    seen = set()
+    for lang in (b"en", b"de"):
+        for t in ([b"a", b"b"], [b"b", b"a"], [b"ab"], [b"a", b".", b"b"]):
+            for k, h, there in C.phrase_hashes(lang, np.array([words[w] for w in t], np.uint64), 3):
+                assert all(int(x) & 3 == k - 1 for x in h)
+                assert there.tolist() == [b"." not in t[i:i + k] for i in range(len(t) - k + 1)]
+                seen |= {int(x) for x, y in zip(h, there) if y}
+    assert len(seen) == 2 * 5  # a, b, ab, a b, b a
 
 
 def test_products_beyond_64_bits(spark):
     a = 9 * 10**17
-    rows = [("en", "x", 1, 2 * a), ("en", "y", 1, 2 * a + 1), ("en", "x y", 2, a), ("en", "", 1, 5 * a)]
+    rows = [("en", "x", 1, 2 * a), ("en", "y", 1, 2 * a + 1), ("en", "x y", 2, a), ("en", "", 0, 5 * a)]
     got = C.score_phrases(spark.createDataFrame(rows, "lang string, phrase string, k int, f long")).collect()
     assert [(r.phrase, r.score) for r in got] == [("x y", 2000000 * a // (4 * a + 1))]
 
