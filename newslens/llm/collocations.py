@@ -8,7 +8,7 @@ phrases of one more length, so there are at most four.
 
 These passes count phrases by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
 frequent. A last pass counts what looks frequent by the phrases themselves, which makes all counts exact. Sets of
-phrases reach the tasks as one bitmap of hashes of a fixed size; a phrase that is in it by chance is counted as well, which
+phrases reach the tasks as a bitmap of hashes of bounded size; a phrase that is in it by chance is counted as well, which
 costs time and changes no result.
 """
 
@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from newslens.sources.tables import table
 SUPPORT, LONGEST, COVER_PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: One document in so many proposes phrases (picked by a hash of its key).
 SAMPLE_PART = 4
-#: Bits of the bitmap of proposals (16 MB); a power of two from 2^15.
-FILTER_BITS = 1 << 27
+#: Bits of a set's bitmap: about so many for each phrase, and at most (32 MB); a power of two from 2^15.
+BITS_EACH, MOST_BITS = 32, 1 << 28
 #: Bytes of text that a task counts at once (longer texts are counted in slices), and words whose hashes it remembers.
 CHUNK, CACHE_WORDS = 4 << 20, 400_000
 #: Candidates of a language are first ranked in so many parts.
@@ -85,12 +86,13 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def bitmap(phrases: DataFrame, size: int) -> Bitmap:
+def bitmap(phrases: DataFrame, most: int = MOST_BITS) -> Bitmap:
     """The bitmap of the rows (h), built by the executors in blocks of 2^15 bits."""
+    size = min(most, max(1 << 15, 1 << (BITS_EACH * phrases.count()).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(size - 1))
     blocks = phrases.select(at.alias("p")).groupBy(F.shiftright("p", 15).alias("block")) \
         .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
-    bits = np.zeros((max(1, size >> 15), 1 << 12), np.uint8)
+    bits = np.zeros((size >> 15, 1 << 12), np.uint8)
     for b in blocks:
         bits[b["block"]] = np.frombuffer(b["bits"], np.uint8)
     return Bitmap(bits.reshape(-1))
@@ -178,9 +180,9 @@ def _map_texts(docs: DataFrame, fn, schema: str, chunk: int) -> DataFrame:
     return bound_batches(docs).mapInArrow(run, schema)
 
 
-def hash_counts(docs: DataFrame, lengths: range, new: Bitmap | None = None, old: Bitmap | None = None,
+def hash_counts(docs: DataFrame, least: int, lengths: range, new: Bitmap | None = None, old: Bitmap | None = None,
                 chunk: int = CHUNK) -> DataFrame:
-    """(h, f): ``count_hashes`` over the rows (lang, text)."""
+    """(h, f): ``count_hashes`` over the rows (lang, text), of the phrases that occur ``least`` times."""
     shared = docs.sparkSession.sparkContext.broadcast((new, old))
 
     def fn(lang, context, tokens, words_):
@@ -188,12 +190,20 @@ def hash_counts(docs: DataFrame, lengths: range, new: Bitmap | None = None, old:
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
 
-    return _map_texts(docs, fn, "h long, f long", chunk).groupBy("h").agg(F.sum("f").alias("f"))
+    counts = _map_texts(docs, fn, "h long, f long", chunk).groupBy("h").agg(F.sum("f").alias("f"))
+    return _written(counts.where(F.col("f") >= least), shared)
 
 
-def phrase_counts(docs: DataFrame, wanted: Bitmap, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """(lang, phrase, k, f): ``count_exactly`` over the rows (lang, text), and for every language the empty phrase (k = 0)
-    with the number of all words."""
+def _written(df: DataFrame, shared: Broadcast) -> DataFrame:
+    """``df`` checkpointed; the bitmaps that its tasks read are of no more use."""
+    df = cut_lineage(df)
+    shared.destroy()
+    return df
+
+
+def phrase_counts(docs: DataFrame, least: int, wanted: Bitmap, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, k, f): ``count_exactly`` over the rows (lang, text), of the phrases that occur ``least`` times, and for
+    every language the empty phrase (k = 0) with the number of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def fn(lang, context, tokens, words_):
@@ -205,8 +215,9 @@ def phrase_counts(docs: DataFrame, wanted: Bitmap, longest: int = LONGEST, chunk
                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), k, np.int32)),
                      pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "f"])
 
-    return _map_texts(docs, fn, "lang string, phrase string, k int, f long", chunk) \
+    counts = _map_texts(docs, fn, "lang string, phrase string, k int, f long", chunk) \
         .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    return _written(counts.where((F.col("f") >= least) | (F.col("k") == 0)), shared)
 
 
 def lowered(support: int, part: int) -> int:
@@ -219,37 +230,36 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def propose(sample: DataFrame, least: int, longest: int = LONGEST, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
+def propose(sample: DataFrame, least: int, longest: int = LONGEST, bits: int = MOST_BITS, chunk: int = CHUNK) -> DataFrame:
     """(h): hashes of phrases of up to ``longest - 1`` words with ``least`` occurrences in the sample, level by level."""
     found = None
     for k in range(1, longest):
-        seen = bitmap(found, size) if found is not None else None
-        level = cut_lineage(hash_counts(sample, range(k, k + 1), seen, None, chunk).where(F.col("f") >= least).select("h"))
+        seen = bitmap(found, bits) if found is not None else None
+        level = hash_counts(sample, least, range(k, k + 1), seen, None, chunk).select("h")
         found = level if found is None else found.unionByName(level)
     return found
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, key: str = "doc_id", lang: str = "lang",
-                     text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
+                     text: str = "text", part: int = SAMPLE_PART, bits: int = MOST_BITS, chunk: int = CHUNK) -> DataFrame:
     """(lang, phrase, k, f): all phrases of 1 to ``longest`` words (4 at most) with at least ``support`` occurrences, and
     for every language the empty phrase (k = 0) with the number of all words. See ``collocations`` for the words."""
     if not 2 <= longest <= 4:
         raise ValueError("phrases have 2 to 4 words at most")
     sample = docs.where(F.pmod(F.xxhash64(key, F.lit(13)), F.lit(part)) == 0)
-    proposed = propose(_texts(sample, lang, text), lowered(support, part), longest, size, chunk)
+    proposed = propose(_texts(sample, lang, text), lowered(support, part), longest, bits, chunk)
     docs = _texts(docs, lang, text)
-    old, new, found = None, bitmap(proposed, size), None
+    old, new, found = None, bitmap(proposed, bits), None
     while True:
-        counts = cut_lineage(hash_counts(docs, range(1, longest + 1), new, old, chunk).where(F.col("f") >= support).select("h"))
+        counts = hash_counts(docs, support, range(1, longest + 1), new, old, chunk).select("h")
         found = counts if found is None else found.unionByName(counts)
         missed = found.where(F.col("h").bitwiseAND(F.lit(3)) < longest - 1)  # the longest have no extensions
         missed = cut_lineage(missed.join(proposed, "h", "left_anti"))
         if missed.isEmpty():
             break
         proposed = proposed.unionByName(missed)
-        old, new = new, bitmap(proposed, size)
-    exact = phrase_counts(docs, bitmap(found, size), longest, chunk)
-    return exact.where((F.col("f") >= support) | (F.col("k") == 0))
+        old, new = new, bitmap(proposed, bits)
+    return phrase_counts(docs, support, bitmap(found, bits), longest, chunk)
 
 
 def _exact(c: str | Column) -> Column:
@@ -285,7 +295,7 @@ def score_phrases(frequent: DataFrame, scale: int = SCALE, cover: int = COVER_PE
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, key: str = "doc_id", lang: str = "lang",
-                 text: str = "text", part: int = SAMPLE_PART, size: int = FILTER_BITS, chunk: int = CHUNK) -> DataFrame:
+                 text: str = "text", part: int = SAMPLE_PART, bits: int = MOST_BITS, chunk: int = CHUNK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 to 4 words of every language.
 
     A-Z are lower-cased, texts split at ``. , ; : ! ?`` and line ends (code points 10 to 13) into pieces, pieces at blanks
@@ -294,7 +304,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, key: s
     Ranked by score, then ``a``, then phrase. A NULL text is empty; a NULL language is ``und``; a row without a key is
     sampled like any other; repeated rows count each time; no rows: no rows. Further columns are not read.
     """
-    frequent = cut_lineage(frequent_phrases(docs, support, LONGEST, key, lang, text, part, size, chunk))
+    frequent = frequent_phrases(docs, support, LONGEST, key, lang, text, part, bits, chunk)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     some = score_phrases(frequent).withColumn("s", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "s").orderBy(*order))) \

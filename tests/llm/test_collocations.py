@@ -72,9 +72,9 @@ def test_against_plain_counts(spark, part, support, chunk, bits):
     proposes nothing, so that everything comes by expansion passes."""
     docs = _docs(part)
     df = _frame(spark, docs)
-    got = sorted(tuple(r) for r in C.collocations(df, support, 40, part=part, size=bits, chunk=chunk).collect())
+    got = sorted(tuple(r) for r in C.collocations(df, support, 40, part=part, bits=bits, chunk=chunk).collect())
     assert got == _brute(docs, support, 40) and got
-    frequent = {(r.lang, r.phrase): r.f for r in C.frequent_phrases(df, support, part=part, size=bits, chunk=chunk).collect()}
+    frequent = {(r.lang, r.phrase): r.f for r in C.frequent_phrases(df, support, part=part, bits=bits, chunk=chunk).collect()}
     f, n = _counts(docs)
     want = {(g, p): a for g, c in f.items() for p, a in c.items() if a >= support} | {(g, ""): x for g, x in n.items() if x}
     assert frequent == want
