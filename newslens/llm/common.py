@@ -93,3 +93,13 @@ def names_free(df: DataFrame, *names: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+def distinct_names(*names: str) -> list[str]:
+    """``names``, each with underscores added until it differs from those before it."""
+    out: list[str] = []
+    for n in names:
+        while n.lower() in (o.lower() for o in out):
+            n += "_"
+        out.append(n)
+    return out

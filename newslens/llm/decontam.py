@@ -9,11 +9,15 @@ of a document is within ``k`` edits of a window of ``m`` characters, the two sha
    items that hold its q-gram;
 2. hits are collected per item in diagonal bands of width ``2k + 1`` that overlap by ``k`` or more, so that some
    band has all of a match's diagonals; the windows that hold enough of a band's hits stay, as ranges of starts;
+   Of equal windows of an item one is kept, and hits are collected in overlapping stretches of bounded hit count;
 3. the same bound with shorter q-grams, all of which the band itself shows, drops most of the other windows;
 4. a banded alignment decides on every window that is left: the furthest rows reached with 0, 1, .. ``k`` edits.
 
-The work per document is linear in its length; documents never meet each other. The benchmark is read in blocks of
-bounded size (a stated query set against all rows), each of which a task holds whole.
+An item of fewer than ``q`` characters matches where it stands between word borders, letter for letter.
+
+The work per document is linear in its hits; documents never meet each other. A long repetition of a few characters (rows
+of zeros, ruled lines) is shortened to what any window can see of its two ends. The benchmark is read in blocks of bounded
+size (a stated query set against all rows), each of which a task holds whole.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newslens.llm.common import char_chunks, code_points, map_batches
+from newslens.llm.common import char_chunks, code_points, cut_lineage, distinct_names, map_batches
 from newslens.sources.tables import table
 
 Q = 10
@@ -41,6 +45,10 @@ BLOCK_CHARS = 1 << 22
 CHUNK = 1 << 17
 #: Length of the q-grams that are counted inside a band, starts of a range and rows of bands that are looked at together.
 SHORT, RANGE, ROWS = 5, 256, 1 << 14
+#: Hits that are held at once, and the longest period of a repetition that is shortened.
+HITS, PERIOD = 1 << 19, 8
+#: Blocks of the benchmark that follow each other in one task of the filter.
+CHAIN = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MAP_BITS = 22
 
@@ -89,26 +97,68 @@ def edit_budget(m: int, q: int = Q, rate: float = RATE) -> int:
     return min(int(m * rate), (m - q) // q)
 
 
+def _distinct_windows(c: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Per position of an item: does one of its windows start there, and is it the first of its content?"""
+    out, h = np.zeros(len(c), bool), qgram_hashes(c, size)
+    starts = np.unique(np.append(np.arange(0, len(h), stride), len(h) - 1))
+    out[starts[np.unique(h[starts], return_index=True)[1]]] = True
+    return out
+
+
+def _covered(starts: np.ndarray, n: int) -> np.ndarray:
+    """Positions less than ``n`` behind a start."""
+    total = np.cumsum(starts)
+    return total > np.concatenate((np.zeros(min(n, len(starts)), total.dtype), total[:-n]))
+
+
+def squeezed(c: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
+    """Positions of ``c`` that stay when long repetitions of up to ``PERIOD`` characters lose their middle, by whole
+    periods: ``reach`` characters stay at either end, so any stretch of that length that was there is still there, and
+    none is new. Repetitions end at the documents' ``ends``."""
+    keep = np.ones(len(c), bool)
+    for p in range(1, PERIOD + 1):
+        same = np.zeros(len(c) + 1, bool)
+        same[p:-1] = c[p:] == c[:-p]
+        same[np.minimum(ends[:, None] + np.arange(p), len(c)).ravel()] = False
+        edges = np.flatnonzero(same[1:] != same[:-1]) + 1
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            gone = (b - a - 2 * reach) // p * p
+            if gone > 0 and keep[a:b].all():
+                keep[a + reach:a + reach + gone] = False
+    return np.flatnonzero(keep)
+
+
 class Index:
     """Some benchmark items and their q-grams."""
 
     def __init__(self, items: Sequence[tuple], q: int = Q, window: int = WINDOW, stride: int = STRIDE, rate: float = RATE):
         self.q, self.stride, self.fold, self.ids = q, stride, fold_table(), []
         texts: list[np.ndarray] = []
+        short: list[np.ndarray] = []
+        short_ids: list = []
         for item, text in items:
             c, _ = normalize(code_points(text or ""), self.fold)
             c = c[:-1] if len(c) and c[-1] == 32 else c
-            if len(c) < q:
-                continue
-            texts.append(c)
-            self.ids.append(item)
+            if len(c):
+                (texts if len(c) >= q else short).append(c)
+                (self.ids if len(c) >= q else short_ids).append(item)
+        self.short_text = {len(self.ids) + n: c for n, c in enumerate(short)}
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # length -> text -> numbers of the items
+        for n, c in self.short_text.items():
+            self.short.setdefault(len(c), {}).setdefault(c.tobytes(), []).append(n)
+        self.ids += short_ids
         none = np.empty(0, np.int64)
+        kept = [_distinct_windows(c, min(len(c), window), stride) for c in texts]
         hashes = [qgram_hashes(c, q) for c in texts]
-        h = np.concatenate([np.empty(0, np.uint64), *hashes])
+        inside = [_covered(k, min(len(c), window) - q + 1)[:len(h)] for c, k, h in zip(texts, kept, hashes)]
+        h = np.concatenate([np.empty(0, np.uint64), *(x[i] for x, i in zip(hashes, inside))])
         order = np.argsort(h, kind="stable")
-        self.at = np.concatenate([none, *(np.arange(len(x)) for x in hashes)])[order]
-        self.item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])[order]
+        self.at = np.concatenate([none, *map(np.flatnonzero, inside)])[order]
+        self.item = np.repeat(np.arange(len(hashes)), [int(i.sum()) for i in inside])[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.entry = np.repeat(np.arange(len(self.keys)), self.count) * (len(texts) + 1) + self.item
+        self.start = np.concatenate([np.empty(0, bool), *kept])
+        self.reach = window + int(window * rate) + q
         self.seen = np.zeros(1 << _MAP_BITS, bool)
         self.seen[self._slot(self.keys)] = True
         self.text = np.concatenate([np.empty(0, np.uint32), *texts])
@@ -123,21 +173,45 @@ class Index:
         with np.errstate(over="ignore"):
             return ((h * _MULT) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in ``c``, item, position in the item) of every shared q-gram."""
+    def lookup(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``c``, number of the q-gram) of every q-gram that the items hold."""
         h = qgram_hashes(c, self.q)
         j = np.flatnonzero(self.seen[self._slot(h)]) if len(self.keys) else np.empty(0, np.int64)
         k = np.searchsorted(self.keys, h[j])
         ok = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] == h[j]) if len(j) else j
-        j, k = j[ok], k[ok]
-        n = self.count[k]
-        entry = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(j, n), self.item[entry], self.at[entry]
+        return j[ok], k[ok]
+
+    def hits(self, j: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position in the document, item, position in the item) of every shared q-gram, in parts of about ``HITS``
+        that hold all hits of any match: stretches of the document that overlap by a match's length, and of a stretch
+        with more hits some of the items."""
+        total = np.cumsum(self.count[k])
+        a, n = 0, len(self.length)
+        while a < len(j):
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HITS, "right"))
+            b = max(b, int(np.searchsorted(j, j[a] + 2 * self.reach)))
+            ranges = [(0, n)]
+            while ranges:
+                lo, hi = ranges.pop()
+                first = np.searchsorted(self.entry, k[a:b] * (n + 1) + lo)
+                many = np.searchsorted(self.entry, k[a:b] * (n + 1) + hi) - first
+                if many.sum() > HITS and hi - lo > 1:
+                    ranges += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+                    continue
+                entry = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield np.repeat(j[a:b], many), self.item[entry], self.at[entry]
+            if b >= len(j):
+                return
+            a = max(a + 1, int(np.searchsorted(j, j[b] - self.reach)))
 
     def regions(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
         """(item, first diagonal, first start, last start): the bands and ranges of windows that hold enough distinct
         q-grams of each window of the range."""
-        j, w, i = self.hits(c)
+        parts = [self._bands(*hits) for hits in self.hits(*self.lookup(c))]
+        none = np.empty(0, np.int64)
+        return tuple(map(np.concatenate, zip(*parts))) if parts else (none, none, none, none)
+
+    def _bands(self, j: np.ndarray, w: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, ...]:
         k = self.budget[w]
         step = k + 1
         diagonal = j - i
@@ -192,11 +266,8 @@ def align(index: Index, c: np.ndarray, item: np.ndarray, first: np.ndarray, low:
     miss |= (at < lo[of, None]) | (at >= hi[of, None]) | (cols > 2 * k[of, None]) | (i == (high + m)[of])[:, None]
     stop = np.minimum.accumulate(np.where(miss, row[:, None], n)[::-1])[::-1]  # the next row that does not match
     shared = np.concatenate(([0], np.cumsum((stop - row[:, None] >= SHORT).any(1))))
-    x = np.flatnonzero(i <= high[of])
+    x = np.flatnonzero((i <= high[of]) & index.start[np.minimum(index.base[item][of] + i, len(index.start) - 1)])
     r = of[x]
-    if index.stride > 1:
-        kept = (i[x] % index.stride == 0) | (i[x] == index.length[item[r]] - m[r])
-        x, r = x[kept], r[kept]
     grams = np.maximum(m[r] - SHORT + 1, 0)
     kept = shared[x + grams] - shared[x] >= grams - k[r] * SHORT
     x, r = x[kept], r[kept]
@@ -244,7 +315,8 @@ def matches(c: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray,
     n = np.maximum(np.minimum(np.searchsorted(ends, far, "right") + 1, len(ends)) - doc, 0)
     doc = np.repeat(doc, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, first, low, high, far = (np.repeat(x, n) for x in (item, first, low, high, far))
-    lo, hi = np.concatenate(([0], ends))[doc], ends[doc]
+    stops = ends - (np.append(0, c)[ends] == 32)  # a document's last space is not part of its normal form
+    lo, hi = np.concatenate(([0], ends))[doc], stops[doc]
     need = index.size[item] - index.budget[item]
     kept = np.flatnonzero(np.minimum(hi, far) - np.maximum(lo, first + low) >= need)
     part = np.cumsum((high - low + index.size[item] + 1)[kept]) // ROWS
@@ -255,14 +327,38 @@ def matches(c: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray,
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def _verbatim(c: np.ndarray, short: dict[int, dict[bytes, list[int]]]) -> Iterator[tuple[int, int]]:
+    """(item, position) of the short items that stand in ``c`` between word borders."""
+    if not short:
+        return
+    gap = np.concatenate(([True], c == 32, [True]))  # before position 0, the positions, behind the last
+    starts = np.flatnonzero(gap[:-2] & ~gap[1:-1]) if len(c) else np.empty(0, np.int64)
+    for n, known in short.items():
+        some = starts[starts + n <= len(c)]
+        some = some[gap[some + n + 1]]
+        wanted = np.isin(qgram_hashes(c, n)[some], np.concatenate([qgram_hashes(np.frombuffer(k, np.uint32), n) for k in known]))
+        for s in some[wanted].tolist():
+            for w in known.get(c[s:s + n].tobytes(), ()):
+                yield w, s
+
+
 def scan(texts: Sequence[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
     """Per text, (item, start, end, edits) of its regions in code points: the windows of an item that touch or
     overlap are one region, with the edits of the worst of them."""
     out: list[list] = [[] for _ in texts]
-    for a, b in char_chunks(texts, CHUNK) if len(index.keys) else ():
+    for a, b in char_chunks(texts, CHUNK) if index.ids else ():
         c, position = normalize(code_points("\n".join(texts[a:b])), index.fold)
         border = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
-        doc, item, s, t, edits = matches(c, np.searchsorted(position, border[1:]), index)
+        ends = np.searchsorted(position, border[1:])
+        for w, s in _verbatim(c, index.short):
+            d = int(np.searchsorted(ends, s, "right"))
+            x, y = int(position[s] - border[d]), int(position[s + len(index.short_text[w]) - 1] + 1 - border[d])
+            out[a + d].append((w, x, y, 0))
+        if index.count[index.lookup(c)[1]].sum() > HITS:
+            left = squeezed(c, ends, index.reach)
+            c, position = c[left], position[left]
+            ends = np.searchsorted(position, border[1:])
+        doc, item, s, t, edits = matches(c, ends, index)
         if not len(doc):
             continue
         s, t = position[s], position[t - 1] + 1
@@ -296,33 +392,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, start, end, edits): the regions of documents, in code points of the whole text, that hold a
     stretch of a benchmark item; ``edits`` is that of the region's worst window.
 
-    Items shorter than ``q`` characters in normal form have no q-gram and match nothing, like NULL or empty ones. A
-    document without a match has no row. NULL and empty texts match nothing. Repeated documents or items give
+    Items shorter than ``q`` characters in normal form match letter for letter between word borders; NULL ones and those
+    without a letter or digit match nothing. Result columns that would share a name (also of the two keys) get
+    underscores, the later ones first. A document without a match has no row. NULL and empty texts match nothing. Repeated documents or items give
     repeated rows. Rows without a key take part. Further columns are not read.
     """
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType),
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("i", benchmark.schema[item].dataType),
                            T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
                            T.StructField("edits", T.LongType())])
-    narrow, out = docs.select(F.col(key), F.col(text)).where(F.length(text) >= q), []
+    narrow, out = docs.select(F.col(key), F.col(text)).where(F.length(text) > 0), []
     for items in benchmark_blocks(benchmark, item, item_text, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, q, window, stride, rate))
 
         def run(b: pa.RecordBatch, shared=shared) -> dict:
             index = shared.value
             found = [(i, *m) for i, ms in enumerate(scan(b.column(1).to_pylist(), index)) for m in ms]
-            return {key: b.column(0).take(pa.array([f[0] for f in found], pa.int64())), item: [index.ids[f[1]] for f in found],
+            return {"k": b.column(0).take(pa.array([f[0] for f in found], pa.int64())), "i": [index.ids[f[1]] for f in found],
                     "start": [f[2] for f in found], "end": [f[3] for f in found], "edits": [f[4] for f in found]}
 
         out.append(map_batches(narrow, run, schema))
-    return reduce(DataFrame.unionAll, out)
+    return reduce(DataFrame.unionAll, out).toDF(*distinct_names(key, item, "start", "end", "edits"))
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                           item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in whose text no benchmark item is found, unchanged and without a shuffle. NULL, empty and
-    short texts stay."""
+    """The rows of ``docs`` in whose text no benchmark item is found, unchanged and without a shuffle. NULL and empty
+    texts stay. A task holds the indexes of ``CHAIN`` blocks at most; after those the rows left are written."""
     at, types = docs.columns.index(text), docs.schema
-    for items in benchmark_blocks(benchmark, item, item_text, block_chars):
+    for n, items in enumerate(benchmark_blocks(benchmark, item, item_text, block_chars)):
+        docs = cut_lineage(docs) if n and n % CHAIN == 0 else docs
         shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:

@@ -1,9 +1,11 @@
 """Decontamination against a full edit-distance search of every window in every document."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from newslens.llm import decontam as D
 
@@ -13,7 +15,10 @@ def _normal(text):
 
 
 def _within(window, text, k):
-    """Whether some stretch of ``text`` is within ``k`` edits of ``window``."""
+    """Whether some stretch of ``text`` is within ``k`` edits of ``window``: of k + 1 pieces of the window one is whole."""
+    n = max(1, (len(window) - k) // (k + 1))
+    if not any(window[i:i + n] in text for i in range(len(window) - n + 1)):
+        return False
     row = np.zeros(len(text) + 1, int)
     letters = np.array(list(text))
     for i, ch in enumerate(window):
@@ -145,3 +150,59 @@ def test_every_start_is_a_window():
         assert bool(D.scan([text], index)[0]) == want
         assert [bool(x) for x in D.scan(["q", text[:40], text, item[:90]], index)] == [False, False, want, False]
     assert 30 < found < 110
+
+
+def _found(text, item):
+    """Whether the normal forms match by the rule, and the region's first and last character if it is exact."""
+    text, item = _normal(text), _normal(item)
+    return any(_within(w, text, D.edit_budget(len(w))) for w in set(_windows(item)))
+
+
+@pytest.mark.parametrize("hits", [1 << 19, 300, 1])
+def test_repetitions_and_shared_lines(monkeypatch, hits):
+    """The same regions whether hits are held at once, in stretches, or item by item, with repetitions shortened (in a
+    repetition several alignments of a window are equally good: ends may differ by a few characters)."""
+    line = "all rights reserved by the owners of this work"
+    items = [(1, "0" * 260), (2, "0 1 " * 50), (3, "ab" * 90), (4, "0" * 30 + line), (5, line + " and " + line + " xyz"), (6, line),
+             (7, "q" + "0" * 130 + "w")]
+    texts = ["0" * 3000, "0, 1; " * 400, "x" + "ab" * 500 + "y " + "0" * 90, line + ". " + line, "0" * 99, "q" + "0" * 700 + "w",
+             "q" + "0" * 130 + "w", ("0" * 20 + "\n") * 60, "1 0 " * 23, "ba" * 400 + line + "0" * 400]
+    monkeypatch.setattr(D, "HITS", 1 << 40)
+    whole = D.scan(texts, D.Index(items))
+    assert {(d, items[w][0]) for d, ms in enumerate(whole) for w, *_ in ms} == \
+        {(d, i) for d, t in enumerate(texts) for i, b in items if _found(t, b)}
+    monkeypatch.setattr(D, "HITS", hits)
+    got = D.scan(texts, D.Index(items))
+    for x, y in zip(map(sorted, got), map(sorted, whole), strict=True):
+        assert [m[0] for m in x] == [m[0] for m in y]
+        assert all(abs(a - b) <= 3 * D.edit_budget(100) for m, n in zip(x, y) for a, b in zip(m[1:3], n[1:3]))
+
+
+def test_a_million_equal_characters(monkeypatch):
+    tracemalloc.start()
+    (w, s, e, edits), = D.scan(["0" * 10**6], D.Index([(1, "0" * 10**4)]))[0]
+    assert (w, s, edits) == (0, 0, 0) and e > 10**6 - 10 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_short_items_stand_between_word_borders():
+    index = D.Index([(1, "Two words"), (2, "cat"), (3, "!?"), (4, "cat"), (5, "日本")])
+    got = D.scan(["a cat, two  WORDS.", "concat cats", "CAT", "(日本) 日本語", ""], index)
+    assert [sorted((index.ids[w], s, e) for w, s, e, _ in ms) for ms in got] == \
+        [[(1, 7, 17), (2, 2, 5), (4, 2, 5)], [], [(2, 0, 3), (4, 0, 3)], [(5, 1, 3)], []]
+
+
+def test_clashing_key_names(spark):
+    docs = spark.createDataFrame([(1, "a cat", 5)], "id long, text string, start int")
+    bench = spark.createDataFrame([(9, "cat")], "id long, text string")
+    assert [r.asDict() for r in D.contaminated(docs, bench, key="id", item="id").collect()] == \
+        [{"id": 1, "id_": 9, "start": 2, "end": 5, "edits": 0}]
+    assert D.contaminated(docs, bench, key="start", item="id").columns == ["start", "id", "start_", "end", "edits"]
+
+
+def test_long_chains_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHAIN", 2)
+    items = [(i, f"item number {i} " + "xyzuvw"[i] * 40) for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in items] + [(99, "clean text of no item at all")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [r.doc_id for r in D.without_contamination(docs, bench, block_chars=100).collect()] == [99]
