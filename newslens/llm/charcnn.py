@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 
 EMBED, KERNEL, FILTERS = 8, 5, 24
-#: Characters of a padded row; a longer candidate is cut into overlapping rows that are pooled together.
-ROW = 192
+#: Characters of a padded row (a longer candidate is cut into overlapping rows that are pooled together), and rows that are
+#: convolved at once.
+ROW, BLOCK_ROWS = 192, 256
 OTHER, PAD = 128, 129
 
 
@@ -27,23 +29,25 @@ def _codes(s: str) -> np.ndarray:
     return np.where(c < 128, c, OTHER).astype(np.int64)
 
 
-def _rows(examples: Sequence[Example]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded codes, flags (1 inside the candidate) and the example of every row. Rows of one example overlap by
-    KERNEL - 1 characters, so that every window of the example lies in one of them."""
-    codes, flags, owner = [], [], []
-    for i, x in enumerate(examples):
-        c = _codes(x.left + x.body + x.right)
-        f = np.zeros(len(c))
-        f[len(x.left):len(x.left) + len(x.body)] = 1
-        for a in range(0, max(1, len(c) - KERNEL + 1), ROW - KERNEL + 1):
-            codes.append(c[a:a + ROW])
-            flags.append(f[a:a + ROW])
-            owner.append(i)
-    width = max([KERNEL, *map(len, codes)])
-    out, inside = np.full((len(codes), width), PAD), np.zeros((len(codes), width))
-    for k, (c, f) in enumerate(zip(codes, flags)):
-        out[k, :len(c)], inside[k, :len(c)] = c, f
-    return out, inside, np.array(owner)
+def _cut(x: Example) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and flags (1 inside the candidate) of the rows of an example. They overlap by KERNEL - 1 characters, so that
+    every window of the example lies in one of them."""
+    text, body = x.left + x.body + x.right, (len(x.left), len(x.left) + len(x.body))
+    for a in range(0, max(1, len(text) - KERNEL + 1), ROW - KERNEL + 1):
+        c = _codes(text[a:a + ROW])
+        at = np.arange(a, a + len(c))
+        yield c, ((at >= body[0]) & (at < body[1])).astype(float)
+
+
+def _blocks(examples: Sequence[Example], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Padded codes, flags and the example of every row, in blocks of at most ``most`` rows."""
+    rows = ((i, c, f) for i, x in enumerate(examples) for c, f in _cut(x))
+    while block := list(islice(rows, most)):
+        width = max([KERNEL, *(len(c) for _, c, _ in block)])
+        out, inside = np.full((len(block), width), PAD), np.zeros((len(block), width))
+        for k, (_, c, f) in enumerate(block):
+            out[k, :len(c)], inside[k, :len(c)] = c, f
+        yield out, inside, np.array([i for i, _, _ in block])
 
 
 class CharCNN:
@@ -64,14 +68,14 @@ class CharCNN:
         return cols, np.where(real[..., None], h, 0), real
 
     def logits(self, examples: Sequence[Example]) -> np.ndarray:
-        if not examples:
-            return np.empty(0)
-        codes, inside, owner = _rows(examples)
-        _, h, real = self._forward(codes, inside)
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        top = np.maximum.reduceat(h.max(1), starts)
-        mean = np.add.reduceat(h.sum(1), starts) / np.add.reduceat(real.sum(1), starts)[:, None]
-        return np.concatenate([top, mean], 1) @ self.p["w"] + self.p["c"][0]
+        n = len(examples)
+        top, total, count = np.zeros((n, FILTERS)), np.zeros((n, FILTERS)), np.zeros(n)
+        for codes, inside, owner in _blocks(examples, BLOCK_ROWS):
+            _, h, real = self._forward(codes, inside)
+            np.maximum.at(top, owner, h.max(1))  # activations are never negative
+            np.add.at(total, owner, h.sum(1))
+            np.add.at(count, owner, real.sum(1))
+        return np.concatenate([top, total / np.maximum(count, 1)[:, None]], 1) @ self.p["w"] + self.p["c"][0]
 
     def probability(self, examples: Sequence[Example]) -> np.ndarray:
         """Calibrated probability of a secret."""
@@ -96,8 +100,8 @@ class CharCNN:
         return self
 
     def _gradients(self, examples, y):
-        codes, inside, owner = _rows(examples)
-        if len(owner) != len(examples):
+        (codes, inside, owner), *more = _blocks(examples, len(examples))
+        if more or len(set(owner.tolist())) != len(examples):
             raise ValueError("a training example is longer than a row")
         cols, h, real = self._forward(codes, inside)
         best, count = h.argmax(1), real.sum(1)
@@ -119,8 +123,8 @@ class CharCNN:
                 "c": np.array([e.sum()])}
 
     def calibrate(self, examples: Sequence[Example], y: np.ndarray, recall: float) -> "CharCNN":
-        """Platt scaling on held-out findings; the threshold is 0.5, or lower if less than ``recall`` of the secrets
-        among them reach that."""
+        """Platt scaling on held-out findings; the threshold is the highest that ``recall`` of the secrets among them
+        reach."""
         s = self.logits(examples)
         a, b = 1.0, 0.0
         for _ in range(500):
@@ -128,5 +132,5 @@ class CharCNN:
             a, b = a - 0.05 * (e @ s) / len(s), b - 0.05 * e.mean()
         self.scale, self.shift = float(a), float(b)
         found = np.sort(self.probability([x for x, t in zip(examples, y) if t]))
-        self.threshold = min(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 0.5
+        self.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
         return self

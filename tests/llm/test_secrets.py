@@ -1,10 +1,13 @@
 """Secret scans: base spans against a plain scan, the network on fresh findings, gradients by differences."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 
 import numpy as np
 
+from newslens.llm import charcnn
 from newslens.llm import secrets as S
 from newslens.llm.charcnn import CharCNN, Example
 
@@ -121,3 +124,58 @@ def test_candidates_around_base_spans():
     assert [text[s:e] for s, e in runs] == ["AKIA" + "B2" * 8 + "/aB3" + "xY9/" * 5, "/aB3" + "xY9/" * 5]
     whole = "x1" * 4 + "deadbeef" * 4 + "yZ" * 4
     assert [whole[s:e] for s, e in S.candidates(whole, S.base_spans(whole))] == [whole]
+
+
+def test_candidates_against_a_search_of_all_base_spans():
+    rnd = random.Random(2)
+    for _ in range(300):
+        text = "".join(rnd.choice(["ab", "Z9", " ", "/", "=", "abcdefgh", "0123456789abcdef"]) for _ in range(rnd.randint(0, 60)))
+        taken = sorted((s, s + rnd.randint(1, 30), rnd.randint(0, 2)) for s in rnd.sample(range(len(text) + 1), min(len(text), rnd.randint(0, 8))))
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+            free = [all(not s <= i < e for s, e, _ in taken) for i in range(m.start(), m.end())]
+            if S._keyed(m[0]) and (all(free) or any(f and c.isalnum() for f, c in zip(free, m[0]))):
+                want.append(m.span())
+                if not all(free):
+                    parts = re.finditer("1+", "".join("01"[f] for f in free))
+                    want += [(m.start() + p.start(), m.start() + p.end()) for p in parts if S._keyed(m[0][p.start():p.end()])]
+        assert S.candidates(text, taken) == want
+
+
+def test_rows_in_blocks_are_pooled_alike(monkeypatch):
+    x = [e for e, _ in S.labelled_findings(40, 5)] + [Example("l", "ab9/" * 900, "r"), Example("", "", "")]
+    whole = S.trained().logits(x)
+    monkeypatch.setattr(charcnn, "BLOCK_ROWS", 3)
+    assert np.allclose(S.trained().logits(x), whole)
+
+
+def test_long_runs_and_many_spans_in_bounded_memory():
+    net = S.trained()
+    tracemalloc.start()
+    S.scan(["aB3/" * 250_000, " ".join(f'password="abcdef{i}"' for i in range(30_000))], net)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_harmless_strings_of_unseen_shapes_stay():
+    """Shapes and words that the labelled findings do not hold."""
+    rnd, net = random.Random(99), S.trained()
+    known = ("haus baum strasse sprache wetter bericht minister wahlkampf energie wirtschaft regen damm fluss zeitung verkehr schule "
+             "lehrer kinder garten hund katze berg insel stadt dorf markt preis steuer gesetz klima sommer winter morgen").split()
+
+    def w():
+        return rnd.choice(known)
+
+    shapes = [lambda: f"{w()}{w().capitalize()}{rnd.randint(1, 99)}{w().capitalize()}", lambda: f"{w()}-{w()}-{w()}-{w()}-2021",
+              lambda: f"git.{w()}.org/{w()}{w()}/{w()}-{w()}/-/tree/main/src/{w()}_{w()}.rb", lambda: f"{w()}::{w()}_{w()}_{w()}_id",
+              lambda: f"www.{w()}{w()}.at/{w()}/{w()}-{w()}-{w()}-a{rnd.randint(100000, 999999)}.html", lambda: w() + w() + w() + w()]
+    flagged = [any(k == 3 for *_, k in S.scan([f"siehe {shape()} im text"], net)[0]) for shape in shapes for _ in range(150)]
+    assert sum(flagged) < 0.02 * len(flagged)
+
+
+def test_unseen_secret_formats_are_found():
+    rnd, net = random.Random(98), S.trained()
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for chars, n, prefix in ((letters, 40, ""), (letters + digits, 27, "dckr_pat_"), (letters, 34, "hf_"), (letters + digits + "+/", 86, "")):
+        keys = [prefix + "".join(rnd.choice(chars) for _ in range(n)) for _ in range(100)]
+        assert sum(any(k == 3 for *_, k in S.scan([f"wir nutzen {x} dafür"], net)[0]) for x in keys) >= 90
