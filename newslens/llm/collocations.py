@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,9 +50,17 @@ def words(plain: bytes) -> list[bytes]:
     return plain.replace(_BREAK, b" . ").split()
 
 
-def slices(plain: bytes, limit: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(context, words) of consecutive slices of a text, cut between words; the first ``context`` words of each belong
-    to the slice before (phrases that end in them have been counted)."""
+def numbered(plain: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """(number of every word in order, the distinct words): ``words`` by Arrow."""
+    text = pa.array([plain.replace(_BREAK, b" . ")], pa.binary()).cast(pa.string())
+    coded = pc.ascii_split_whitespace(text).flatten().dictionary_encode()
+    ids, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    return (ids[ids != names.index(b"")] if b"" in names else ids), names
+
+
+def slices(plain: bytes, limit: int) -> Iterator[tuple[int, bytes]]:
+    """(context, part) of consecutive parts of a text, cut between words; the first ``context`` words of each belong to
+    the part before (phrases that end in them have been counted)."""
     a, before = 0, []
     while a < len(plain):
         b = len(plain)
@@ -60,9 +69,9 @@ def slices(plain: bytes, limit: int) -> Iterator[tuple[int, list[bytes]]]:
             if cut < a:  # a word longer than the slice: to its end
                 cut = min((p for p in (plain.find(b" ", a + limit), plain.find(_BREAK, a + limit)) if p >= 0), default=b - 1)
             b = cut + 1
-        own = words(plain[a:b])
-        yield len(before), before + own
-        before, a = (before + own)[1 - LONGEST:], b
+        own = plain[a:b]
+        yield len(before), b" ".join([*before, own])
+        before, a = (before + words(own))[1 - LONGEST:], b
 
 
 class Words(dict):
@@ -130,19 +139,16 @@ def count_hashes(lang: bytes, words_: np.ndarray, context: int, lengths: range,
             past = done & there & old.holds(h) if old is not None else None
 
 
-def count_exactly(lang: bytes, tokens: list[bytes], words_: np.ndarray, context: int, longest: int,
+def count_exactly(lang: bytes, ids: np.ndarray, names: list[bytes], words_: np.ndarray, context: int, longest: int,
                   wanted: Bitmap) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """(k, phrases, counts) of the phrases whose hash is wanted, as are those of their parts from the start; told apart
     by their words."""
-    names = list(set(tokens))
-    number = {w: i + 1 for i, w in enumerate(names)}
-    ids = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
     at, phrases = np.zeros(len(ids), np.int64), [b""]  # number of the phrase that starts at a token (0: none)
     for k, h, there in phrase_hashes(lang, words_, longest):
         at = at[:len(h)]
         some = np.flatnonzero(there & wanted.holds(h) & ((at > 0) | (k == 1)))
-        pair, uniq = pd.factorize(at[some] * (len(names) + 1) + ids[some + k - 1])
-        first, last = uniq // (len(names) + 1), uniq % (len(names) + 1) - 1
+        pair, uniq = pd.factorize(at[some] * len(names) + ids[some + k - 1])
+        first, last = uniq // len(names), uniq % len(names)
         phrases = [b"", *(names[v] if k == 1 else phrases[u] + b" " + names[v] for u, v in zip(first.tolist(), last.tolist()))]
         at = np.zeros(len(h), np.int64)
         at[some] = pair + 1
@@ -152,23 +158,25 @@ def count_exactly(lang: bytes, tokens: list[bytes], words_: np.ndarray, context:
 
 
 def _map_texts(docs: DataFrame, fn, schema: str, chunk: int) -> DataFrame:
-    """``fn(lang, context, tokens, words)`` on chunks of the texts of rows (lang, text); a chunk is of one language."""
+    """``fn(lang, context, ids, names, words)`` on chunks of the texts of rows (lang, text): the words by number, the names
+    of the numbers, and the words' hashes. A chunk is of one language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, cache = {}, 0, Words()
 
-        def hashed(lang, context, tokens):
-            return fn(lang, context, tokens, np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens)))
+        def hashed(lang, context, plain):
+            ids, names = numbered(plain)
+            return fn(lang, context, ids, names, np.fromiter(map(cache.__getitem__, names), np.uint64, len(names))[ids])
 
         def flush():
             for lang, texts in held.items():
-                yield from hashed(lang, 0, words(_BREAK.join(texts)))
+                yield from hashed(lang, 0, _BREAK.join(texts))
 
         for b in batches:
             for lang, text in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 plain = text.translate(_PLAIN)
                 if len(plain) > chunk:
-                    for context, tokens in slices(plain, chunk):
-                        yield from hashed(lang, context, tokens)
+                    for context, part in slices(plain, chunk):
+                        yield from hashed(lang, context, part)
                     continue
                 held.setdefault(lang, []).append(plain)
                 size += len(plain)
@@ -185,7 +193,7 @@ def hash_counts(docs: DataFrame, least: int, lengths: range, new: Bitmap | None
     """(h, f): ``count_hashes`` over the rows (lang, text), of the phrases that occur ``least`` times."""
     shared = docs.sparkSession.sparkContext.broadcast((new, old))
 
-    def fn(lang, context, tokens, words_):
+    def fn(lang, context, ids, names, words_):
         for h, n in count_hashes(lang, words_, context, lengths, *shared.value):
             if len(h):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "f"])
@@ -206,9 +214,9 @@ def phrase_counts(docs: DataFrame, least: int, wanted: Bitmap, longest: int = LO
     every language the empty phrase (k = 0) with the number of all words."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
-    def fn(lang, context, tokens, words_):
+    def fn(lang, context, ids, names, words_):
         total = int(np.count_nonzero(words_[context:]))
-        for k, phrases, n in [(0, [b""], np.array([total])), *count_exactly(lang, tokens, words_, context, longest, shared.value)]:
+        for k, phrases, n in [(0, [b""], np.array([total])), *count_exactly(lang, ids, names, words_, context, longest, shared.value)]:
             if n.sum():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
