@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslens.plans import daily_run, dashboard, enrichment, texts
+from newslens.plans import daily_run, dashboard, density, enrichment, texts
 
-_MODULES = (dashboard, texts, enrichment, daily_run)
+_MODULES = (dashboard, texts, enrichment, daily_run, density)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

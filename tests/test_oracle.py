@@ -36,10 +36,10 @@ def con():
 def test_every_query_is_registered_with_an_oracle_or_is_iterative():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    # Rows-only: seeded k-means clustering is iterative, not a SQL query. The corpus operators
+    # Rows-only: seeded k-means and density topics are iterative, not SQL queries. The corpus operators
     # (op<N>_*, pipeline) have brute-force tests of their own.
     rest = {q for q in set(qs) - set(sql) if not (q == "pipeline" or q.startswith("op"))}
-    assert rest == {"topic_clusters", "document_enrichment"}
+    assert rest == {"topic_clusters", "document_enrichment", "topic_density"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith("op")))
