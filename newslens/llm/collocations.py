@@ -2,14 +2,14 @@
 
 A sample of the documents proposes phrases, level by level and at a lowered support. One full pass then counts every phrase
 whose two parts without the last and without the first word are proposed: that is the proposals together with their
-negative border. If a phrase that was not proposed turns out frequent, its extensions may be frequent too, so the missed
-phrases join the proposals and a further pass counts what this adds, until nothing is missed. Every pass settles the
-phrases of one more length, so there are at most four.
-
-These passes count phrases by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
-frequent. A last pass counts what looks frequent by the phrases themselves, which makes all counts exact. Sets of
-phrases reach the tasks as a bitmap of hashes of bounded size; a phrase that is in it by chance is counted as well, which
-costs time and changes no result.
+negative border. It counts by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
+frequent. If a phrase that was not proposed looks frequent, its extensions may be frequent too, so the missed phrases join
+the proposals. The next pass counts what looks frequent, and what the missed phrases add, by the phrases themselves, which
+makes all counts exact; further passes count what phrases missed there add, until nothing is missed. Every pass settles
+the phrases of one more length, so there are few.
+
+Sets of phrases reach the tasks as a bitmap of hashes of bounded size; a phrase that is in it by chance is counted as well,
+which costs time and changes no result.
 """
 
 from __future__ import annotations
@@ -95,9 +95,13 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def bitmap(phrases: DataFrame, most: int = MOST_BITS) -> Bitmap:
+def bitmap_size(phrases: DataFrame, most: int = MOST_BITS) -> int:
+    """Bits for a set of as many phrases, ``most`` at most."""
+    return min(most, max(1 << 15, 1 << (BITS_EACH * phrases.count()).bit_length()))
+
+
+def bitmap(phrases: DataFrame, size: int) -> Bitmap:
     """The bitmap of the rows (h), built by the executors in blocks of 2^15 bits."""
-    size = min(most, max(1 << 15, 1 << (BITS_EACH * phrases.count()).bit_length()))
     at = F.col("h").bitwiseAND(F.lit(size - 1))
     blocks = phrases.select(at.alias("p")).groupBy(F.shiftright("p", 15).alias("block")) \
         .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
@@ -140,21 +144,31 @@ def count_hashes(lang: bytes, words_: np.ndarray, context: int, lengths: range,
 
 
 def count_exactly(lang: bytes, ids: np.ndarray, names: list[bytes], words_: np.ndarray, context: int, longest: int,
-                  wanted: Bitmap) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(k, phrases, counts) of the phrases whose hash is wanted, as are those of their parts from the start; told apart
-    by their words."""
+                  frequent: Bitmap, new: Bitmap | None, old: Bitmap | None,
+                  added: bool) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """(k, phrases, hashes, counts), told apart by their words, of the phrases that look frequent and of those that ``new``
+    adds: whose two parts one word shorter are both in ``new``, and not both in ``old``. Of the latter alone if only the
+    ``added`` ones are asked for. A phrase whose beginning is neither cannot be frequent and is left out."""
     at, phrases = np.zeros(len(ids), np.int64), [b""]  # number of the phrase that starts at a token (0: none)
+    known = past = None
     for k, h, there in phrase_hashes(lang, words_, longest):
+        fresh = np.zeros(len(h), bool)
+        if new is not None:
+            go, done = (there, there) if k == 1 else (known[:-1] & known[1:], past[:-1] & past[1:])
+            fresh = go & ~done
+            known, past = go & new.holds(h), done & old.holds(h)
         at = at[:len(h)]
-        some = np.flatnonzero(there & wanted.holds(h) & ((at > 0) | (k == 1)))
+        some = np.flatnonzero((fresh | (there & frequent.holds(h))) & ((at > 0) | (k == 1)))
         pair, uniq = pd.factorize(at[some] * len(names) + ids[some + k - 1])
         first, last = uniq // len(names), uniq % len(names)
         phrases = [b"", *(names[v] if k == 1 else phrases[u] + b" " + names[v] for u, v in zip(first.tolist(), last.tolist()))]
         at = np.zeros(len(h), np.int64)
         at[some] = pair + 1
-        n = np.bincount(pair[some + k > context], minlength=len(phrases) - 1)
-        there_ = np.flatnonzero(n)
-        yield k, [phrases[i + 1] for i in there_.tolist()], n[there_]
+        n = np.bincount(pair[(some + k > context) & (fresh[some] | (not added))], minlength=len(uniq))
+        hashes = np.zeros(len(uniq), np.uint64)
+        hashes[pair] = h[some]
+        counted = np.flatnonzero(n)
+        yield k, [phrases[i + 1] for i in counted.tolist()], hashes[counted], n[counted]
 
 
 def _map_texts(docs: DataFrame, fn, schema: str, chunk: int) -> DataFrame:
@@ -209,22 +223,25 @@ def _written(df: DataFrame, shared: Broadcast) -> DataFrame:
     return df
 
 
-def phrase_counts(docs: DataFrame, least: int, wanted: Bitmap, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """(lang, phrase, k, f): ``count_exactly`` over the rows (lang, text), of the phrases that occur ``least`` times, and for
-    every language the empty phrase (k = 0) with the number of all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def phrase_counts(docs: DataFrame, least: int, frequent: Bitmap, new: Bitmap | None = None, old: Bitmap | None = None,
+                  added: bool = False, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, k, h, f): ``count_exactly`` over the rows (lang, text), of the phrases that occur ``least`` times; unless
+    only ``added`` ones are asked for, also the empty phrase (k = 0) of every language with the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, new, old))
 
     def fn(lang, context, ids, names, words_):
-        total = int(np.count_nonzero(words_[context:]))
-        for k, phrases, n in [(0, [b""], np.array([total])), *count_exactly(lang, ids, names, words_, context, longest, shared.value)]:
+        rows = count_exactly(lang, ids, names, words_, context, longest, *shared.value, added)
+        if not added:
+            rows = [(0, [b""], np.zeros(1, np.uint64), np.array([np.count_nonzero(words_[context:])])), *rows]
+        for k, phrases, h, n in rows:
             if n.sum():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), k, np.int32)),
-                     pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "f"])
+                     pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "h", "f"])
 
-    counts = _map_texts(docs, fn, "lang string, phrase string, k int, f long", chunk) \
-        .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    counts = _map_texts(docs, fn, "lang string, phrase string, k int, h long, f long", chunk) \
+        .groupBy("lang", "phrase", "k", "h").agg(F.sum("f").alias("f"))
     return _written(counts.where((F.col("f") >= least) | (F.col("k") == 0)), shared)
 
 
@@ -242,7 +259,7 @@ def propose(sample: DataFrame, least: int, longest: int = LONGEST, bits: int = M
     """(h): hashes of phrases of up to ``longest - 1`` words with ``least`` occurrences in the sample, level by level."""
     found = None
     for k in range(1, longest):
-        seen = bitmap(found, bits) if found is not None else None
+        seen = bitmap(found, bitmap_size(found, bits)) if found is not None else None
         level = hash_counts(sample, least, range(k, k + 1), seen, None, chunk).select("h")
         found = level if found is None else found.unionByName(level)
     return found
@@ -256,18 +273,21 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         raise ValueError("phrases have 2 to 4 words at most")
     sample = docs.where(F.pmod(F.xxhash64(key, F.lit(13)), F.lit(part)) == 0)
     proposed = propose(_texts(sample, lang, text), lowered(support, part), longest, bits, chunk)
-    docs = _texts(docs, lang, text)
-    old, new, found = None, bitmap(proposed, bits), None
-    while True:
-        counts = hash_counts(docs, support, range(1, longest + 1), new, old, chunk).select("h")
+    docs, size = _texts(docs, lang, text), bitmap_size(proposed, bits)  # of one size, a larger set's bitmap holds a smaller's
+    new = bitmap(proposed, size)
+    seen = hash_counts(docs, support, range(1, longest + 1), new, None, chunk)
+    frequent = bitmap(seen, bitmap_size(seen, bits))
+    missed = cut_lineage(seen.where(F.col("h").bitwiseAND(F.lit(3)) < longest - 1).select("h").join(proposed, "h", "left_anti"))
+    found = None
+    while found is None or not missed.isEmpty():
+        proposed, old = proposed.unionByName(missed), new
+        new = bitmap(proposed, size)
+        counts = phrase_counts(docs, support, frequent, new, old, found is not None, longest, chunk)
         found = counts if found is None else found.unionByName(counts)
-        missed = found.where(F.col("h").bitwiseAND(F.lit(3)) < longest - 1)  # the longest have no extensions
+        frequent = bitmap(found.select("h"), bitmap_size(found, bits))
+        missed = counts.where((F.col("k") > 0) & (F.col("k") < longest)).select("h").distinct()
         missed = cut_lineage(missed.join(proposed, "h", "left_anti"))
-        if missed.isEmpty():
-            break
-        proposed = proposed.unionByName(missed)
-        old, new = new, bitmap(proposed, bits)
-    return phrase_counts(docs, support, bitmap(found, bits), longest, chunk)
+    return found.select("lang", "phrase", "k", "f")
 
 
 def _exact(c: str | Column) -> Column:
