@@ -110,6 +110,38 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
                       (F.rint(F.col("score") * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)).alias("score"))
 
 
+def topic_probabilities(df: DataFrame, terms: DataFrame, key: str, tokens_col: str = "tokens", window: int = 4,
+                        digits: int = 6) -> DataFrame:
+    """(key, topic, probability): how a document's tokens spread over the topics of ``terms`` (topic, term, score).
+
+    Every window of ``window`` tokens (the whole document, if it is shorter) is compared with every topic by the cosine of
+    its term counts and the topic's scores; a window's cosine goes to each of its tokens, and a document's sums are
+    normalised to one. A cosine is a sum over the window's tokens, so a token adds its score, over the topic's norm,
+    times one factor that no topic changes: the sum of size / norm of the windows around it. Those factors are added up
+    per document and term before the terms are joined. A document without a topic's term, without tokens or key has no
+    row. Scores are not negative.
+    """
+    t, n = F.col(tokens_col), F.size(tokens_col)
+    width = F.least(n, F.lit(window))
+    norms = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.sqrt(F.aggregate(
+        F.slice(t, i, width), F.lit(0), lambda a, x: a + F.size(F.filter(F.slice(t, i, width), lambda y: y == x)))))
+    tokens = df.where(F.col(key).isNotNull() & (n > 0)).select(F.col(key), t.alias("_t"), width.alias("_w"), norms.alias("_n"))
+
+    def factor(p):  # of the token at position p, from 0
+        first = F.greatest(p - F.col("_w") + 2, F.lit(1))
+        last = F.least(p + 1, F.size("_n"))
+        return F.aggregate(F.slice("_n", first, last - first + 1), F.lit(0.0), lambda a, z: a + F.col("_w") / z)
+
+    spread_ = tokens.select(key, F.explode(F.transform("_t", lambda x, p: F.struct(x.alias("term"), factor(p).alias("f")))).alias("x"))
+    parts = spread_.groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.f").alias("_f"))
+    norm = terms.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_norm"))
+    weights = terms.join(norm, "topic").where("_norm > 0").select("topic", "term", (F.col("score") / F.col("_norm")).alias("_s"))
+    sums = parts.join(weights, "term").groupBy(key, "topic").agg(F.sum(F.col("_f") * F.col("_s")).alias("_p"))
+    total = sums.groupBy(key).agg(F.sum("_p").alias("_all")).where("_all > 0")
+    share = F.col("_p") / F.col("_all")
+    return sums.join(total, key).select(key, "topic", (F.rint(share * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)).alias("probability"))
+
+
 def topic_info(df: DataFrame, class_col: str, tokens_col: str = "tokens",
                top_n: int = fixed.TOP_TOPIC_WORDS) -> DataFrame:
     """One row per topic: number of documents and the representation (top terms by rank)."""

@@ -66,6 +66,15 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.class_tfidf(document_tokens_df(spark, sf_dir), "source")
 
 
+def topic_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = document_tokens_df(spark, sf_dir)
+    return topics.topic_probabilities(d, topics.class_tfidf(d, "source", top_n=PROBABILITY_TERMS), "doc_id")
+
+
+#: Terms that stand for a topic in the probabilities.
+PROBABILITY_TERMS = 100
+
+
 def topic_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.topic_info(document_tokens_df(spark, sf_dir), "source")
 
@@ -174,6 +183,7 @@ SPARK = {
     "document_sentiment": document_sentiment,
     "topic_terms": topic_terms,
     "topic_info": topic_info,
+    "topic_probabilities": topic_probabilities,
     "topic_labels": topic_labels,
     "topic_clusters": topic_clusters,
     "source_entities": source_entities,
@@ -267,6 +277,16 @@ FROM s""",
     "topic_terms": f"""{_TERMS}
 SELECT topic, rank, term, score FROM top""",
 
+    "topic_probabilities": f"""{_TERMS.replace(f'<= {fixed.TOP_TOPIC_WORDS}', f'<= {PROBABILITY_TERMS}')},
+unit AS (SELECT topic, term, score / sqrt(sum(score * score) OVER (PARTITION BY topic)) AS s FROM top),
+doc AS (SELECT doc_id, t, least(len(t), 4) AS w FROM tok WHERE len(t) > 0 AND doc_id IS NOT NULL),
+normed AS (SELECT doc_id, t, w, list_transform(range(1, len(t) - w + 2), lambda i: sqrt(list_sum(list_transform(
+  t[i:i + w - 1], lambda x: len(list_filter(t[i:i + w - 1], lambda y: y = x)))))) AS n FROM doc),
+tokens AS (SELECT doc_id, t, w, n, unnest(range(1, len(t) + 1)) AS p FROM normed),
+factors AS (SELECT doc_id, t[p] AS term, list_sum(list_transform(n[greatest(p - w + 1, 1):least(p, len(n))], lambda z: w / z)) AS f FROM tokens),
+sums AS (SELECT doc_id, topic, sum(f * s) AS p FROM factors JOIN unit USING (term) GROUP BY ALL)
+SELECT doc_id, topic, round_even(p / sum(p) OVER (PARTITION BY doc_id), 6) AS probability FROM sums""",
+
     "topic_info": f"""{_TERMS},
 rep AS (SELECT topic, string_agg(term, ' ' ORDER BY rank) AS representation FROM top GROUP BY topic),
 sizes AS (SELECT source AS topic, count(*) AS n_docs FROM documents GROUP BY source)
