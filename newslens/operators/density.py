@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.operators.graph import components, spanning_forest
+from newslens.operators.graph import components, iterative, spanning_forest
 from newslens.session import cut_lineage
 
 #: Projection tables, the points that a bucket holds on average, and the further bits that fuller buckets are split by.
@@ -175,6 +175,7 @@ def radius_pairs(points: DataFrame, radius: float, pivots: int = PIVOTS) -> Data
     return both.repartition("cell", "g").sortWithinPartitions("cell", "g", "visits").mapInArrow(meet, "id long, other long, d double")
 
 
+@iterative
 def core_clusters(df: DataFrame, radius: float, min_points: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_near, cluster) for every row with a key and a finite vector: how many other rows lie within ``radius``, and
     for core rows (``min_points`` with itself) the smallest key of the core rows that are connected over such steps; -1
@@ -201,6 +202,7 @@ def mutual_reachability(neighbours: DataFrame, min_points: int) -> DataFrame:
         .agg(F.min(F.greatest("d", "core", "core2")).alias("w"))
 
 
+@iterative
 def stable_clusters(forest: DataFrame, min_size: int, levels: int = LEVELS) -> DataFrame:
     """(node, cluster, level): the nodes of the most stable clusters of a weighted forest (a, b, w).
 
@@ -253,6 +255,7 @@ def stable_clusters(forest: DataFrame, min_size: int, levels: int = LEVELS) -> D
         .agg(F.max(F.struct("top", "cluster")).alias("m")).select("node", F.col("m.cluster").alias("cluster"), F.col("m.top").alias("level"))
 
 
+@iterative
 def density_topics(df: DataFrame, key: str = "vec_id", vector: str = "embedding", min_size: int = 10, min_points: int = 5,
                    neighbours: int = 15, levels: int = LEVELS) -> DataFrame:
     """(key, topic) for every row with a key: the smallest key of the row's dense cluster, or -1 for outliers and rows

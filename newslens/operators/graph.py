@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.session import cut_lineage
 
+_INFER = "spark.sql.constraintPropagation.enabled"
+
+
+def iterative(fn: Callable) -> Callable:
+    """``fn(df, ...)`` without inferred constraints while it runs. A checkpoint keeps what was inferred about its columns;
+    over many rounds of joins on renamed columns that grows until planning takes longer than running."""
+    @wraps(fn)
+    def run(df: DataFrame, *args, **kwargs):
+        conf = df.sparkSession.conf
+        before = conf.get(_INFER)
+        conf.set(_INFER, "false")
+        try:
+            return fn(df, *args, **kwargs)
+        finally:
+            conf.set(_INFER, before)
+
+    return run
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *edges.columns[2:]))
@@ -32,6 +53,7 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(low, "u")
 
 
+@iterative
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): ``root`` is the smallest node that is reachable.
 
@@ -61,6 +83,7 @@ def _renamed(df: DataFrame, moves: DataFrame, column: str) -> DataFrame:
     return df.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).select(*df.columns)
 
 
+@iterative
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """The edges (a, b, w) of a minimum spanning forest, by Borůvka's rounds; of equal weights the smaller ends win.
 
