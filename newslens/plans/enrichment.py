@@ -82,9 +82,9 @@ def article_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = article_view(spark, sf_dir)
     pairs = ent.related_topics(ent.top_entities(ent.topic_entity_counts(v, refs, names)))
     a = ent.attach_related(v.select("article_id", "topic"), pairs)
+    closest = F.get("related_topics", 0)  # NULL for a topic without related ones, where [0] is an error
     return a.select("article_id", "topic", F.size("related_topics").alias("n_related"),
-                    F.col("related_topics")[0]["topic"].alias("closest_topic"),
-                    F.col("related_topics")[0]["overlap"].alias("closest_overlap"))
+                    closest["topic"].alias("closest_topic"), closest["overlap"].alias("closest_overlap"))
 
 
 def headline_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operator semantics on hand-made article rows."""
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from newslens.operators import coverage as cov
@@ -7,6 +9,7 @@ from newslens.operators import entities as ent
 from newslens.operators import enrich, topics
 from newslens.operators.cleaning import clean_articles
 from newslens.operators.dedupe import keep_first, merge_history, only_new
+from newslens.plans.enrichment import article_related
 
 COLS = "article_id long, url string, topic string, source string, pol_leaning string, sentiment string, datetime string"
 
@@ -337,3 +340,17 @@ def test_enrichment_of_an_empty_batch(spark):
     out = enrich_articles(drop_null_text(clean_content(d, "content"), "content"), key="doc_id", k_topics=4)
     assert out.count() == 0
     assert {"topic_nr", "topic", "entities", "entity_counts", "related_topics", "processed_content"} <= set(out.columns)
+
+
+def test_articles_of_a_topic_without_related_ones(spark, tmpdir_run):
+    """Customers 1 and 2 (T01) share a part with customer 9 (T03); nobody shares the one of customer 100 (T10)."""
+    rows = {"nation": ("n_nationkey int, n_name string", [(0, "A")]),
+            "customer": ("c_custkey long, c_nationkey int", [(1, 0), (2, 0), (9, 0), (100, 0)]),
+            "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date",
+                       [(k, c, "F", date(1995, 1, 1)) for k, c in ((1, 1), (2, 2), (3, 9), (4, 100))]),
+            "lineitem": ("l_orderkey long, l_partkey long", [(1, 7), (2, 7), (3, 7), (4, 8)]),
+            "part": ("p_partkey long, p_name string, p_brand string", [(7, "x", "b"), (8, "y", "b")])}
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmpdir_run}/{name}.parquet")
+    got = sorted(tuple(r) for r in article_related(spark, tmpdir_run).collect())
+    assert got == [(1, "T01", 1, "T03", 1), (2, "T01", 1, "T03", 1), (3, "T03", 1, "T01", 1), (4, "T10", 0, None, None)]
