@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslens.operators.graph import components, iterative, spanning_forest
+from newslens.operators.graph import components, cut_round, iterative, spanning_forest
 from newslens.session import cut_lineage
 
 #: Projection tables, the points that a bucket holds on average, and the further bits that fuller buckets are split by.
@@ -94,7 +94,7 @@ def near_neighbours(points: DataFrame, k: int, tables: int = TABLES, bucket: int
     while True:
         rows = rows.withColumn("c", F.shiftright("code", bits + MORE_BITS - used))
         sizes = rows.groupBy("t", "c").agg(F.count("*").alias("size"))
-        rows = cut_lineage(rows.join(sizes, ["t", "c"]))
+        rows = cut_round(rows.join(sizes, ["t", "c"]))
         done = (F.col("size") <= most) | F.lit(used == bits + MORE_BITS)
         salt = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("size") / most))
         out.append(rows.where(done & (F.col("size") > 1)).select("t", F.lit(used).alias("u"), "c", salt.alias("s"), "id"))
@@ -181,10 +181,10 @@ def core_clusters(df: DataFrame, radius: float, min_points: int, key: str = "vec
     for core rows (``min_points`` with itself) the smallest key of the core rows that are connected over such steps; -1
     for all others. Keys are taken to be unique, and vectors to be of one length."""
     points = cut_lineage(_points(df, key, vector))
-    pairs = cut_lineage(radius_pairs(points, radius).select("id", "other"))
+    pairs = cut_round(radius_pairs(points, radius).select("id", "other"))
     near = points.select("id").join(pairs.groupBy("id").agg(F.count("*").alias("n_near")), "id", "left") \
         .withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    near = cut_lineage(near.withColumn("core", F.col("n_near") + 1 >= min_points))
+    near = cut_round(near.withColumn("core", F.col("n_near") + 1 >= min_points))
     core = near.where("core").select("id")
     steps = pairs.where("id < other").join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
     roots = components(steps.select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -225,8 +225,8 @@ def stable_clusters(forest: DataFrame, min_size: int, levels: int = LEVELS) -> D
     edges = forest.select("a", "b", "w", at).where(F.col("w") <= F.element_at(F.array(*map(F.lit, cuts)), F.col("level") + 1))
     # ids become dense enough by pairing: a struct (level, node) orders by level, then node
     part = components(edges.select(F.struct("level", F.col("a").alias("n")).alias("a"), F.struct("level", F.col("b").alias("n")).alias("b")))
-    member = cut_lineage(part.select(F.col("node.level").alias("level"), F.col("node.n").alias("node"), F.col("root.n").alias("comp")))
-    sizes = cut_lineage(member.groupBy("level", "comp").agg(F.count("*").alias("size")).where(F.col("size") >= min_size))
+    member = cut_round(part.select(F.col("node.level").alias("level"), F.col("node.n").alias("node"), F.col("root.n").alias("comp")))
+    sizes = cut_round(member.groupBy("level", "comp").agg(F.count("*").alias("size")).where(F.col("size") >= min_size))
     inverse = [1 / c if c else 2 / cuts[1] if n > 1 else 0.0 for c in cuts]
     state, chains = None, []
     for i in range(n):
@@ -245,7 +245,7 @@ def stable_clusters(forest: DataFrame, min_size: int, levels: int = LEVELS) -> D
                 "comp", "size", F.when(one, F.col("chain")).otherwise(F.struct(F.lit(i).alias("level"), F.col("comp").alias("of"))).alias("chain"),
                 (F.when(one, F.col("own")).otherwise(0.0) + gain).alias("own"),
                 F.when(one, F.col("inner")).otherwise(F.coalesce("best", F.lit(0.0))).alias("inner"))
-        state = cut_lineage(now)
+        state = cut_round(now)
         chains.append(state.select(F.lit(i).alias("level"), "comp", "chain", "own", "inner"))
     every = reduce(DataFrame.unionByName, chains)
     last = every.groupBy("chain").agg(F.max(F.struct("level", "own", "inner", "comp")).alias("z"))
@@ -261,8 +261,8 @@ def density_topics(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     """(key, topic) for every row with a key: the smallest key of the row's dense cluster, or -1 for outliers and rows
     without a finite vector. Keys are taken to be unique, and vectors to be of one length. No rows: no rows."""
     points = cut_lineage(_points(df, key, vector))
-    near = cut_lineage(near_neighbours(points, max(neighbours, min_points)))
-    forest = cut_lineage(spanning_forest(cut_lineage(mutual_reachability(near, min_points))))
+    near = cut_round(near_neighbours(points, max(neighbours, min_points)))
+    forest = cut_round(spanning_forest(cut_round(mutual_reachability(near, min_points))))
     found = stable_clusters(forest, min_size, levels)
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"))
     return keys.join(found, "node", "left").select(F.col("node").alias(key), F.coalesce("cluster", F.lit(OUTLIER)).cast("long").alias("topic"))

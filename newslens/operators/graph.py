@@ -29,6 +29,21 @@ def iterative(fn: Callable) -> Callable:
     return run
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """`cut_lineage` for rounds: the checkpoint also carries the measured size of its rows.
+
+    A plain checkpoint keeps the size that was guessed for its plan, and a join's guess is the product of its sides'. Over
+    rounds of joins the guess is squared again and again, until planning multiplies numbers of millions of digits. Rows
+    that were cached once have a true size; the cache is given back as soon as they are written.
+    """
+    held = df.persist()
+    try:
+        held.count()
+        return cut_lineage(held.select("*"))
+    finally:
+        held.unpersist()
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *edges.columns[2:]))
 
@@ -40,7 +55,7 @@ def _jump(parents: DataFrame) -> DataFrame:
         for _ in range(2):
             on = at.select(F.col("node").alias("root"), F.col("root").alias("next"))
             at = at.join(on, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        at = cut_lineage(at)
+        at = cut_round(at)
         if at.where("moved").isEmpty():
             return at.select("node", "root")
         at = at.select("node", "root")
@@ -61,7 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
     ones and itself. Paths shorten until every node is linked to its root alone. NULL ends and loops are left out. Ends
     may be of any type that orders.
     """
-    edges = cut_lineage(edges.where("a <> b").select("a", "b"))
+    edges = cut_round(edges.where("a <> b").select("a", "b"))
     before = None
     while True:
         large = _smallest(_both_ways(edges.select("a", "b")).select(F.col("a").alias("u"), F.col("b").alias("v"))) \
@@ -69,7 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = _smallest(large)
         edges = small.select(F.col("v").alias("a"), F.col("low").alias("b")) \
             .union(small.select(F.col("u").alias("a"), F.col("low").alias("b"))).where("a <> b").distinct()
-        edges = cut_lineage(edges)
+        edges = cut_round(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -92,19 +107,19 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     """
     weight = F.struct("w", "a", "b")
     known = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("w").alias("w"))
-    left = cut_lineage(known.select(F.col("a").alias("x"), F.col("b").alias("y"), weight.alias("e")))
+    left = cut_round(known.select(F.col("a").alias("x"), F.col("b").alias("y"), weight.alias("e")))
     taken = []
     while not left.isEmpty():
         ends = left.select("x", "y", "e").union(left.select(F.col("y").alias("x"), F.col("x").alias("y"), "e"))
-        best = cut_lineage(ends.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", "m.y", "m.e"))
+        best = cut_round(ends.groupBy("x").agg(F.min(F.struct("e", "y")).alias("m")).select("x", "m.y", "m.e"))
         taken.append(best.select("e.*").distinct())
         # edges are totally ordered, so only two components can take the same edge: the smaller of them is the root
         back = best.select(F.col("x").alias("y"), F.col("y").alias("z"))
         hooks = best.join(back, "y", "left").select(F.col("x").alias("node"), F.when(
             (F.col("z") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("parent"))
-        moves = _jump(cut_lineage(hooks))
+        moves = _jump(cut_round(hooks))
         left = _renamed(_renamed(left, moves, "x"), moves, "y").where("x <> y")
-        left = cut_lineage(left.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")))
+        left = cut_round(left.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")))
     forest = edges.select("a", "b", "w").limit(0)
     for t in taken:
         forest = forest.unionByName(t.select("a", "b", "w"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from newslens.operators import density as D
-from newslens.operators.graph import components, spanning_forest
+from newslens.operators.graph import components, cut_round, spanning_forest
 
 
 class _Union(dict):
@@ -42,6 +42,15 @@ def test_components_and_forest(spark, n, m):
     assert sorted(map(tuple, spanning_forest(df).collect())) == sorted(want)
 
 
+def test_rounds_of_joins_keep_a_measured_size(spark):
+    """Guessed sizes of joins multiply: after these rounds they would have hundreds of digits."""
+    df = cut_round(spark.range(50).withColumnRenamed("id", "a"))
+    for _ in range(4):
+        df = cut_round(df.join(df.select("a"), "a").join(df.select("a"), "a"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 10_000 and df.count() == 50
+
+
 def test_pairs_within_a_radius(spark, monkeypatch):
     monkeypatch.setattr(D, "CELL", 50)
     rnd = np.random.default_rng(2)
