@@ -120,6 +120,9 @@ def topic_probabilities(df: DataFrame, terms: DataFrame, key: str, tokens_col: s
     times one factor that no topic changes: the sum of size / norm of the windows around it. Those factors are added up
     per document and term before the terms are joined. A document without a topic's term, without tokens or key has no
     row. Scores are not negative.
+
+    The terms are few beside the tokens: they are written to the checkpoint folder once, tokens that are no topic's term are
+    left out before anything is added up, and both joins broadcast the terms if their measured size is small.
     """
     t, n = F.col(tokens_col), F.size(tokens_col)
     width = F.least(n, F.lit(window))
@@ -133,10 +136,12 @@ def topic_probabilities(df: DataFrame, terms: DataFrame, key: str, tokens_col: s
         return F.aggregate(F.slice("_n", first, last - first + 1), F.lit(0.0), lambda a, z: a + F.col("_w") / z)
 
     spread_ = tokens.select(key, F.explode(F.transform("_t", lambda x, p: F.struct(x.alias("term"), factor(p).alias("f")))).alias("x"))
-    parts = spread_.groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.f").alias("_f"))
+    terms = cut_lineage(terms.select("topic", "term", "score"))
     norm = terms.groupBy("topic").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("_norm"))
-    weights = terms.join(norm, "topic").where("_norm > 0").select("topic", "term", (F.col("score") / F.col("_norm")).alias("_s"))
-    sums = parts.join(weights, "term").groupBy(key, "topic").agg(F.sum(F.col("_f") * F.col("_s")).alias("_p"))
+    weights = cut_lineage(terms.join(norm, "topic").where("_norm > 0").select("topic", "term", (F.col("score") / F.col("_norm")).alias("_s")))
+    known = lookup_join(spread_.select(key, "x.term", "x.f"), weights.select("term").distinct(), "term", "left_semi")
+    parts = known.groupBy(key, "term").agg(F.sum("f").alias("_f"))
+    sums = lookup_join(parts, weights, "term", "inner").groupBy(key, "topic").agg(F.sum(F.col("_f") * F.col("_s")).alias("_p"))
     total = sums.groupBy(key).agg(F.sum("_p").alias("_all")).where("_all > 0")
     share = F.col("_p") / F.col("_all")
     return sums.join(total, key).select(key, "topic", (F.rint(share * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)).alias("probability"))

@@ -41,3 +41,14 @@ def test_against_all_windows(spark):
         assert got.keys() == {k for k, p in want.items() if round(p, 6)} and len(want) > 80
         assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
     assert topic_probabilities(df.limit(0), table, "doc_id").collect() == []
+
+
+def test_the_terms_are_broadcast_and_not_the_documents(spark, tmpdir_run):
+    """A small file holds many tokens once they are counted by document and term."""
+    spark.createDataFrame([(i, ["w1", "w2", f"x{i}"], "x") for i in range(50)], "doc_id long, tokens array<string>, f string") \
+        .write.parquet(f"{tmpdir_run}/docs")
+    table = spark.createDataFrame([("a", "w1", 1.0), ("b", "w2", 1.0)], "topic string, term string, score double")
+    out = topic_probabilities(spark.read.parquet(f"{tmpdir_run}/docs"), table, "doc_id")
+    joins = [j for j in out._jdf.queryExecution().executedPlan().toString().split("\n") if "HashJoin" in j and "term" in j]
+    assert len(joins) >= 2 and all("BuildRight" in j for j in joins)
+    assert {tuple(r) for r in out.collect()} == {(i, t, 0.5) for i in range(50) for t in "ab"}
