@@ -13,6 +13,9 @@ from newslens.functions.scores import spark_stopwords
 from newslens.operators.joins import lookup_join
 from newslens.session import cut_lineage
 
+#: Words that are looked up inside the texts, as literals; more of them are joined.
+LITERAL_WORDS = 1000
+
 
 def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
                    min_size: int = fixed.MIN_TOPIC_SIZE, seed: int = fixed.RANDOM_SEED,
@@ -67,13 +70,34 @@ def tfidf_vectors(df: DataFrame, tokens_col: str = "tokens", out_col: str = "fea
     return IDF(inputCol="_tf", outputCol=out_col).fit(tf).transform(tf).drop("_tf")
 
 
-def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """Occurrences of every unigram and bigram per class (partial aggregation before the shuffle).
+def class_word_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """(topic, term, tf, texts): occurrences of every token per class, and how many texts of the class begin with it."""
+    words = df.where(F.col(class_col).isNotNull()).select(F.col(class_col).alias("topic"), F.posexplode(tokens_col).alias("at", "term"))
+    return words.groupBy("topic", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") == 0).alias("texts"))
 
-    The NULL filters are stated here, once: the consumers join this table with
-    aggregates of itself, and identical subplans let Spark reuse one shuffle
-    instead of tokenising the texts once per branch.
-    """
+
+def class_pair_counts(df: DataFrame, class_col: str, tokens_col: str, words: DataFrame) -> DataFrame:
+    """(topic, term, tf): occurrences per class of the bigrams whose two tokens are both in ``words`` (term, distinct)."""
+    t, known = F.col(tokens_col), [r[0] for r in words.limit(LITERAL_WORDS + 1).collect()]
+    few = len(known) <= LITERAL_WORDS  # then pairs are left out inside the texts, before they become rows
+
+    def pair(x, i):
+        p = F.struct(x.alias("first"), F.get(t, i + 1).alias("second"))
+        return F.when(x.isin(*known), p) if few else p
+
+    pairs = F.transform(t, pair)
+    pairs = F.filter(pairs, lambda p: p["second"].isin(*known)) if few else pairs
+    found = df.where(F.col(class_col).isNotNull()).select(F.col(class_col).alias("topic"), F.explode(pairs).alias("p")) \
+        .select("topic", "p.first", "p.second")
+    if not few:
+        for side in ("first", "second"):  # the last token has no second one
+            found = lookup_join(found, words.withColumnRenamed("term", side), side, "left_semi")
+    return found.groupBy("topic", "first", "second").agg(F.count("*").alias("tf")) \
+        .select("topic", F.concat_ws(" ", "first", "second").alias("term"), "tf")
+
+
+def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """Occurrences of every unigram and bigram per class (partial aggregation before the shuffle)."""
     terms = df.where(F.col(class_col).isNotNull()).select(
         F.col(class_col).alias("topic"), F.explode(tx.unigrams_and_bigrams(tokens_col)).alias("term"))
     return terms.where(F.col("term").isNotNull()).groupBy("topic", "term").agg(F.count("*").alias("tf"))
@@ -81,7 +105,7 @@ def class_term_counts(df: DataFrame, class_col: str, tokens_col: str = "tokens")
 
 def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
                 top_n: int = fixed.TOP_TOPIC_WORDS, digits: int = 9) -> DataFrame:
-    """Top terms per class by class-based TF-IDF (Grootendorst 2022):
+    """Top terms (tokens and pairs of neighbouring tokens) per class by class-based TF-IDF (Grootendorst 2022):
 
         score(t, c) = tf(t, c) / words(c) * ln(1 + A / f(t))
 
@@ -89,25 +113,56 @@ def class_tfidf(df: DataFrame, class_col: str, tokens_col: str = "tokens",
     over all classes and A the mean of words(c), truncated to an integer.
     Ties are broken by term.
 
-    The term counts are written to the checkpoint folder once, so the texts are tokenised once. f(t) is a window
-    sum partitioned by term: a term has at most one row per class, so no window partition grows with the corpus.
-    words(c) and A form a table with one row per class; it is broadcast if its measured size is small, so the term
-    counts are not shuffled by class, where one class may hold a third of the text.
+    Nearly all distinct terms are bigrams, and few of them can be among the top. As f(t) >= tf(t, c), no score exceeds
+    tf(t, c) / words(c) * ln(1 + A / tf(t, c)), which grows with tf(t, c); and a bigram occurs no more often than either of
+    its tokens. So the tokens are counted first, and bigrams only of tokens that reach, by that bound, the ``top_n``-th best
+    token score of some class. The result is the one that counting all of them gives; a class of fewer tokens keeps all of
+    its bigrams. Where tokens hold blanks or are NULL, a bigram may read like a token, and every term is counted.
+
+    The counts are written to the checkpoint folder. f(t) is a window sum partitioned by term: a term has at most one row
+    per class, so no window partition grows with the corpus. words(c) and A form a table with one row per class; it is
+    broadcast if its measured size is small, so the counts are not shuffled by class, where one class may hold a third of
+    the text.
     """
-    tc = cut_lineage(class_term_counts(df, class_col, tokens_col))
-    per_class = tc.groupBy("topic").agg(F.sum("tf").alias("class_words"))
-    # One row per class: the mean over classes is a window over that small table.
-    per_class = cut_lineage(per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy()))))
-    by_term = tc.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term")))
-    scored = lookup_join(by_term, per_class, "topic", "inner")
+    words = cut_lineage(_with_freq(class_word_counts(df, class_col, tokens_col)))
+    if words.where(F.col("term").isNull() | F.col("term").contains(" ")).isEmpty():
+        per_class = _per_class(words, 2 * F.sum("tf") - F.sum("texts"))  # a text has one bigram less than tokens
+        scored = _scored(words, per_class)
+        best = cut_lineage(_top(scored, top_n))
+        last = best.groupBy("topic").agg(F.when(F.count("*") == top_n, F.min("score")).otherwise(0.0).alias("least"))
+        most = F.col("tf") / F.col("class_words") * F.log(F.col("avg_words") / F.col("tf") + 1.0)
+        able = lookup_join(scored, cut_lineage(last), "topic", "inner").where(most >= F.col("least") * (1 - 1e-9))
+        pairs = class_pair_counts(df, class_col, tokens_col, cut_lineage(able.select("term").distinct()))
+        pairs = _scored(cut_lineage(_with_freq(pairs)), per_class)
+        scored = best.select("topic", "term", "score").unionByName(pairs.select("topic", "term", "score"))
+    else:
+        counts = cut_lineage(class_term_counts(df, class_col, tokens_col))
+        scored = _scored(_with_freq(counts), _per_class(counts, F.sum("tf")))
+    return _top(scored, top_n).select(
+        "topic", "rank", "term", (F.rint(F.col("score") * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)).alias("score"))
+
+
+def _with_freq(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("term_freq", F.sum("tf").over(Window.partitionBy("term")))
+
+
+def _per_class(counts: DataFrame, occurrences) -> DataFrame:
+    """(topic, class_words, avg_words), one row per class: the mean over classes is a window over that small table."""
+    per_class = counts.groupBy("topic").agg(occurrences.alias("class_words"))
+    return cut_lineage(per_class.withColumn("avg_words", F.floor(F.avg("class_words").over(Window.partitionBy()))))
+
+
+def _scored(counts: DataFrame, per_class: DataFrame) -> DataFrame:
+    scored = lookup_join(counts, per_class, "topic", "inner")
     score = (F.col("tf") / F.col("class_words")) * F.log(F.col("avg_words") / F.col("term_freq") + 1.0)
-    scored = scored.withColumn("score", score)
+    return scored.withColumn("score", score)
+
+
+def _top(scored: DataFrame, top_n: int) -> DataFrame:
     # row_number() <= n is planned as a window group limit: each task keeps its
     # own top n per class before the shuffle by class.
     w = Window.partitionBy("topic").orderBy(F.desc("score"), F.asc("term"))
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    return top.select("topic", "rank", "term",
-                      (F.rint(F.col("score") * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
 def topic_probabilities(df: DataFrame, terms: DataFrame, key: str, tokens_col: str = "tokens", window: int = 4,
