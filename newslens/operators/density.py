@@ -21,8 +21,10 @@ from newslens.session import cut_lineage
 
 #: Projection tables, the points that a bucket holds on average, and the further bits that fuller buckets are split by.
 TABLES, BUCKET, MORE_BITS = 16, 256, 16
-#: Pivots of the exact radius search, the points they are picked from, and the points of one cell that a task compares at once.
+#: Pivots of the exact radius search, the points they are picked from, and the points that a task compares at once.
 PIVOTS, PIVOT_SAMPLE, CELL = 32, 2048, 2048
+#: Points of a part, two of which a task of the exact search holds, and the parts that fewer points are still dealt over.
+PART, PARTS = 32_768, 16
 #: Distances at which the tree of components is looked at (quantiles of the forest's weights).
 LEVELS = 12
 OUTLIER = -1
@@ -122,74 +124,281 @@ def near_neighbours(points: DataFrame, k: int, tables: int = TABLES, bucket: int
     return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
-def radius_pairs(points: DataFrame, radius: float, pivots: int = PIVOTS) -> DataFrame:
-    """(id, other, d): every ordered pair of points (id, v) at most ``radius`` apart, exactly.
+class _Part:
+    """The points of one part in a task: in blocks of ``CELL``, with each block's least and greatest distance to every pivot."""
+
+    def __init__(self, rows: pa.Table, centres: np.ndarray):
+        x = _matrix(rows.column("v").combine_chunks())
+        d = _distances(x, centres)
+        order = np.lexsort((d.min(1), d.argmin(1)))
+        self.ids, self.x, self.rows = rows.column("id").to_numpy()[order], x[order], rows.take(pa.array(order))
+        self.blocks = [slice(i, min(i + CELL, len(x))) for i in range(0, len(x), CELL)]
+        self.low = np.array([d[order[b]].min(0) for b in self.blocks])
+        self.high = np.array([d[order[b]].max(0) for b in self.blocks])
+        norms = (self.x ** 2).sum(1)
+        self.most = float(norms.max())
+        one = np.ones(len(x))
+        # a product of these rows, left by right, is a squared distance
+        self.left = np.column_stack([self.x, norms, one])
+        self.right = np.column_stack([-2 * self.x, one, norms])
+
+    def single(self, name: str) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return getattr(self, name).astype(np.float32)
+
+
+def _apart(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray, radius: float) -> bool:
+    """Whether no two points with these bounds of their distances to the pivots can be within the radius."""
+    gap = np.maximum(low - high2, low2 - high)
+    return bool((gap > radius * (1 + 1e-9) + 1e-9 * np.maximum(high, high2)).any())
 
-    A point's cell is that of its nearest pivot; it also visits the cells of the pivots that are at most ``2 * radius``
-    farther, where all its neighbours from there live. A cell's own points are dealt over tasks in groups of about
-    ``CELL``, and each group meets the cell's visitors in blocks; only pairs within the radius leave the task.
+
+def _near_blocks(a: _Part, b: _Part | None, radius: float, wanted=lambda i, j: True) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(block of a, block of b, which points are within the radius and of different ids) for the blocks that may hold such
+    points, each pair of blocks once; of ``a`` with itself if ``b`` is None.
+
+    Squared distances come from a matrix product, in single precision where that is exact enough; what lies within its error
+    of the radius is computed again from differences, so the answer is that of the differences.
+    """
+    other = a if b is None else b
+    dim, limit = a.x.shape[1], radius * radius
+    error = 2 * (dim + 4) * (a.most + other.most)
+    single = error * np.finfo(np.float32).eps < limit / 16
+    error *= np.finfo(np.float32 if single else np.float64).eps
+    left, right = (a.single("left"), other.single("right")) if single else (a.left, other.right)
+    for m, i in enumerate(a.blocks):
+        for n, j in enumerate(other.blocks):
+            if (b is None and n < m) or not wanted(i, j) or _apart(a.low[m], a.high[m], other.low[n], other.high[n], radius):
+                continue
+            with np.errstate(all="ignore"):
+                d = left[i] @ right[j].T
+                near = ~(d > limit + error)
+                unsure = near & ~(d <= limit - error)
+            if unsure.any():
+                u, v = np.nonzero(unsure)
+                for s in range(0, len(u), 1 << 16):
+                    p, q = u[s:s + (1 << 16)], v[s:s + (1 << 16)]
+                    near[p, q] = np.sqrt(((a.x[i][p] - other.x[j][q]) ** 2).sum(-1)) <= radius
+            x, y = a.ids[i], other.ids[j]
+            if np.isin(x, y).any():
+                near &= x[:, None] != y
+            yield i, j, near
+
+
+def _placed(points: DataFrame, radius: float, pivots: int) -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]] | None:
+    """((part, id, v) of the points, the pivots, the pairs of parts that may hold points within the radius); None without points.
+
+    A point belongs to the cell of its nearest pivot. Small cells beside each other share a part, and large ones are dealt
+    over several by a hash of the id, so that a part holds about ``PART`` points at most, whatever the points are like. Two
+    parts are left out if, for some pivot, their points' distances to it differ by more than the radius. The driver holds
+    the pivots and, for every part, its bounds.
     """
     sample = points.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()  # a top-k, never more than the bound
     if not sample:
-        return points.sparkSession.createDataFrame([], "id long, other long, d double")
+        return None
     x = np.array([r["v"] for r in sample])
     centres = x[np.unique(np.linspace(0, len(x) - 1, min(pivots, len(x))).astype(int))]
+    mean = centres - centres.mean(0)
+    centres = centres[np.argsort(mean @ np.linalg.svd(mean, full_matrices=False)[2][0], kind="stable")]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column(1))
-            if not len(v):
-                continue
-            d = _distances(v, centres)
-            i, c = np.nonzero(d - d.min(1, keepdims=True) <= 2 * radius + 1e-9)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(d.argmin(1)[i] == c), b.column(0).take(pa.array(i)),
-                                              b.column(1).take(pa.array(i))], names=["cell", "own", "id", "v"])
-
-    rows = points.mapInArrow(cells, "cell int, own boolean, id long, v array<double>")
-    groups = rows.where("own").groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("groups"))  # one row a pivot
-    placed = rows.join(F.broadcast(groups), "cell")
-    at = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
-    both = placed.select("cell", F.explode(F.concat(
-        F.transform(at, lambda g: F.struct(g.alias("g"), F.lit(0).alias("visits"))),
-        F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(g.cast("int").alias("g"), F.lit(1).alias("visits"))))).alias("p"),
-        "id", "v").select("cell", "p.g", "p.visits", "id", "v")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, own, ids = None, None, None
-        for g in _grouped(batches, 3):
-            where = (g.column("cell")[0].as_py(), g.column("g")[0].as_py())
-            if g.column("visits")[0].as_py() == 0:  # a group's own points come before its visitors
-                home, own, ids = where, _matrix(g.column("v").combine_chunks()), g.column("id").to_numpy()
-                continue
-            if where != home:
-                continue
-            for s in range(0, g.num_rows, CELL):
-                part = g.slice(s, CELL)
-                others, y = part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks())
-                d = _distances(own, y)
-                i, j = np.nonzero((d <= radius) & (ids[:, None] != others))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(others[j]), pa.array(d[i, j])], names=["id", "other", "d"])
+            if b.num_rows:
+                cell = _distances(_matrix(b.column(1)), centres).argmin(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), b.column(1)], names=["cell", "id", "v"])
+
+    rows = cut_lineage(points.mapInArrow(cells, "cell int, id long, v array<double>"))
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    most = min(PART, max(CELL, -(-sum(sizes.values()) // PARTS)))
+    first, groups, part, held = [], [], 0, 0
+    for c in range(len(centres)):
+        n = sizes.get(c, 0)
+        if held and held + n > most:
+            part, held = part + 1, 0
+        first.append(part)
+        groups.append(max(1, -(-n // most)))
+        part, held = (part + groups[-1], 0) if n > most else (part, held + n)
+    at = F.col("cell") + 1
+    start, among = (F.element_at(F.array(*map(F.lit, z)), at) for z in (first, groups))
+    placed = rows.select((start + F.pmod(F.xxhash64("id", F.lit(3)), among)).cast("int").alias("part"), "id", "v")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = {}, {}
+        for b in batches:
+            parts, d = b.column(0).to_numpy(), _distances(_matrix(b.column(1)), centres) if b.num_rows else None
+            for q in np.unique(parts):
+                here = d[parts == q]
+                low[q] = np.minimum(low.get(q, np.inf), here.min(0))
+                high[q] = np.maximum(high.get(q, 0), here.max(0))
+        k = len(centres)
+        for q in low:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, q, np.int32)), pa.array(np.arange(k, dtype=np.int32)),
+                                              pa.array(low[q]), pa.array(high[q])], names=["part", "pivot", "low", "high"])
+
+    found = placed.select("part", "v").mapInArrow(bounds, "part int, pivot int, low double, high double").groupBy("part", "pivot") \
+        .agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    low, high = {}, {}
+    for r in found:
+        low.setdefault(r["part"], np.zeros(len(centres)))[r["pivot"]] = r["low"]
+        high.setdefault(r["part"], np.zeros(len(centres)))[r["pivot"]] = r["high"]
+    tiles = [(p, q) for p in sorted(low) for q in sorted(low) if p <= q and (p == q or not _apart(low[p], high[p], low[q], high[q], radius))]
+    return placed, centres, tiles
+
+
+def _meet(placed: DataFrame, centres: np.ndarray, tiles: list[tuple[int, int]], fn, schema: str) -> DataFrame:
+    """``fn(a, b)`` for every pair of parts, in a task that holds the two; ``b`` is None for a part with itself. Columns
+    after (part, id, v) go along."""
+    if not tiles:
+        return placed.sparkSession.createDataFrame([], schema)
+    deal = [(p, t, 2 if p == q else 0) for t, (p, q) in enumerate(tiles)] + [(q, t, 1) for t, (p, q) in enumerate(tiles) if p != q]
+    deal = placed.sparkSession.createDataFrame(deal, "part int, tile int, side int")
+    rows = placed.join(F.broadcast(deal), "part").select("tile", "side", *placed.columns[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for g in _grouped(batches, 2):
+            tile, side = g.column("tile")[0].as_py(), g.column("side")[0].as_py()
+            part = _Part(g, centres) if side != 1 or (held and held[0] == tile) else None
+            if side == 2:
+                yield from fn(part, None)
+            elif side == 1 and part:
+                yield from fn(held[1], part)
+            held = (tile, part) if side == 0 else None
+
+    return rows.repartition(len(tiles), "tile").sortWithinPartitions("tile", "side").mapInArrow(run, schema)
 
-    return both.repartition("cell", "g").sortWithinPartitions("cell", "g", "visits").mapInArrow(meet, "id long, other long, d double")
+
+def radius_pairs(points: DataFrame, radius: float, pivots: int = PIVOTS) -> DataFrame:
+    """(id, other, d): every ordered pair of points (id, v) at most ``radius`` apart, exactly. See `_placed` and `_meet`: a
+    task compares two parts of bounded size, and only pairs within the radius leave it; they may be as many as all."""
+    schema = "id long, other long, d double"
+    at = _placed(points, radius, pivots)
+    if at is None:
+        return points.sparkSession.createDataFrame([], schema)
+
+    def pairs(a: _Part, b: _Part | None) -> Iterator[pa.RecordBatch]:
+        other = a if b is None else b
+        for i, j, near in _near_blocks(a, b, radius):
+            u, v = np.nonzero(near)
+            for s in range(0, len(u), 1 << 16):
+                p, q = i.start + u[s:s + (1 << 16)], j.start + v[s:s + (1 << 16)]
+                d = np.sqrt(((a.x[p] - other.x[q]) ** 2).sum(-1))
+                x, y = a.ids[p], other.ids[q]
+                both = [(x, y)] if b is None and i == j else [(x, y), (y, x)]
+                for x, y in both:
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["id", "other", "d"])
+
+    return _meet(*at, pairs, schema)
+
+
+class _Union:
+    """Components of numbered nodes: ``root`` of every node, kept by `join`."""
+
+    def __init__(self, root: np.ndarray):
+        self.root = root
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> list[int]:
+        """Joins u[i] to v[i] one after the other; the positions that joined two components."""
+        up, used = {}, []
+
+        def find(r):
+            while (n := up.get(r, r)) != r:
+                up[r] = up.get(n, n)
+                r = n
+            return r
+
+        for at, (x, y) in enumerate(zip(self.root[u].tolist(), self.root[v].tolist())):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                used.append(at)
+        to = np.arange(self.root.max() + 1)
+        for r in list(up):
+            to[r] = find(r)
+        self.root = to[self.root]
+        return used
+
+
+def _links(a: _Part, b: _Part | None, radius: float, union: _Union, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of ``a`` and of ``b`` (numbered from ``shift``) that join components. Blocks of one component are passed over."""
+    def apart(i, j):
+        x, y = union.root[i], union.root[shift + j.start:shift + j.stop]
+        return min(x.min(), y.min()) != max(x.max(), y.max())
+
+    for i, j, near in _near_blocks(a, b, radius, apart):
+        while True:
+            near &= union.root[i][:, None] != union.root[shift + j.start:shift + j.stop]
+            u = np.flatnonzero(near.any(1))
+            if not len(u):
+                break
+            v = near[u].argmax(1)
+            u, v = i.start + u, shift + j.start + v
+            used = union.join(u, v)
+            yield u[used], v[used]
+
+
+def near_counts(placed: DataFrame, centres: np.ndarray, tiles: list[tuple[int, int]], radius: float) -> DataFrame:
+    """(id, n_near): the points within the radius of every point that has any, counted within tasks: no pair leaves them."""
+    def counts(a: _Part, b: _Part | None) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(a.ids), np.int64)
+        m = n if b is None else np.zeros(len(b.ids), np.int64)
+        for i, j, near in _near_blocks(a, b, radius):
+            n[i] += near.sum(1)
+            if b is not None or i != j:
+                m[j] += near.sum(0)
+        for part, z in [(a, n)] if b is None else [(a, n), (b, m)]:
+            yield pa.RecordBatch.from_arrays([pa.array(part.ids[z > 0]), pa.array(z[z > 0])], names=["id", "n"])
+
+    return _meet(placed, centres, tiles, counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_near"))
+
+
+def near_components(placed: DataFrame, centres: np.ndarray, tiles: list[tuple[int, int]], radius: float) -> DataFrame:
+    """(id, root): the smallest id that is reachable from a point over steps within the radius.
+
+    First every part's own components are found in a task; then two parts are compared only where their points' components
+    are not one yet, and a task returns no more than a forest over the components of its two parts.
+    """
+    def inside(a: _Part, b: None) -> Iterator[pa.RecordBatch]:
+        names, at = np.unique(a.ids, return_inverse=True)  # rows that share an id are one node
+        union = _Union(at)
+        for _ in _links(a, None, radius, union, 0):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(names[union.root])], names=["id", "comp"])
+
+    def across(a: _Part, b: _Part) -> Iterator[pa.RecordBatch]:
+        own = [part.rows.column("comp").to_numpy() for part in (a, b)]
+        both = np.concatenate(own)
+        for u, v in _links(a, b, radius, _Union(np.unique(both, return_inverse=True)[1]), len(a.ids)):
+            yield pa.RecordBatch.from_arrays([pa.array(both[u]), pa.array(both[v])], names=["a", "b"])
+
+    comps = cut_round(_meet(placed, centres, [(p, q) for p, q in tiles if p == q], inside, "id long, comp long").distinct())
+    least = cut_round(comps.groupBy("id").agg(F.min("comp").alias("comp")))  # one each, unless an id comes with several vectors
+    same = comps.join(least.withColumnRenamed("comp", "first"), "id").where("comp <> first").select(F.col("first").alias("a"), F.col("comp").alias("b"))
+    named = placed.join(least, "id").select("part", "id", "v", "comp")
+    steps = _meet(named, centres, [(p, q) for p, q in tiles if p != q], across, "a long, b long").unionByName(same)
+    roots = components(steps)
+    return least.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("root"))
 
 
 @iterative
 def core_clusters(df: DataFrame, radius: float, min_points: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, n_near, cluster) for every row with a key and a finite vector: how many other rows lie within ``radius``, and
     for core rows (``min_points`` with itself) the smallest key of the core rows that are connected over such steps; -1
-    for all others. Keys are taken to be unique, and vectors to be of one length."""
-    points = cut_lineage(_points(df, key, vector))
-    pairs = cut_round(radius_pairs(points, radius).select("id", "other"))
-    near = points.select("id").join(pairs.groupBy("id").agg(F.count("*").alias("n_near")), "id", "left") \
-        .withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    for all others. Keys are taken to be unique, and vectors to be of one length.
+
+    Rows are compared in pairs of parts of bounded size, which tasks only count and join to components: what leaves the
+    tasks grows with the rows and the parts, not with the pairs. In dense data the comparisons themselves are quadratic."""
+    at = _placed(_points(df, key, vector), radius, PIVOTS)
+    if at is None:
+        return df.sparkSession.createDataFrame([], f"`{key}` long, n_near long, cluster long")
+    placed, centres, tiles = at
+    counts = near_counts(placed, centres, tiles, radius)
+    near = placed.select("id").join(counts, "id", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     near = cut_round(near.withColumn("core", F.col("n_near") + 1 >= min_points))
-    core = near.where("core").select("id")
-    steps = pairs.where("id < other").join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
-    roots = components(steps.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return near.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("id").alias(key), "n_near", F.when(F.col("core"), F.coalesce("root", "id")).otherwise(OUTLIER).cast("long").alias("cluster"))
+    core = placed.join(near.where("core").select("id").distinct(), "id", "left_semi").select("part", "id", "v")
+    roots = near_components(core, centres, tiles, radius)
+    return near.join(roots, "id", "left").select(
+        F.col("id").alias(key), "n_near", F.when(F.col("core"), F.col("root")).otherwise(OUTLIER).cast("long").alias("cluster"))
 
 
 def mutual_reachability(neighbours: DataFrame, min_points: int) -> DataFrame:
