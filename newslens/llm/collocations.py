@@ -4,9 +4,10 @@ A sample of the documents proposes phrases, level by level and at a lowered supp
 whose two parts without the last and without the first word are proposed: that is the proposals together with their
 negative border. It counts by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
 frequent. If a phrase that was not proposed looks frequent, its extensions may be frequent too, so the missed phrases join
-the proposals. The next pass counts what looks frequent, and what the missed phrases add, by the phrases themselves, which
-makes all counts exact; further passes count what phrases missed there add, until nothing is missed. Every pass settles
-the phrases of one more length, so there are few.
+the proposals. The second pass counts what looks frequent by the phrases themselves, which makes all counts exact, and with it
+what the missed phrases add: every phrase that the first pass did not count and whose two parts are proposed, missed or such
+phrases themselves. No frequent phrase is left out: its parts are frequent, so (shortest first) the first pass has counted
+them, and they are proposed or missed, or they are counted here.
 
 Sets of phrases reach the tasks as a bitmap of hashes of bounded size; a phrase that is in it by chance is counted as well,
 which costs time and changes no result.
@@ -41,7 +42,7 @@ RANK_PARTS = 64
 
 _UPPER = bytes(range(65, 91))
 _PLAIN = bytes.maketrans(_UPPER + b",;:!?\n\v\f\r\t", _UPPER.lower() + b"." * 9 + b" ")
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT, _KEPT = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 48) - 4)
 _BREAK = b"."  # cannot be a word: it separates pieces
 
 
@@ -113,7 +114,8 @@ def bitmap(phrases: DataFrame, size: int) -> Bitmap:
 
 def phrase_hashes(lang: bytes, words_: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, hashes, there) for the phrases of 1 to ``longest`` words that start at every token: the hash of language and
-    words, whose two lowest bits are k - 1, and whether no break is among the words."""
+    words, of 48 bits (what tasks exchange is mostly hashes), whose two lowest are k - 1, and whether no break is among the
+    words."""
     h = np.full(len(words_), xxhash.xxh64_intdigest(lang, 42), np.uint64)
     there = np.ones(len(words_), bool)
     for k in range(1, longest + 1):
@@ -123,7 +125,7 @@ def phrase_hashes(lang: bytes, words_: np.ndarray, longest: int) -> Iterator[tup
         with np.errstate(over="ignore"):
             h = (h ^ (h >> np.uint64(31))) * _MULT + last
         there = there & (last != 0)
-        yield k, ((h ^ (h >> np.uint64(32))) & ~np.uint64(3)) | np.uint64(k - 1), there
+        yield k, ((h ^ (h >> np.uint64(32))) & _KEPT) | np.uint64(k - 1), there
 
 
 def count_hashes(lang: bytes, words_: np.ndarray, context: int, lengths: range, new: Bitmap | None,
@@ -144,11 +146,10 @@ def count_hashes(lang: bytes, words_: np.ndarray, context: int, lengths: range,
 
 
 def count_exactly(lang: bytes, ids: np.ndarray, names: list[bytes], words_: np.ndarray, context: int, longest: int,
-                  frequent: Bitmap, new: Bitmap | None, old: Bitmap | None,
-                  added: bool) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """(k, phrases, hashes, counts), told apart by their words, of the phrases that look frequent and of those that ``new``
-    adds: whose two parts one word shorter are both in ``new``, and not both in ``old``. Of the latter alone if only the
-    ``added`` ones are asked for. A phrase whose beginning is neither cannot be frequent and is left out."""
+                  frequent: Bitmap, new: Bitmap | None, old: Bitmap | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(k, phrases, counts), told apart by their words, of the phrases that look frequent and of those that ``new`` adds: whose
+    two parts one word shorter are in ``new`` or added themselves, and which were not counted by ``old``. A phrase whose
+    beginning is neither cannot be frequent and is left out."""
     at, phrases = np.zeros(len(ids), np.int64), [b""]  # number of the phrase that starts at a token (0: none)
     known = past = None
     for k, h, there in phrase_hashes(lang, words_, longest):
@@ -156,7 +157,7 @@ def count_exactly(lang: bytes, ids: np.ndarray, names: list[bytes], words_: np.n
         if new is not None:
             go, done = (there, there) if k == 1 else (known[:-1] & known[1:], past[:-1] & past[1:])
             fresh = go & ~done
-            known, past = go & new.holds(h), done & old.holds(h)
+            known, past = go & (new.holds(h) | ~done), done & old.holds(h)
         at = at[:len(h)]
         some = np.flatnonzero((fresh | (there & frequent.holds(h))) & ((at > 0) | (k == 1)))
         pair, uniq = pd.factorize(at[some] * len(names) + ids[some + k - 1])
@@ -164,11 +165,9 @@ def count_exactly(lang: bytes, ids: np.ndarray, names: list[bytes], words_: np.n
         phrases = [b"", *(names[v] if k == 1 else phrases[u] + b" " + names[v] for u, v in zip(first.tolist(), last.tolist()))]
         at = np.zeros(len(h), np.int64)
         at[some] = pair + 1
-        n = np.bincount(pair[(some + k > context) & (fresh[some] | (not added))], minlength=len(uniq))
-        hashes = np.zeros(len(uniq), np.uint64)
-        hashes[pair] = h[some]
+        n = np.bincount(pair[some + k > context], minlength=len(uniq))
         counted = np.flatnonzero(n)
-        yield k, [phrases[i + 1] for i in counted.tolist()], hashes[counted], n[counted]
+        yield k, [phrases[i + 1] for i in counted.tolist()], n[counted]
 
 
 def _map_texts(docs: DataFrame, fn, schema: str, chunk: int) -> DataFrame:
@@ -224,24 +223,22 @@ def _written(df: DataFrame, shared: Broadcast) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, least: int, frequent: Bitmap, new: Bitmap | None = None, old: Bitmap | None = None,
-                  added: bool = False, longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
-    """(lang, phrase, k, h, f): ``count_exactly`` over the rows (lang, text), of the phrases that occur ``least`` times; unless
-    only ``added`` ones are asked for, also the empty phrase (k = 0) of every language with the number of all words."""
+                  longest: int = LONGEST, chunk: int = CHUNK) -> DataFrame:
+    """(lang, phrase, k, f): ``count_exactly`` over the rows (lang, text), of the phrases that occur ``least`` times, and the
+    empty phrase (k = 0) of every language with the number of all words."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, new, old))
 
     def fn(lang, context, ids, names, words_):
-        rows = count_exactly(lang, ids, names, words_, context, longest, *shared.value, added)
-        if not added:
-            rows = [(0, [b""], np.zeros(1, np.uint64), np.array([np.count_nonzero(words_[context:])])), *rows]
-        for k, phrases, h, n in rows:
+        rows = count_exactly(lang, ids, names, words_, context, longest, *shared.value)
+        for k, phrases, n in [(0, [b""], np.array([np.count_nonzero(words_[context:])])), *rows]:
             if n.sum():
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.binary()).cast(pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(n), k, np.int32)),
-                     pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "h", "f"])
+                     pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "f"])
 
-    counts = _map_texts(docs, fn, "lang string, phrase string, k int, h long, f long", chunk) \
-        .groupBy("lang", "phrase", "k", "h").agg(F.sum("f").alias("f"))
+    counts = _map_texts(docs, fn, "lang string, phrase string, k int, f long", chunk) \
+        .groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
     return _written(counts.where((F.col("f") >= least) | (F.col("k") == 0)), shared)
 
 
@@ -278,16 +275,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     seen = hash_counts(docs, support, range(1, longest + 1), new, None, chunk)
     frequent = bitmap(seen, bitmap_size(seen, bits))
     missed = cut_lineage(seen.where(F.col("h").bitwiseAND(F.lit(3)) < longest - 1).select("h").join(proposed, "h", "left_anti"))
-    found = None
-    while found is None or not missed.isEmpty():
-        proposed, old = proposed.unionByName(missed), new
-        new = bitmap(proposed, size)
-        counts = phrase_counts(docs, support, frequent, new, old, found is not None, longest, chunk)
-        found = counts if found is None else found.unionByName(counts)
-        frequent = bitmap(found.select("h"), bitmap_size(found, bits))
-        missed = counts.where((F.col("k") > 0) & (F.col("k") < longest)).select("h").distinct()
-        missed = cut_lineage(missed.join(proposed, "h", "left_anti"))
-    return found.select("lang", "phrase", "k", "f")
+    if missed.isEmpty():
+        return phrase_counts(docs, support, frequent, None, None, longest, chunk)
+    return phrase_counts(docs, support, frequent, bitmap(proposed.unionByName(missed), size), new, longest, chunk)
 
 
 def _exact(c: str | Column) -> Column:
