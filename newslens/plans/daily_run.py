@@ -44,9 +44,10 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
             .drop("processed_content", "processed_content_truncated")
     else:
         a = enrich.lexicon_sentiment(a).drop("sentiment_score")
+    a = a.withColumn("_entities", ent.capitalised_entities(text_col, stop=stop, gazetteer=ent.GAZETTEER))
     # The per-row text work is the expensive part and feeds the IDF fit, the
-    # k-means fit and the final rows; it is written to the checkpoint folder
-    # once instead of being recomputed by each of those jobs.
+    # k-means fit, the entity counts and the final rows; it is written to the
+    # checkpoint folder once instead of being recomputed by each of those jobs.
     a = cut_lineage(a)
 
     if class_col is not None:
@@ -72,8 +73,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     named = labels.select(F.col("topic").alias("topic_nr"), F.col("label").alias("topic"))
     out = lookup_join(clustered, named, "topic_nr", "left").withColumn("topic", F.coalesce("topic", F.lit("None")))
 
-    out = out.withColumn("entities", ent.capitalised_entities(text_col, stop=stop, gazetteer=ent.GAZETTEER)) \
-        .withColumn("entity_counts", ent.entity_count_map("entities"))
+    out = out.withColumn("entities", F.col("_entities")).drop("_entities").withColumn("entity_counts", ent.entity_count_map("entities"))
     counts = ent.topic_entity_mentions(out)
     pairs = ent.related_topics(ent.top_entities(counts))
     return enrich.with_processed_text(ent.attach_related(out, pairs)).drop("tokens")
