@@ -2,7 +2,7 @@
 
 A sample of the documents proposes phrases, level by level and at a lowered support. One full pass then counts every phrase
 whose two parts without the last and without the first word are proposed: that is the proposals together with their
-negative border. It counts by a 64-bit hash, so two phrases that share one count as one: that can only add to what looks
+negative border. It counts by a 48-bit hash, so two phrases that share one count as one: that can only add to what looks
 frequent. If a phrase that was not proposed looks frequent, its extensions may be frequent too, so the missed phrases join
 the proposals. The second pass counts what looks frequent by the phrases themselves, which makes all counts exact, and with it
 what the missed phrases add: every phrase that the first pass did not count and whose two parts are proposed, missed or such
