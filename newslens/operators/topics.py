@@ -33,6 +33,9 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
     last pass of the fit assigns every training row), so the outlier rule is a
     literal list of at most ``k`` cluster ids: no extra pass over the rows and
     no join.
+
+    A column of vectors is fitted as it is, so ``df`` may be persisted: k-means then reads it from there. If it is not,
+    k-means keeps all vectors as objects on the executors' heaps while it runs.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -40,8 +43,8 @@ def cluster_topics(df: DataFrame, vector_col: str = "embedding", k: int = 10,
 
     is_vector = isinstance(df.schema[vector_col].dataType, VectorUDT)
     src = df.where(F.col(vector_col).isNotNull()) if missing_as_outlier else df
-    vec = src.withColumn("_features", F.col(vector_col) if is_vector else array_to_vector(F.col(vector_col)))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features",
+    vec = src if is_vector else src.withColumn("_features", array_to_vector(F.col(vector_col)))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=vector_col if is_vector else "_features",
                    predictionCol="_cluster").fit(vec)
     sizes = model.summary.clusterSizes
     kept = [i for i, n in enumerate(sizes) if n >= min_size]

@@ -9,7 +9,8 @@ small shared tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslens import fixed
@@ -18,21 +19,39 @@ from newslens.operators import enrich, entities as ent, topics
 from newslens.operators.cleaning import clean_content, drop_null_text
 from newslens.operators.joins import lookup_join
 from newslens.plans import sqltext as S, texts
-from newslens.session import cut_lineage
+from newslens.session import cut_lineage, free_unused
 from newslens.sources.tables import spread, table
 
 
+def _pack(df: DataFrame) -> DataFrame:
+    """``tokens`` and ``_entities`` as text: a checkpoint writes rows as they lie in memory, where an array takes 16 bytes
+    and more for every word of it. Tokens hold no blank, names and labels no line break, and none of them is empty."""
+    names = F.col("_entities")
+    return df.withColumns({"tokens": F.array_join("tokens", " "), "_names": F.array_join(names["text"], "\n"),
+                           "_labels": F.array_join(names["label"], "\n")}).drop("_entities")
+
+
+def _words(packed: str, mark: str) -> Column:
+    return F.when(F.col(packed) == "", F.array().cast("array<string>")).otherwise(F.split(packed, mark))
+
+
+def _unpack(df: DataFrame) -> DataFrame:
+    entity = F.zip_with(_words("_names", "\n"), _words("_labels", "\n"), lambda t, l: F.struct(t.alias("text"), l.alias("label")))
+    return df.withColumns({"tokens": _words("tokens", " "), "_entities": entity}).drop("_names", "_labels")
+
+
 def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "content", k_topics: int = 20,
                     min_topic_size: int = fixed.MIN_TOPIC_SIZE, leaning_dim: DataFrame | None = None,
                     scorer: str | None = None, vectors: DataFrame | None = None,
-                    class_col: str | None = None) -> DataFrame:
+                    class_col: str | None = None, keep_text: bool = True) -> DataFrame:
     """Adds pol_leaning, tokens/processed_content(_truncated), sentiment, topic_nr, topic,
     entities, entity_counts and related_topics to cleaned articles (one row per ``key``, which is not NULL).
 
     ``scorer`` names a registered batch scorer for the sentiment (default: the
     lexicon); ``vectors`` may hold precomputed document vectors (``key``,
     ``embedding``) instead of the TF-IDF default; ``class_col`` names a column that holds each article's topic
-    number already, and no clustering is done.
+    number already, and no clustering is done. Without ``keep_text`` the result has no ``text_col``, and the text is
+    not stored.
     """
     stop = spark_stopwords("german")
     a = enrich.assign_leaning(cleaned, leaning_dim) if "source" in cleaned.columns else cleaned
@@ -48,7 +67,7 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
     # The per-row text work is the expensive part and feeds the IDF fit, the
     # k-means fit, the entity counts and the final rows; it is written to the
     # checkpoint folder once instead of being recomputed by each of those jobs.
-    a = cut_lineage(a)
+    a = cut_lineage(_pack(a if keep_text else a.drop(text_col)))
 
     if class_col is not None:
         clustered = a.withColumn("topic_nr", F.col(class_col).cast("int"))
@@ -57,15 +76,20 @@ def enrich_articles(cleaned: DataFrame, key: str = "url", text_col: str = "conte
         # the result is the empty enriched table (a one-row probe of the checkpoint).
         clustered = a.withColumn("topic_nr", F.lit(-1).cast("int"))
     else:
-        narrow = a.select(key, "tokens")
         if vectors is not None:
-            vec = narrow.join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
+            vec = a.select(key).join(vectors.select(key, F.col("embedding").alias("_vec")), key, "left")
         else:
-            vec = topics.tfidf_vectors(narrow, "tokens", "_vec")
-        # Only key → topic number is stored a second time; the texts stay where they are.
+            # k-means reads its vectors some thirty times. By itself it keeps them all as objects on the executors' heaps; on
+            # disk they are read in batches of a few MB, by the fit, by the cluster sizes and by the prediction.
+            vec = topics.tfidf_vectors(a.select(key, _words("tokens", " ").alias("tokens")), "tokens", "_vec") \
+                .select(key, "_vec").persist(StorageLevel.DISK_ONLY)
+        # Only key → topic number is stored a second time; the articles stay where they are, unless there are too many numbers.
         numbers = cut_lineage(topics.cluster_topics(vec, "_vec", k=k_topics, min_size=min_topic_size,
                                                     missing_as_outlier=vectors is not None).select(key, "topic_nr"))
-        clustered = a.join(numbers, key)
+        vec.unpersist()
+        free_unused(a.sparkSession)
+        clustered = lookup_join(a, numbers, key, "inner")
+    clustered = _unpack(clustered)
 
     reps = topics.class_tfidf(clustered, "topic_nr")
     labels = cut_lineage(topics.label_topics(reps, topics.label_dim(clustered.sparkSession)))
@@ -85,7 +109,7 @@ def document_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("text", "content") \
         .dropna(how="any", subset=["doc_id", "lang", "source", "n_chars"])
     cleaned = drop_null_text(clean_content(d, "content"), "content")
-    e = enrich_articles(cleaned, key="doc_id", k_topics=10)
+    e = enrich_articles(cleaned, key="doc_id", k_topics=10, keep_text=False)
     return e.select("doc_id", "source", "pol_leaning", "sentiment", "topic_nr", "topic",
                     F.size("entities").alias("n_entities"), F.size("related_topics").alias("n_related"))
 
@@ -97,7 +121,7 @@ def class_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("content", F.concat(F.lit(texts.GERMAN), "text")).drop("text") \
         .withColumn("number", F.regexp_extract("source", "([0-9]+)", 1).try_cast("int"))
     cleaned = drop_null_text(clean_content(d, "content"), "content")
-    e = enrich_articles(cleaned, key="doc_id", class_col="number")
+    e = enrich_articles(cleaned, key="doc_id", class_col="number", keep_text=False)
     return e.select("doc_id", "source", "sentiment", "topic_nr", "topic", F.size("entities").alias("n_entities"),
                     F.size("entity_counts").alias("n_names"), F.size("related_topics").alias("n_related"))
 

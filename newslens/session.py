@@ -87,3 +87,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_unused(spark: SparkSession) -> None:
+    """Spark deletes shuffle and checkpoint files once the driver has collected what they belong to, which by itself may
+    take half an hour. To be called after an iterative fit, each of whose rounds leaves a shuffle."""
+    spark.sparkContext._jvm.System.gc()
